@@ -16,12 +16,12 @@ with par as (
   union all select 'reading_order', 'idref', itemref_key, 'manifest', pub_id, {_T.format("idref")}, loaded_at from reading_order where {_T.format("idref")} <> ''
   union all select 'metas', 'refines', meta_key, 'refines', pub_id, ltrim(refines, '#'), loaded_at from metas where refines <> ''
 ), arrived as (
-  select ref_table, ref_field, row_key, space, pub_id, ref, min(loaded_at) as at from refs group by all
+  select ref_table, ref_field, row_key, space, pub_id, ref, min(loaded_at) as arrived_at from refs group by all
 ), judged as (
-  select a.*, case when k.ref is null then 'missing' when k.live_at is null then 'deleted' when k.live_at > a.at then 'late' end as reason
+  select a.*, case when k.ref is null then 'missing' when k.live_at is null then 'deleted' when k.live_at > a.arrived_at then 'late' end as reason
   from arrived a left join known k on k.space = a.space and k.pub_id = a.pub_id and k.ref = a.ref
 ), found as (
-  select ref_table, ref_field, row_key, reason, strftime(make_timestamp(epoch_us(at)), '%Y-%m') as period from judged where reason is not null
+  select ref_table, ref_field, row_key, reason, strftime(make_timestamp(epoch_us(arrived_at)), '%Y-%m') as period from judged where reason is not null
 )
 """
 
@@ -69,7 +69,7 @@ with recursive whole as (
   lateral (
     select null as i, n.j -> m.name as v where json_type(n.j -> m.name) = 'OBJECT'
     union all
-    select i, v from (select unnest(range(json_array_length(n.j -> m.name))) as i) r, lateral (select json_extract(n.j -> m.name, '$[' || r.i || ']') as v) w
+    select i, v from (select unnest(range(cast(json_array_length(n.j -> m.name) as bigint))) as i) r, lateral (select json_extract(n.j -> m.name, '$[' || r.i || ']') as v) w
     where json_type(n.j -> m.name) = 'ARRAY' and json_type(v) = 'OBJECT'
   ) x
 )
