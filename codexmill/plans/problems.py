@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codexmill.operators import hierarchy, nested, orphans
+from codexmill.operators import hierarchy, nested, orphans, timestamps
 from codexmill.session import table
 
 
@@ -29,6 +29,11 @@ def p1_annotations(spark: SparkSession, d: str) -> DataFrame:
     return nested.annotation_tables(table(spark, d, "annotation_sets"))["annotation"]
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    values = timestamps.publication_dates(table(spark, d, "metadata_elements"), table(spark, d, "metas"))
+    return timestamps.normalise(values, table(spark, d, "feeds")).select("tab", "row_key", "utc_us")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return orphans.publication_orphans(*(table(spark, d, t) for t in ("declarations", "reading_order", "metas", "metadata_elements")))
 
@@ -50,4 +55,4 @@ def p5_descendants(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.descendants(_hierarchy(spark, d)).groupBy("tree", "ancestor").agg(F.count(F.lit(1)).alias("n_descendants"), F.max("distance").alias("height"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_annotations, p1_targets, p1_selectors, p1_bodies, p4_found, p4_report, p5_found, p5_descendants)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_annotations, p1_targets, p1_selectors, p1_bodies, p3_found, p4_found, p4_report, p5_found, p5_descendants)}
