@@ -17,6 +17,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Key spaces that a reference can point into.
+SPACES = ("manifest", "refines")
 BLANK = " \t\r\n"
 
 
@@ -25,9 +27,10 @@ def trimmed(c: Column | str) -> Column:
     return F.btrim(F.col(c) if isinstance(c, str) else c, F.lit(BLANK))
 
 
-def parent_keys(rows: DataFrame, key: Column, live: Column, space: str) -> DataFrame:
-    """(space, pub_id, ref) with the earliest arrival of its live rows; null where all its rows are removed."""
-    return rows.select(F.lit(space).alias("space"), "pub_id", key.alias("ref"), F.when(live, F.col("loaded_at")).alias("live_at")).where(F.col("ref").isNotNull())
+def parent_keys(rows: DataFrame, key: Column, live: Column, spaces: list[str]) -> DataFrame:
+    """One row per parent: pub_id, ref, the key spaces it belongs to, and its arrival if it is live."""
+    held = [F.lit(s in spaces).alias(f"in_{s}") for s in SPACES]
+    return rows.select("pub_id", key.alias("ref"), *held, F.when(live, F.col("loaded_at")).alias("live_at")).where(F.col("ref").isNotNull())
 
 
 def references(rows: DataFrame, table: str, key: str, fields: dict[str, tuple[Column, str]]) -> DataFrame:
@@ -38,18 +41,28 @@ def references(rows: DataFrame, table: str, key: str, fields: dict[str, tuple[Co
 
 
 def find_orphans(refs: DataFrame, parents: DataFrame) -> DataFrame:
-    """The orphans among ``refs``: ref_table, ref_field, row_key, reason, period."""
-    on = ["space", "pub_id", "ref"]
-    known = parents.groupBy(*on).agg(F.min("live_at").alias("live_at"))
-    rows = refs.groupBy("ref_table", "ref_field", "row_key", *on).agg(F.min("loaded_at").alias("arrived"))
-    wanted = refs.select(*on).distinct()
-    missing = wanted.join(known, on, "left_anti").select(*on, F.lit("missing").alias("state"), F.lit(None).cast("timestamp").alias("live_at"))
-    found = known.join(wanted, on, "left_semi").select(*on, F.when(F.col("live_at").isNull(), "deleted").otherwise("late").alias("state"), "live_at")
-    suspect = missing.unionByName(found).withColumnRenamed("pub_id", "p")
-    back = (F.col("r.space") == F.col("s.space")) & F.col("r.pub_id").eqNullSafe(F.col("s.p")) & (F.col("r.ref") == F.col("s.ref"))
-    hit = rows.alias("r").join(suspect.alias("s"), back).where((F.col("s.state") != "late") | (F.col("s.live_at") > F.col("r.arrived")))
-    period = F.date_format(F.to_timestamp_ntz(F.date_format(F.col("r.arrived"), "yyyy-MM-dd HH:mm:ss")), "yyyy-MM")
-    return hit.select("r.ref_table", "r.ref_field", "r.row_key", F.col("s.state").alias("reason"), period.alias("period"))
+    """The orphans among ``refs``: ref_table, ref_field, row_key, reason, period.
+
+    Every shuffle is on (pub_id, ref) and the aggregates before them are partial first; only rows whose key is suspect
+    reach the last aggregate, where copies of a row meet.
+    """
+    on = ["pub_id", "ref"]
+    known = parents.groupBy(*on).agg(*(x for s in SPACES for x in (F.bool_or(f"in_{s}").alias(f"in_{s}"), F.min(F.when(F.col(f"in_{s}"), F.col("live_at"))).alias(f"live_{s}"))))
+    wanted = refs.groupBy(*on).agg(*(F.min(F.when(F.col("space") == s, F.col("loaded_at"))).alias(f"seen_{s}") for s in SPACES))
+    absent = wanted.join(known, on, "left_anti").select(*on, *(F.struct(F.lit("missing").alias("state"), F.lit(None).cast("timestamp").alias("live_at")).alias(s) for s in SPACES))
+
+    def judged(s: str) -> Column:
+        state = F.when(~F.col(f"in_{s}"), "missing").when(F.col(f"live_{s}").isNull(), "deleted").when(F.col(f"live_{s}") > F.col(f"seen_{s}"), "late")
+        return F.struct(F.when(F.col(f"seen_{s}").isNotNull(), state).alias("state"), F.col(f"live_{s}").alias("live_at")).alias(s)
+
+    present = wanted.join(known, on).select(*on, *(judged(s) for s in SPACES)).where(F.coalesce(*(F.col(f"{s}.state") for s in SPACES)).isNotNull())
+    suspect = absent.unionByName(present).select(F.col("pub_id").alias("p"), F.col("ref").alias("k"), *SPACES)
+    back = refs.join(suspect, F.col("pub_id").eqNullSafe(F.col("p")) & (F.col("ref") == F.col("k")))
+    verdict = F.coalesce(*(F.when(F.col("space") == s, F.col(s)) for s in SPACES))
+    hit = back.select("ref_table", "ref_field", "row_key", "loaded_at", verdict.alias("v")).where(F.col("v.state").isNotNull())
+    rows = hit.groupBy("ref_table", "ref_field", "row_key", F.col("v.state").alias("reason"), F.col("v.live_at").alias("live_at")).agg(F.min("loaded_at").alias("arrived"))
+    kept = rows.where((F.col("reason") != "late") | (F.col("live_at") > F.col("arrived")))
+    return kept.select("ref_table", "ref_field", "row_key", "reason", F.date_format(F.to_utc_timestamp("arrived", F.current_timezone()), "yyyy-MM").alias("period"))
 
 
 def publication_orphans(declarations: DataFrame, reading_order: DataFrame, metas: DataFrame, elements: DataFrame) -> DataFrame:
@@ -59,10 +72,9 @@ def publication_orphans(declarations: DataFrame, reading_order: DataFrame, metas
     parents = reduce(
         DataFrame.unionByName,
         [
-            parent_keys(declarations, trimmed("id"), live, "manifest"),
-            parent_keys(declarations, trimmed("id"), live, "refines"),
-            parent_keys(elements, F.col("id"), live, "refines"),
-            parent_keys(metas, F.col("id"), F.lit(True), "refines"),
+            parent_keys(declarations, trimmed("id"), live, ["manifest", "refines"]),
+            parent_keys(elements, F.col("id"), live, ["refines"]),
+            parent_keys(metas, F.col("id"), F.lit(True), ["refines"]),
         ],
     )
     bare = F.when(F.col("refines") != "", F.ltrim(F.col("refines"), F.lit("#")))
