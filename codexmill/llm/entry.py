@@ -1,4 +1,22 @@
 """Queries and SQL of the subpackage."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from codexmill.llm import entities
+from codexmill.session import table
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return entities.spelling_pairs(entities.resolve(entities.name_strings(table(spark, d, "metadata_elements"))))
+
+
+def p2_entities(spark: SparkSession, d: str) -> DataFrame:
+    found = entities.resolve(entities.name_strings(table(spark, d, "metadata_elements")))
+    return found.groupBy("class", "entity").agg(F.count(F.lit(1)).alias("n_spellings"), F.min("name").alias("first_spelling"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_entities)}
+ORACLE: dict[str, str] = {}
