@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codexmill.llm import entities
+from codexmill.llm import entities, languages
 from codexmill.session import table
 
 
@@ -18,5 +18,20 @@ def p2_entities(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("class", "entity").agg(F.count(F.lit(1)).alias("n_spellings"), F.min("name").alias("first_spelling"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_entities)}
+def _passages(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    labelled = documents.select(F.col("doc_id").alias("key"), languages.label_code(F.col("lang")).alias("code"), "text")
+    return languages.detect(languages.corpus_texts(documents, table(spark, d, "metadata_elements")), labelled)
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    long = _passages(spark, d).where((F.col("chars") >= languages.PASSAGE_CHARS) & (F.col("lang") != F.col("code")))
+    return long.select("tab", "row_key", F.col("lang").alias("lang_found")).distinct()
+
+
+def p6_passages(spark: SparkSession, d: str) -> DataFrame:
+    return _passages(spark, d)
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_entities, p6_found, p6_passages)}
 ORACLE: dict[str, str] = {}
