@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codexmill.llm import entities, languages
+from codexmill.llm import entities, languages, truncation
 from codexmill.session import table
 
 
@@ -33,5 +33,13 @@ def p6_passages(spark: SparkSession, d: str) -> DataFrame:
     return _passages(spark, d)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_entities, p6_found, p6_passages)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.score(table(spark, d, "documents")).where(F.col("p_cut") >= truncation.THRESHOLD).select("doc_id")
+
+
+def p9_rates(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.cut_rates(truncation.score(table(spark, d, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_entities, p6_found, p6_passages, p9_found, p9_rates)}
 ORACLE: dict[str, str] = {}
