@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codexmill.llm import entities, languages, truncation
+from codexmill.llm import entities, languages, mixing, packing, tokens, truncation
 from codexmill.session import table
 
 
@@ -33,6 +33,34 @@ def p6_passages(spark: SparkSession, d: str) -> DataFrame:
     return _passages(spark, d)
 
 
+def _containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(tokens.token_sizes(table(spark, d, "documents")), table(spark, d, "pack_limits"))
+
+
+def p7_members(spark: SparkSession, d: str) -> DataFrame:
+    return packing.members(_containers(spark, d))
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(_containers(spark, d))
+
+
+def _repeats(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixture(tokens.token_sizes(table(spark, d, "documents"), "source"), table(spark, d, "mix_targets"))
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(_repeats(spark, d))
+
+
+def p8_repeats(spark: SparkSession, d: str) -> DataFrame:
+    return _repeats(spark, d)
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shares(_repeats(spark, d), table(spark, d, "mix_targets"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return truncation.score(table(spark, d, "documents")).where(F.col("p_cut") >= truncation.THRESHOLD).select("doc_id")
 
@@ -41,5 +69,5 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation.cut_rates(truncation.score(table(spark, d, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_entities, p6_found, p6_passages, p9_found, p9_rates)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_entities, p6_found, p6_passages, p7_members, p7_fill, p8_mix, p8_repeats, p8_shares, p9_found, p9_rates)}
 ORACLE: dict[str, str] = {}
