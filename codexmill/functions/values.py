@@ -5,7 +5,7 @@ Authored text is never repaired: a value that does not fit stays visible, with a
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # White space of HTML and XML.
@@ -133,14 +133,18 @@ def href_class(c: Column) -> Column:
 
 def join_path(authored: Column, source: Column) -> Column:
     """A decoded relative path from the document ``source``: dot and empty segments go, null where it leaves the root."""
-    start = parent_dir(source)
+    whole = fold_path(authored, source)
+    return F.when(authored == "", source).otherwise(F.when(path_error(whole).isNull(), whole))
+
+
+def fold_path(authored: Column, source: Column) -> Column:
+    """The segments of ``authored`` laid onto the directory of ``source``, null where they leave the root."""
 
     def step(acc: Column, x: Column) -> Column:
         up = F.when(acc == "", F.lit(None).cast("string")).otherwise(parent_dir(acc))
         return F.when(acc.isNull() | x.isin("", "."), acc).when(x == "..", up).otherwise(F.when(acc == "", x).otherwise(F.concat(acc, F.lit("/"), x)))
 
-    whole = F.aggregate(F.split(authored, "/"), start.cast("string"), step)
-    return F.when(authored == "", source).otherwise(F.when(path_error(whole).isNull(), whole))
+    return F.aggregate(F.split(authored, "/"), parent_dir(source).cast("string"), step)
 
 
 def resolve_href(c: Column, source: Column) -> Column:
@@ -154,6 +158,39 @@ def resolve_href(c: Column, source: Column) -> Column:
     return F.struct(state.alias("kind"), address.alias("address"), F.when(state.isin("local", "remote"), href_fragment(c)).alias("fragment"))
 
 
+def with_target(df: DataFrame, href: str, source: str) -> DataFrame:
+    """Adds t_kind, t_address and t_fragment: ``resolve_href`` in steps, each a projection whose results are computed once."""
+    h, src = F.col(href), F.col(source)
+    df = df.withColumn("_v", _repaired(h))
+    df = df.withColumns({"_target": F.substring_index("_v", "#", 1), "_raw": F.when(F.col("_v").contains("#"), F.regexp_replace("_v", r"^[^#]*#", "")), "_ok": _syntax_ok(F.col("_v"))})
+    df = df.withColumns({"_path": F.substring_index("_target", "?", 1), "_fragment": percent_decoded(F.col("_raw")), "_low": F.lower("_target")})
+    df = df.withColumn("_decoded", percent_decoded(F.col("_path")))
+    t, path = F.col("_target"), F.col("_path")
+    remote = t.startswith("//") | F.col("_low").startswith("http://") | F.col("_low").startswith("https://")
+    host = F.try_parse_url(F.when(t.startswith("//"), F.concat(F.lit("https:"), t)).otherwise(t), F.lit("HOST"))
+    bad_local = path.startswith("/") | F.substring_index(path, "/", 1).contains(":") | path.rlike(r"(?i)%2f|%5c") | F.col("_decoded").isNull()
+    kind = (
+        F.when(h.isNull(), F.lit(None).cast("string"))
+        .when((h == "") | ~F.col("_ok") | (F.col("_raw").isNotNull() & F.col("_fragment").isNull()), "invalid")
+        .when(F.col("_v").startswith("#"), "same-document")
+        .when(t.startswith("?"), "local")
+        .when(remote, F.when(host.isNotNull(), "remote").otherwise("invalid"))
+        .when(F.col("_low").startswith("data:"), "data")
+        .when(t.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), "external")
+        .when(bad_local, "invalid")
+        .otherwise("local")
+    )
+    df = df.withColumn("_kind", kind)
+    df = df.withColumn("_folded", F.when((F.col("_kind") == "local") & (F.col("_decoded") != ""), fold_path(F.col("_decoded"), src)))
+    df = df.withColumn("_local", F.when((F.col("_kind") == "same-document") | ((F.col("_kind") == "local") & (F.col("_decoded") == "")), src).when(path_error(F.col("_folded")).isNull(), F.col("_folded")))
+    address = F.coalesce("_local", F.when(F.col("_kind").isin("remote", "external"), t).when(F.col("_kind") == "data", h))
+    df = df.withColumn("t_address", address)
+    state = F.when(F.col("_local").isNotNull(), "local").when(F.col("t_address").isNotNull(), F.col("_kind")).when(h.isNotNull(), "invalid")
+    df = df.withColumn("t_kind", state)
+    df = df.withColumn("t_fragment", F.when(F.col("t_kind").isin("local", "remote"), F.nullif("_fragment", F.lit(""))))
+    return df.drop("_v", "_target", "_raw", "_ok", "_path", "_fragment", "_low", "_decoded", "_kind", "_folded", "_local")
+
+
 def strict_resource_path(c: Column, source: Column) -> Column:
     """The path an href names exactly: local, no fragment, no empty segment, no trailing dot segment; else null."""
     decoded = percent_decoded(F.substring_index(F.substring_index(c, "#", 1), "?", 1))

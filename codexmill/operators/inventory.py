@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codexmill.functions import values as V
+from codexmill.session import Scratch
 
 
 def first_copy(rows: DataFrame, key: str, by: str = "loaded_at") -> DataFrame:
@@ -23,10 +24,14 @@ def first_copy(rows: DataFrame, key: str, by: str = "loaded_at") -> DataFrame:
 def typed_declarations(declarations: DataFrame, publications: DataFrame) -> DataFrame:
     """Declarations with id state, resolved target and media type."""
     d = first_copy(declarations, "decl_key").join(publications.select("pub_id", "package_path"), "pub_id", "left")
-    target = V.resolve_href(F.col("href"), F.col("package_path"))
-    state = F.when(F.col("href").isNull(), "missing-href").when(F.col("t.kind") == "invalid", "invalid-href").otherwise("resource")
-    typed = d.withColumns({"t": target, "manifest_id": V.manifest_id(F.col("id")), "id_state": V.id_state(F.col("id")), "essence": V.essence(F.col("media_type"))})
-    return typed.select("pub_id", "decl_key", "manifest_ord", "id", "id_state", "manifest_id", "href", state.alias("target_state"), F.when(F.col("t.kind") != "invalid", F.col("t.kind")).alias("address_kind"), F.col("t.address").alias("address"), "media_type", "essence", V.media_class(F.col("essence")).alias("media_class"), "item_properties", "fallback", "media_overlay")
+    state = F.when(F.col("href").isNull(), "missing-href").when(F.col("t_kind") == "invalid", "invalid-href").otherwise("resource")
+    typed = V.with_target(d, "href", "package_path").withColumns({"manifest_id": V.manifest_id(F.col("id")), "id_state": V.id_state(F.col("id")), "essence": V.essence(F.col("media_type"))})
+    # written once: several joins read it, and a filter on its columns must not be pushed into the resolution
+    return Scratch(declarations.sparkSession, "declarations").cut(_typed_columns(typed, state))
+
+
+def _typed_columns(typed: DataFrame, state: Column) -> DataFrame:
+    return typed.select("pub_id", "decl_key", "manifest_ord", "id", "id_state", "manifest_id", "href", state.alias("target_state"), F.when(F.col("t_kind") != "invalid", F.col("t_kind")).alias("address_kind"), F.col("t_address").alias("address"), "media_type", "essence", V.media_class(F.col("essence")).alias("media_class"), "item_properties", "fallback", "media_overlay")
 
 
 def id_targets(typed: DataFrame) -> DataFrame:
@@ -75,11 +80,11 @@ def manifest_references(typed: DataFrame) -> DataFrame:
 def navigation_references(points: DataFrame, publications: DataFrame, typed: DataFrame) -> DataFrame:
     """Edges of navigation points, resolved against the package document: target_kind resource, fragment, missing-local, invalid, remote, data or external."""
     n = first_copy(points, "nav_key").where(F.col("authored_href").isNotNull())
-    p = n.join(publications.select("pub_id", "package_path"), "pub_id", "left").withColumn("t", V.resolve_href(F.col("authored_href"), F.col("package_path")))
+    p = Scratch(points.sparkSession, "navigation").cut(V.with_target(n.join(publications.select("pub_id", "package_path"), "pub_id", "left"), "authored_href", "package_path"))
     known = typed.where(F.col("address_kind") == "local").select(F.col("pub_id").alias("k_pub"), F.col("address").alias("k_address")).union(publications.select("pub_id", "package_path")).distinct()
-    j = p.join(known, (F.col("pub_id") == F.col("k_pub")) & (F.col("t.address") == F.col("k_address")), "left")
-    kind = F.when(F.col("t.kind") != "local", F.col("t.kind")).when(F.col("k_pub").isNull(), "missing-local").when(F.col("t.fragment").isNotNull(), "fragment").otherwise("resource")
-    return j.select("pub_id", "nav_key", "list_index", "point_path", F.col("semantic").alias("role"), F.col("authored_href").alias("declared"), kind.alias("target_kind"), F.col("t.address").alias("target_address"), F.col("t.fragment").alias("fragment"))
+    j = p.join(known, (F.col("pub_id") == F.col("k_pub")) & (F.col("t_address") == F.col("k_address")), "left")
+    kind = F.when(F.col("t_kind") != "local", F.col("t_kind")).when(F.col("k_pub").isNull(), "missing-local").when(F.col("t_fragment").isNotNull(), "fragment").otherwise("resource")
+    return j.select("pub_id", "nav_key", "list_index", "point_path", F.col("semantic").alias("role"), F.col("authored_href").alias("declared"), kind.alias("target_kind"), F.col("t_address").alias("target_address"), F.col("t_fragment").alias("fragment"))
 
 
 def broken_references(manifest: DataFrame, navigation: DataFrame, resources_: DataFrame | None = None) -> DataFrame:
@@ -148,25 +153,29 @@ def corpus_totals(summary: DataFrame) -> DataFrame:
     return summary.agg(F.count(F.lit(1)).alias("books"), F.count_if(F.col("status") == "failed").alias("failed"), known.alias("archive_size_bytes"), *sums)
 
 
-def dependency_closure(manifest: DataFrame, typed: DataFrame, levels: int = 64) -> DataFrame:
+def dependency_closure(manifest: DataFrame, levels_per_job: int = 6) -> DataFrame:
     """Declarations that each declaration needs through fallbacks and overlays, with the least distance.
 
-    Breadth-first with an anti-join on what was reached: (pub_id, root, reached, distance). Cycles end by themselves.
+    Breadth-first with an anti-join on what was reached: (root, reached, distance). Several levels make one job; cycles
+    end by themselves, as only what is new is followed.
     """
-    from codexmill.session import Scratch
-
     scratch = Scratch(manifest.sparkSession, "closure")
     edges = scratch.cut(manifest.where(F.col("target_state") == "declaration").select(F.col("decl_key").alias("at"), F.col("target_decl").alias("to")).distinct())
-    reached = scratch.cut(edges.select(F.col("at").alias("root"), F.col("to").alias("reached"), F.lit(1).cast("bigint").alias("distance")).where(F.col("root") != F.col("reached")))
-    frontier, parts = reached, [reached]
-    for step in range(2, levels + 1):
-        known = reduce(DataFrame.unionByName, parts).select("root", "reached")
-        new = frontier.join(edges, F.col("reached") == F.col("at")).select("root", F.col("to").alias("reached")).where(F.col("root") != F.col("reached")).distinct()
-        frontier = scratch.cut(new.join(known, ["root", "reached"], "left_anti").withColumn("distance", F.lit(step).cast("bigint")))
-        if frontier.isEmpty():
-            break
-        parts.append(frontier)
-    return reduce(DataFrame.unionByName, parts)
+    frontier, parts, depth = edges.select(F.col("at").alias("root"), F.col("at").alias("reached")).distinct(), [], 0
+    while True:
+        levels, now = [], frontier
+        for _ in range(levels_per_job):
+            depth += 1
+            now = now.join(edges, F.col("reached") == F.col("at")).select("root", F.col("to").alias("reached")).where(F.col("root") != F.col("reached")).distinct()
+            levels.append(now.withColumn("distance", F.lit(depth).cast("bigint")))
+        found = reduce(DataFrame.unionByName, levels).groupBy("root", "reached").agg(F.min("distance").alias("distance"))
+        if parts:
+            found = found.join(reduce(DataFrame.unionByName, parts).select("root", "reached"), ["root", "reached"], "left_anti")
+        new = scratch.cut(found)
+        if new.isEmpty():
+            return reduce(DataFrame.unionByName, [*parts, new])
+        parts.append(new)
+        frontier = new.where(F.col("distance") == depth).select("root", "reached")
 
 
 def removal_impact(typed: DataFrame, order: DataFrame, manifest: DataFrame, navigation: DataFrame) -> DataFrame:

@@ -16,12 +16,10 @@ def _typed(s: SparkSession, d: str) -> DataFrame:
     return I.typed_declarations(table(s, d, "declarations"), table(s, d, "publications"))
 
 
-def _manifest(s: SparkSession, d: str) -> DataFrame:
-    return I.manifest_references(_typed(s, d))
-
-
-def _navigation(s: SparkSession, d: str) -> DataFrame:
-    return I.navigation_references(table(s, d, "nav_points"), table(s, d, "publications"), _typed(s, d))
+def _edges(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Typed declarations, and the manifest and navigation references on them."""
+    t = _typed(s, d)
+    return t, I.manifest_references(t), I.navigation_references(table(s, d, "nav_points"), table(s, d, "publications"), t)
 
 
 def q_x01_path_errors(s, d):
@@ -70,7 +68,7 @@ def q_j03_reading_order_targets(s, d):
 
 
 def q_j04_r01_manifest_references(s, d):
-    return _manifest(s, d).select("decl_key", "role", "idref", "target_state", "target_decl", "candidates")
+    return I.manifest_references(_typed(s, d)).select("decl_key", "role", "idref", "target_state", "target_decl", "candidates")
 
 
 def q_j06_n01_resources(s, d):
@@ -108,7 +106,7 @@ def q_j27_members_of_duplicates(s, d):
 
 
 def q_f46_r05_navigation_targets(s, d):
-    return _navigation(s, d).select("nav_key", "target_kind", "target_address", "fragment")
+    return _edges(s, d)[2].select("nav_key", "target_kind", "target_address", "fragment")
 
 
 def q_f47_navigation_points(s, d):
@@ -125,7 +123,7 @@ def q_n03_first_lists(s, d):
 
 
 def q_w01_broken_references(s, d):
-    return I.broken_references(_manifest(s, d), _navigation(s, d)).select("kind", "role", "source_key", "declared", "reason")
+    return I.broken_references(*_edges(s, d)[1:]).select("kind", "role", "source_key", "declared", "reason")
 
 
 def q_w15_properties(s, d):
@@ -135,17 +133,17 @@ def q_w15_properties(s, d):
 
 
 def q_g01_dependency_closure(s, d):
-    c = I.dependency_closure(_manifest(s, d), _typed(s, d))
+    c = I.dependency_closure(I.manifest_references(_typed(s, d)))
     return c.groupBy("root").agg(F.count(F.lit(1)).alias("n_reached"), F.max("distance").alias("farthest"))
 
 
 def q_g05_removal_impact(s, d):
-    t = _typed(s, d)
-    return I.removal_impact(t, table(s, d, "reading_order"), I.manifest_references(t), _navigation(s, d))
+    t, m, n = _edges(s, d)
+    return I.removal_impact(t, table(s, d, "reading_order"), m, n)
 
 
 def q_a01_book_summary(s, d):
-    t, m, n = _typed(s, d), _manifest(s, d), _navigation(s, d)
+    t, m, n = _edges(s, d)
     p = table(s, d, "publications")
     return I.book_summary(p, t, table(s, d, "reading_order"), m, n, I.broken_references(m, n), I.resources(p, t))
 
