@@ -186,7 +186,7 @@ def _score_frames(w: np.ndarray) -> Callable[[Iterator[pd.DataFrame]], Iterator[
 def score(documents: DataFrame) -> DataFrame:
     """Probability that each text was cut: doc_id, source, feed, p_cut. Blank texts have none."""
     scratch = Scratch(documents.sparkSession, "truncation")
-    rows = documents.select("doc_id", "source", "feed", "text", F.length("text").alias("n"), last_line(F.col("text")).alias("line")).where(F.trim("text") != "")
+    rows = documents.select("doc_id", "source", "feed", "text", F.length("text").alias("n"), last_line(F.col("text")).alias("line")).where(F.col("text").rlike(r"\S"))
     limits = scratch.cut(field_limits(rows)).select(F.col("source").alias("l_source"), F.col("feed").alias("l_feed"), "limit")
     lines = rows.where(F.col("line").isNotNull()).groupBy("line").agg(F.count_distinct(F.xxhash64("text")).alias("line_count")).where(F.col("line_count") > 1).withColumnRenamed("line", "a_line")
     placed = (
