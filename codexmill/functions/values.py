@@ -61,7 +61,10 @@ def compact(c: Column, most: int = 100) -> Column:
 
 def percent_decoded(c: Column) -> Column:
     """Percent escapes decoded as UTF-8, null where they are malformed; a plus sign stays."""
-    return F.try_url_decode(F.regexp_replace(c, r"\+", "%2B"))
+    decoded = F.try_url_decode(F.regexp_replace(c, r"\+", "%2B"))
+    # bytes that are no UTF-8 come out as replacement characters; one that was meant stays
+    spoilt = decoded.contains("\ufffd") & ~c.rlike(r"(?i)%EF%BF%BD") & ~c.contains("\ufffd")
+    return F.when(~spoilt, decoded)
 
 
 def path_error(c: Column) -> Column:
