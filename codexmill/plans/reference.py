@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codexmill.functions import values as V
+from codexmill.operators import catalog, content
 from codexmill.operators import inventory as I
 from codexmill.session import table
 
@@ -165,12 +166,65 @@ def q_t07_compact_text(s, d):
     return table(s, d, "documents").select("doc_id", V.compact(F.col("text")).alias("short"))
 
 
+def q_f01_text_streams(s, d):
+    return content.stream_summary(content.extract(table(s, d, "documents"), "doc_id", "text"), "doc_id")
+
+
+def q_f05_span_texts(s, d):
+    return content.span_texts(content.extract(table(s, d, "documents"), "doc_id", "text"), "doc_id")
+
+
+def q_w06_a04_executable_states(s, d):
+    return content.executable_states(content.extract(table(s, d, "documents"), "doc_id", "text"))
+
+
+def q_j19_annotation_targets(s, d):
+    return content.annotation_targets(table(s, d, "annotation_sets"), table(s, d, "publications"), _typed(s, d)).select("set_key", "node_path", "state", "address", "fragment")
+
+
+def q_j16_incoming_references(s, d):
+    t, _, n = _edges(s, d)
+    r = I.resources(table(s, d, "publications"), t)
+    return catalog.incoming_references(n, r).groupBy("pub_id", "resource_ord").agg(F.count(F.lit(1)).alias("n_incoming"))
+
+
+def q_k06_unique_ids(s, d):
+    t = _typed(s, d)
+    return I.id_targets(t).where(F.col("candidates") == 1).select("pub_id", "manifest_id", F.col("decl").alias("decl_key"))
+
+
+def q_k07_manifest_resources(s, d):
+    return catalog.manifest_resources(I.resources(table(s, d, "publications"), _typed(s, d))).select("pub_id", "resource_ord", "n_declarations")
+
+
+def q_k16_landmarks(s, d):
+    n = I.first_copy(table(s, d, "nav_points"), "nav_key")
+    return catalog.list_of(n, "landmarks").select("nav_key", "list_index", "label")
+
+
+def q_a02_a03_coverage(s, d):
+    t, m, n = _edges(s, d)
+    bad = lambda c, ok: F.when(F.col(c).isin(*ok), "complete").otherwise("unavailable")
+    families = {
+        "declarations": t.select(bad("target_state", ("resource",)).alias("state")),
+        "manifest_references": m.select(F.when(F.col("target_state") == "ambiguous", "partial").otherwise(bad("target_state", ("declaration",))).alias("state")),
+        "navigation_references": n.select(F.when(F.col("target_kind").isin("remote", "data", "external"), "not_applicable").otherwise(bad("target_kind", ("resource", "fragment"))).alias("state")),
+    }
+    return catalog.coverage(families)
+
+
 QUERIES = {k: f for k, f in dict(globals()).items() if k.startswith("q_")}
 
 
 # --- equivalent SQL
 
 
+def _nodes_sql() -> str:
+    from codexmill.plans.oracle import _P1_NODES
+
+    return _P1_NODES
+
+
 def _fix(x: str) -> str:
     return f"(case when contains({x}, ' ') and trim({x}) = {x} then replace({x}, ' ', '%20') else {x} end)"
 
@@ -305,5 +359,19 @@ ORACLE = {
     "q_a11_declared_formats": f"""with {_TYPED}, f as (select pub_id, address, count(distinct media_class) as n, min(media_class) as one, count(*) filter (media_class is null) as untold from t where address is not null group by all)
  select pub_id, address, case when n = 0 then 'none' when n = 1 then 'one' else 'conflict' end as classification, case when n = 1 and untold = 0 then one end as hint from f""",
     "q_k12_dublin_core": "with e as (select distinct pub_id, elem_key, kind, content from metadata_elements) select kind, count(*) as n, count(distinct pub_id) as books, count(content) as n_values from e group by all",
+    "q_j16_incoming_references": f"{_ALL} select n.pub_id, resource_ord, count(*) as n_incoming from n join res on res.pub_id = n.pub_id and res.address = n.target_address group by all",
+    "q_k06_unique_ids": f"with {_TYPED} select pub_id, manifest_id, decl as decl_key from ids where candidates = 1",
+    "q_k07_manifest_resources": f"with {_TYPED}, {_RES} select pub_id, resource_ord, n_declarations from res where n_declarations > 0",
+    "q_k16_landmarks": "with n as (select distinct nav_key, pub_id, list_index, semantic, label from nav_points), f as (select pub_id, min(list_index) as list_index from n where semantic = 'landmarks' group by all) select nav_key, n.list_index, label from n join f using (pub_id, list_index)",
+    "q_a02_a03_coverage": f"""{_ALL}, u as (select 'declarations' as family, case when target_state = 'resource' then 'complete' else 'unavailable' end as state from t
+  union all select 'manifest_references', case target_state when 'ambiguous' then 'partial' when 'declaration' then 'complete' else 'unavailable' end from m
+  union all select 'navigation_references', case when target_kind in ('remote', 'data', 'external') then 'not_applicable' when target_kind in ('resource', 'fragment') then 'complete' else 'unavailable' end from n)
+ select family, count(*) filter (state <> 'not_applicable') as expected, count(*) filter (state = 'complete') as complete, count(*) filter (state = 'partial') as partial, count(*) filter (state = 'unavailable') as unavailable from u group by all""",
+    "q_j19_annotation_targets": _nodes_sql()
+    + f""", {_TYPED}, g as (select n.set_key, node_path, j ->> 'source' as src, json_type(j -> 'source') as kind, s.pub_id, p.package_path from nodes n join (select set_key, min(pub_id) as pub_id from annotation_sets group by all) s using (set_key) left join publications p on p.pub_id = s.pub_id where node_kind = 'target'),
+ h as (select *, {_class("src")} as c, {_address("src", "package_path")} as a from g),
+ kn as (select distinct pub_id, address from t where address_kind = 'local')
+ select h.set_key, node_path, case when src is null then 'none' when a is null then 'unsupported' when kn.pub_id is null then 'missing' else 'declared' end as state, a as address, case when a is not null then nullif(split_part(src, '#', 2), '') end as fragment
+ from h left join kn on kn.pub_id = h.pub_id and kn.address = h.a""",
     "q_t07_compact_text": r"select doc_id, case when length(c) > 100 then left(c, 97) || '...' else c end as short from (select doc_id, trim(regexp_replace(text, '[\s\x{85}\p{Z}]+', ' ', 'g')) as c from documents)",
 }
