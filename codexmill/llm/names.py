@@ -104,7 +104,9 @@ def given_names(token: str) -> tuple[str, ...]:
     """The full given names that a token can mean; one slip of the pen is forgiven in longer ones."""
     if token in _FORM_OF:
         return (_FORM_OF[token],)
-    return tuple(sorted({g for f, g in _FORM_OF.items() if len(f) >= 4 and near(f, token)})) if len(token) >= 4 else ()
+    hits = {f: g for f, g in _FORM_OF.items() if len(f) >= 4 and near(f, token)} if len(token) >= 4 else {}
+    same = {g for f, g in hits.items() if f[0] == token[0]}  # slips seldom touch the first letter
+    return tuple(sorted(same or set(hits.values())))
 
 
 def _house_word(token: str) -> str:

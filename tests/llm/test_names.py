@@ -37,6 +37,7 @@ def test_near(a, b):
         ("Belunaliki S.", "belunaliki", "", "s", ""),
         ("Otti Von Tisiboséha (transl.)", "von tisiboseha", "ottilie", "o", ""),
         ("Romenatumo Stephanie A.", "romenatumo", "stephanie", "s", "a"),
+        ("Gotatekinu Urich", "gotatekinu", "ulrich", "u", ""),
         ("Plato", "plato", "", "", ""),
     ],
 )
