@@ -1,5 +1,7 @@
 """Equivalent DuckDB SQL of the core queries, for the correctness gate."""
 
+from codexmill.operators.timestamps import ABBREVIATIONS, MONTHS
+
 _T = r"trim({}, E' \t\r\n')"
 
 _P4 = f"""
@@ -75,7 +77,50 @@ with recursive whole as (
 )
 """
 
+_MONTHS = "(case lower({}) " + " ".join(f"when '{n}' then {m}" for m, ns in MONTHS.items() for n in ns) + " end)"
+_CIVIL = [  # pattern, names of its groups, month expression
+    (r"^(\d{4})-(\d{2})-(\d{2})(?:[T ](\d{2}):(\d{2})(?::(\d{2})(?:[.,](\d+))?)?(.*))?$", "y m d h i s f z", "g.m"),
+    (r"^(\d{4})/(\d{1,2})/(\d{1,2})(?: (\d{1,2}):(\d{2})(?::(\d{2}))?)?$", "y m d h i s", "g.m"),
+    (r"^(\d{4})(\d{2})(\d{2})(?:T?(\d{2})(\d{2})(\d{2})?(Z)?)?$", "y m d h i s z", "g.m"),
+    (r"^(\d{4})(?:-(\d{2}))?$", "y m", "coalesce(nullif(g.m, ''), '1')"),
+    (r"^(?:\pL{3}, )?(\d{1,2}) (\pL+) (\d{4}) (\d{1,2}):(\d{2})(?::(\d{2}))? ?(.*)$", "d m y h i s z", _MONTHS.format("g.m")),
+    (r"^(\d{1,2})\.? (\pL+) (\d{4})$", "d m y", _MONTHS.format("g.m")),
+    (r"^(\pL+) (\d{1,2}), (\d{4})$", "m d y", _MONTHS.format("g.m")),
+    (r"^(\d{1,2})[./-](\d{1,2})[./-](\d{4})(?:,? (\d{1,2}):(\d{2})(?: ?([AaPp][Mm]|Uhr))?)?$", "d m y h i ap", "g.m"),
+]
+
+
+def _civil(pattern: str, names: str, month: str) -> str:
+    has = names.split()
+    g = lambda n, other: f"coalesce(nullif(g.{n}, ''), '{other}')" if n in has else f"'{other}'"
+    day, hour = g("d", "1"), g("h", "0")
+    if "ap" in has:  # all numbers, the year last: the locale orders day and month
+        day, month = "(case when locale like '%-US' then g.m else g.d end)", "(case when locale like '%-US' then g.d else g.m end)"
+        hour = f"(case when upper(g.ap) in ('AM', 'PM') then cast(try_cast({hour} as int) % 12 + case when upper(g.ap) = 'PM' then 12 else 0 end as varchar) else {hour} end)"
+    listed = ", ".join(f"'{n}'" for n in has)
+    return f"""select tab, row_key, home_zone, try_cast(printf('%04d-%02d-%02d %02d:%02d:%02d', try_cast(g.y as int), cast({month} as int), try_cast({day} as int), try_cast({hour} as int), try_cast({g("i", "0")} as int), try_cast({g("s", "0")} as int)) as timestamp) as wall,
+  cast(rpad(left({g("f", "0")}, 6), 6, '0') as bigint) as frac, trim({g("z", "")}) as z from (select *, regexp_extract(v, '{pattern}', [{listed}]) as g from src where regexp_matches(v, '{pattern}'))"""
+
+
+_P3 = (
+    f"""with src as (select tab, row_key, {_T.format("content")} as v, home_zone, locale from (
+  select distinct 'metadata_elements' as tab, elem_key as row_key, content, feed from metadata_elements where kind = 'date'
+  union select 'metas', meta_key, content, feed from metas where property like 'dcterms:%') left join feeds using (feed)),
+civil as ("""
+    + "\nunion all ".join(_civil(*c) for c in _CIVIL)
+    + r"""), zoned as (select *,
+  case when upper(z) = 'Z' then 0 when regexp_matches(z, '^[+-]\d{2}:?\d{2}$') then (cast(z[2:3] as int) * 60 + cast(right(z, 2) as int)) * (case when z[1] = '-' then -1 else 1 end) """
+    + " ".join(f"when z = '{k}' then {v}" for k, v in ABBREVIATIONS.items())
+    + r""" end as minutes, case when z = '' then home_zone when regexp_matches(z, '^\[[A-Za-z]+(/[A-Za-z_]+)*\]$') then z[2:-2] end as region from civil where wall is not null),
+moment as (select *, timezone(region, wall) as one from zoned),
+first as (select tab, row_key, frac + case when minutes is not null then epoch_us(wall) - cast(minutes as bigint) * 60000000 when timezone(region, one - interval 1 hour) = wall then epoch_us(one - interval 1 hour) else epoch_us(one) end as utc_us from moment)
+select tab, row_key, cast(utc_us as bigint) as utc_us from first where utc_us is not null
+union all select tab, row_key, cast(v as bigint) * 1000000 from src where regexp_matches(v, '^\d{10}$')
+union all select tab, row_key, cast(v as bigint) * 1000 from src where regexp_matches(v, '^\d{13}$')"""
+)
+
 ORACLE = {
+    "p3_found": _P3,
     "p1_found": _P1_NODES + "select distinct set_key, node_path, parent_path, node_kind from nodes where node_kind <> 'root'",
     "p4_found": _P4 + "select * from found",
     "p4_report": _P4 + "select ref_table, ref_field, reason, period, count(*) as n_orphans from found group by all",
