@@ -328,13 +328,21 @@ def flatten_nodes(df: DataFrame, key: str = "set_key", payload: str = "payload",
 
 
 def _decoded(name: str) -> Column:
-    """The string in a raw JSON member, or its JSON text where it is no string."""
-    raw = F.col(f"{name}_json")
+    """The string in a raw JSON member, or its JSON text where it is no string; a JSON null is null."""
+    raw = F.nullif(F.col(f"{name}_json"), F.lit("null"))
     return F.when(raw.startswith('"'), F.from_json(F.concat(F.lit("["), raw, F.lit("]")), "array<string>")[0]).otherwise(raw).alias(name)
 
 
 def annotation_tables(df: DataFrame, key: str = "set_key", payload: str = "payload") -> dict[str, DataFrame]:
-    """Four related flat tables (annotation, target, body, selector); each row names its parent by (key, parent_path)."""
+    """Four related flat tables (annotation, target, body, selector); each row names its parent by (key, parent_path).
+
+    A body's value is its text, also where it is an object with a text and a language.
+    """
     nodes = flatten_nodes(df, key, payload)
-    columns = {"annotation": ("id", "type", "created", "motivation"), "target": ("id", "type", "source"), "body": ("id", "type", "value"), "selector": ("type", "value")}
-    return {k: nodes.where(F.col("node_kind") == k).select(key, "node_path", "parent_path", *(_decoded(c) for c in columns[k])) for k in KINDS}
+    body = F.col("value_json")
+    text = F.when(body.startswith("{"), F.get_json_object(body, "$.text")).otherwise(_decoded("value"))
+    language = F.when(body.startswith("{"), F.get_json_object(body, "$.language"))
+    nodes = nodes.withColumns({"body_text": text, "body_language": language})
+    columns = {"annotation": ("id", "type", "created", "motivation"), "target": ("id", "type", "source"), "body": ("id", "type"), "selector": ("type", "value")}
+    extra = {"body": (F.col("body_text").alias("value"), F.col("body_language").alias("language"))}
+    return {k: nodes.where(F.col("node_kind") == k).select(key, "node_path", "parent_path", *(_decoded(c) for c in columns[k]), *extra.get(k, ())) for k in KINDS}

@@ -119,7 +119,22 @@ union all select tab, row_key, cast(v as bigint) * 1000000 from src where regexp
 union all select tab, row_key, cast(v as bigint) * 1000 from src where regexp_matches(v, '^\d{13}$')"""
 )
 
+def _member(name: str) -> str:
+    return f"case json_type(j -> '{name}') when 'VARCHAR' then j ->> '{name}' when 'ARRAY' then null when 'NULL' then null else cast(j -> '{name}' as varchar) end as {name}"
+
+
+def _nodes_of(kind: str, *members: str) -> str:
+    return _P1_NODES + f"select distinct set_key, node_path, parent_path, {', '.join(map(_member, members))} from nodes where node_kind = '{kind}'"
+
+
 ORACLE = {
+    "p1_annotations": _nodes_of("annotation", "id", "type", "created", "motivation"),
+    "p1_targets": _nodes_of("target", "id", "type", "source"),
+    "p1_selectors": _nodes_of("selector", "type", "value"),
+    "p1_bodies": _P1_NODES
+    + f"""select distinct set_key, node_path, parent_path, {_member("id")}, {_member("type")},
+ case json_type(j -> 'value') when 'VARCHAR' then j ->> 'value' when 'OBJECT' then j -> 'value' ->> 'text' when 'ARRAY' then null when 'NULL' then null else cast(j -> 'value' as varchar) end as value,
+ case when json_type(j -> 'value') = 'OBJECT' then j -> 'value' ->> 'language' end as language from nodes where node_kind = 'body'""",
     "p3_found": _P3,
     "p1_found": _P1_NODES + "select distinct set_key, node_path, parent_path, node_kind from nodes where node_kind <> 'root'",
     "p4_found": _P4 + "select * from found",
