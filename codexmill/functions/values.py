@@ -260,3 +260,33 @@ def utf16_length(c: Column) -> Column:
 def is_control_path(c: Column) -> Column:
     """Container files that are no resources of the publication."""
     return (c == "mimetype") | c.startswith("META-INF/")
+
+
+# Accessibility terms by vocabulary.
+ACCESSIBILITY_TERMS = {
+    "schema": ("accessMode", "accessModeSufficient", "accessibilityFeature", "accessibilityHazard", "accessibilitySummary"),
+    "a11y": ("contactEmail", "certifiedBy", "certifierCredential", "certifierReport"),
+    "dcterms": ("conformsTo",),
+    "": ("pageBreakSource", "page-source"),
+}
+
+
+def accessibility_term(prop: Column, prefixes: Column) -> Column:
+    """vocabulary:term of an accessibility property, its prefix being reserved or declared in ``prefixes``; else null."""
+    prefix = F.when(prop.contains(":"), F.substring_index(prop, ":", 1)).otherwise("")
+    local = F.when(prop.contains(":"), F.regexp_replace(prop, "^[^:]*:", "")).otherwise(prop)
+    declared = tokens(F.coalesce(prefixes, F.lit("")))
+    uri = F.try_element_at(declared, (F.array_position(declared, F.concat(prefix, F.lit(":"))) + 1).cast("int"))
+    known = F.when(F.array_position(declared, F.concat(prefix, F.lit(":"))) > 0, F.when(uri.rlike("^https?://schema.org/"), "schema").when(uri.rlike("/a11y/?#?$"), "a11y").when(uri.rlike("^http://purl.org/dc/terms/"), "dcterms"))
+    vocabulary = F.when(prefix.isin("", "schema", "a11y", "dcterms"), prefix).otherwise(known)
+    ok = F.lit(False)
+    for v, names in ACCESSIBILITY_TERMS.items():
+        ok = ok | ((vocabulary == v) & local.isin(*names))
+    return F.when(ok, F.concat(vocabulary, F.lit(":"), local))
+
+
+def conformance(c: Column) -> Column:
+    """(accessibility version, guideline version, level) of a conformance claim, null for any other text."""
+    p = r"^EPUB Accessibility (1\.[012]) - WCAG (2\.[012]) Level (A{1,3})$"
+    part = lambda i, n: F.regexp_extract(c, p, i).alias(n)
+    return F.when(c.rlike(p), F.struct(part(1, "accessibility"), part(2, "guidelines"), part(3, "level")))

@@ -6,6 +6,8 @@ is not there is no change; control files and the package document are refused.
 
 from __future__ import annotations
 
+import posixpath
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -113,7 +115,7 @@ class PackageEdit:
         del self.p["elements"][at]
         return self
 
-    def replace_element(self, content: str, **selector) -> PackageEdit:
+    def replace_element(self, content: str, /, **selector) -> PackageEdit:
         self.p["elements"][self._one(self.p["elements"], "element", **selector)]["content"] = content
         return self
 
@@ -146,6 +148,119 @@ class PackageEdit:
         return package_to_xml(self.p).encode()
 
 
+# Guide types and the landmark semantic that each becomes.
+LANDMARKS = {
+    "cover": "cover",
+    "title-page": "titlepage",
+    "toc": "toc",
+    "index": "index",
+    "glossary": "glossary",
+    "acknowledgements": "acknowledgments",
+    "bibliography": "bibliography",
+    "colophon": "colophon",
+    "copyright-page": "copyright-page",
+    "epigraph": "epigraph",
+    "foreword": "foreword",
+    "preface": "preface",
+    "dedication": "dedication",
+    "loi": "loi",
+    "lot": "lot",
+    "text": "bodymatter",
+}
+
+
+def landmark_points(guide: list[dict]) -> list[dict]:
+    """Landmark points of a guide; types without a semantic are left out."""
+    kept = [g for g in guide if (g["type"] or "").lower() in LANDMARKS and g["href"]]
+    return [{"point_path": [i], "label": g["title"] or g["type"], "authored_href": g["href"], "semantic": LANDMARKS[g["type"].lower()], "hidden": False} for i, g in enumerate(kept)]
+
+
+class NavigationEdit:
+    """Edits of one navigation list given as points with paths; a refused edit leaves the list as it was."""
+
+    def __init__(self, points: list[dict]):
+        self.points = [dict(p, point_path=list(p["point_path"])) for p in sorted(points, key=lambda p: p["point_path"])]
+
+    def find(self, **selector) -> list[int]:
+        """The path of the one point that the selector (point_path, label, authored_href) names."""
+        hits = [p["point_path"] for p in self.points if all(p.get(k) == v for k, v in selector.items())]
+        if len(hits) != 1:
+            raise EditError(f"navigation point: {'none' if not hits else 'ambiguous'}")
+        return list(hits[0])
+
+    def _at(self, path: list[int]) -> dict:
+        return next(p for p in self.points if p["point_path"] == path)
+
+    def _children(self, parent: list[int]) -> int:
+        return sum(len(p["point_path"]) == len(parent) + 1 and p["point_path"][:-1] == parent for p in self.points)
+
+    def _shift(self, parent: list[int], start: int, by: int) -> None:
+        d = len(parent)
+        for p in self.points:
+            path = p["point_path"]
+            if len(path) > d and path[:d] == parent and path[d] >= start:
+                path[d] += by
+
+    def set_label(self, label: str, /, **selector) -> NavigationEdit:
+        self._at(self.find(**selector))["label"] = label
+        return self
+
+    def set_href(self, href: str, /, **selector) -> NavigationEdit:
+        self._at(self.find(**selector))["authored_href"] = href
+        return self
+
+    def add(self, parent: list[int], position: int, label: str, href: str | None) -> NavigationEdit:
+        if parent and not any(p["point_path"] == parent for p in self.points):
+            raise EditError("navigation point: none")
+        if not 0 <= position <= self._children(parent):
+            raise EditError("position")
+        self._shift(parent, position, 1)
+        self.points.append({"point_path": [*parent, position], "label": label, "authored_href": href, "semantic": None, "hidden": False})
+        self.points.sort(key=lambda p: p["point_path"])
+        return self
+
+    def remove(self, **selector) -> NavigationEdit:
+        self._take(self.find(**selector))
+        return self
+
+    def _take(self, path: list[int]) -> list[dict]:
+        n = len(path)
+        taken = [p for p in self.points if p["point_path"][:n] == path]
+        self.points = [p for p in self.points if p["point_path"][:n] != path]
+        self._shift(path[:-1], path[-1] + 1, -1)
+        return taken
+
+    def move(self, path: list[int], parent: list[int], position: int) -> NavigationEdit:
+        """Moves a subtree below ``parent`` (a path before the move); a subtree cannot go into itself."""
+        path = self.find(point_path=path)
+        if parent[: len(path)] == path:
+            raise EditError("a subtree cannot move into itself")
+        goal = self._at(self.find(point_path=parent)) if parent else None
+        before = [dict(p, point_path=list(p["point_path"])) for p in self.points]
+        taken = self._take(path)
+        home = list(goal["point_path"]) if goal else []
+        if not 0 <= position <= self._children(home):
+            self.points = before
+            raise EditError("position")
+        self._shift(home, position, 1)
+        for p in taken:
+            p["point_path"] = [*home, position, *p["point_path"][len(path) :]]
+        self.points = sorted(self.points + taken, key=lambda p: p["point_path"])
+        return self
+
+
+def rebase_href(href: str, source: str, output: str) -> str:
+    """A relative href of the document ``source`` as the document ``output`` must write it; other hrefs stay."""
+    if source == output or re.match(r"[A-Za-z][A-Za-z0-9+.-]*:|//", href):
+        return href
+    m = re.match(r"([^?#]*)(.*)", href, re.S)
+    target = posixpath.normpath(posixpath.join(posixpath.dirname(source), m[1])) if m[1] else source
+    if target == source:
+        raise EditError("a reference into the document itself cannot move")
+    new = posixpath.relpath(target, posixpath.dirname(output) or ".")
+    return new + ("/" if m[1].endswith("/") else "") + m[2]
+
+
 def edit_packages(packages: DataFrame, edit: Callable[[PackageEdit], PackageEdit]) -> DataFrame:
     """Rewrites (pub_id, path, bytes) package documents; a refused or unreadable one keeps its bytes and tells why."""
 

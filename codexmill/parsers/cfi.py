@@ -199,3 +199,26 @@ def resolve(document: str, steps: list[Step], offset: int | None) -> tuple[str,
         if s.assertion is not None and s.assertion not in (node.get("id"), node.get("{http://www.w3.org/XML/1998/namespace}id")):
             raise LocatorError("id assertion")
     return node.tag.rsplit("}", 1)[-1], total + (offset or 0)
+
+
+def check_text(document: str, steps: list[Step], offset: int, expected: tuple[str | None, str | None]) -> None:
+    """The text assertion of a locator: what stands before and behind its place, white space collapsed."""
+    _, at = resolve(document, steps, offset)
+    whole = "".join(ET.fromstring(document).itertext()).encode("utf-16-le")
+    try:
+        before, after = whole[: at * 2].decode("utf-16-le"), whole[at * 2 :].decode("utf-16-le")
+    except UnicodeDecodeError as e:
+        raise LocatorError("offset splits a character") from e
+    flat = lambda t: " ".join(t.split())
+    if (expected[0] and not flat(before).endswith(flat(expected[0]))) or (expected[1] and not flat(after).startswith(flat(expected[1]))):
+        raise LocatorError("text assertion")
+
+
+def resolve_range(document: str, x: Locator) -> tuple[int, int]:
+    """UTF-16 positions of a range; a reversed one is refused."""
+    inside = next((i for i, s in enumerate(x.parent.steps) if s.indirect), len(x.parent.steps))
+    base = x.parent.steps[inside:]
+    a, b = (resolve(document, base + p.steps, p.offset)[1] for p in (x.start, x.end))
+    if a > b:
+        raise LocatorError("reversed range")
+    return a, b

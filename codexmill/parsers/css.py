@@ -77,3 +77,72 @@ def parse_css(text: str) -> tuple[list[dict], bool]:
 def functional_iris(value: str) -> list[str]:
     """All addresses in ``url()`` of an attribute value."""
     return [_plain(next(g for g in m.group("u1", "u2", "u3") if g is not None)) for m in _TOKEN.finditer(value) if m["url"]]
+
+
+# Prefixed properties with their standard name and keywords; a keyword without a match is left out.
+PREFIXED = {
+    "-epub-hyphens": ("hyphens", {"all": None}, False),
+    "-epub-line-break": ("line-break", {}, False),
+    "-epub-text-align-last": ("text-align-last", {}, False),
+    "-epub-text-combine": ("text-combine-upright", {"none": "none", "horizontal": "all"}, True),
+    "-epub-text-combine-horizontal": ("text-combine-upright", {"none": "none", "all": "all"}, True),
+    "-epub-text-emphasis-color": ("text-emphasis-color", {}, False),
+    "-epub-text-emphasis-position": ("text-emphasis-position", {}, False),
+    "-epub-text-emphasis-style": ("text-emphasis-style", {}, False),
+    "-epub-text-orientation": ("text-orientation", {"vertical-right": "mixed", "rotate-right": "sideways", "rotate-normal": "sideways"}, False),
+    "-epub-text-underline-position": ("text-underline-position", {"alphabetic": "auto"}, False),
+    "-epub-word-break": ("word-break", {}, False),
+    "-epub-writing-mode": ("writing-mode", {}, False),
+}
+
+
+def _restated(name: str, value: str) -> str | None:
+    """The standard declaration of a prefixed one."""
+    body = re.sub(r"\s*!\s*important\s*$", "", value, flags=re.I)
+    tail, body = " !important" if body != value else "", body.strip()
+    if name == "text-transform":
+        changed = re.sub(r"(?i)(?<!\S)-epub-fullwidth(?!\S)", "full-width", body)
+        return f"text-transform: {changed}{tail}" if changed != body else None
+    if name not in PREFIXED or not body:
+        return None
+    target, keywords, closed = PREFIXED[name]
+    mapped = keywords.get(body.lower(), None if closed else body)
+    return f"{target}: {mapped}{tail}" if mapped is not None else None
+
+
+def rewrite_declarations(block: str) -> str:
+    """Each prefixed declaration followed by its standard one; what cannot be read for certain stays as authored."""
+    out, at, depth, name, value_at = [], 0, 0, None, 0
+
+    def end(stop: int) -> None:
+        nonlocal at
+        if name is None:
+            return
+        value = block[value_at:stop].rstrip()
+        new = _restated(name, value)
+        if new and not block[value_at + len(value) :].startswith(f";{new}"):
+            out.append(block[at : value_at + len(value)] + ";" + new)
+            at = value_at + len(value)
+
+    for m in _TOKEN.finditer(block):
+        c = m["punct"]
+        depth += (c is not None and c in "([") - (c is not None and c in ")]") + (m["other"] == "(") - (m["other"] == ")")
+        if depth == 0 and c == ";":
+            end(m.start())
+            name = None
+        elif name is None and m["word"] and re.match(r"\s*:", block[m.end() :]):
+            name, value_at = m["word"].lower(), m.end() + re.match(r"\s*:", block[m.end() :]).end()
+    end(len(block))
+    return "".join(out) + block[at:]
+
+
+def rewrite_stylesheet(text: str) -> str:
+    """``rewrite_declarations`` on every innermost block of a sheet."""
+    out, at, opened = [], 0, None
+    for m in _TOKEN.finditer(text):
+        if m["punct"] == "{":
+            opened = m.end()
+        elif m["punct"] == "}" and opened is not None:
+            out.append(text[at:opened] + rewrite_declarations(text[opened : m.start()]))
+            at, opened = m.start(), None
+    return "".join(out) + text[at:]
