@@ -217,10 +217,11 @@ def fuse(found: DataFrame) -> DataFrame:
         total = F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
         return F.transform(v, lambda x: x / total)
 
-    world = tally().select(share(F.transform(vector("n"), lambda x: x + 1.0)).alias("world"))
-    feeds = tally("feed").crossJoin(F.broadcast(world)).select(F.col("feed").alias("f_feed"), share(add(vector("n"), F.col("world"), SMOOTHING)).alias("of_feed"))  # the corpus prior is one row
+    counts = tally().first()  # the corpus prior: one number a language
+    world = F.array(*(F.lit((n + 1.0) / (sum(counts) + k)) for n in counts))
+    feeds = tally("feed").select(F.col("feed").alias("f_feed"), share(add(vector("n"), world, SMOOTHING)).alias("of_feed"))
     books = tally("pub_id", "feed").select(F.col("pub_id").alias("b_pub"), F.col("feed").alias("b_feed"), vector("n").alias("n_book"))
-    labels = tally("code").crossJoin(F.broadcast(world)).select(F.col("code").alias("l_code"), F.zip_with(share(add(vector("n"), F.col("world"), SMOOTHING)), F.col("world"), lambda x, w: F.log(x / w)).alias("of_label"))
+    labels = tally("code").select(F.col("code").alias("l_code"), F.zip_with(share(add(vector("n"), world, SMOOTHING)), world, lambda x, w: F.log(x / w)).alias("of_label"))
     placed = (
         p.join(books, p.pub_id.eqNullSafe(F.col("b_pub")) & p.feed.eqNullSafe(F.col("b_feed")), "left")
         .join(F.broadcast(labels), F.col("code") == F.col("l_code"), "left")  # at most one row a language and one without

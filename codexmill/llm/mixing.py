@@ -111,10 +111,10 @@ def mix(counted: DataFrame, seed: int = SEED) -> DataFrame:
 def shares(counted: DataFrame, targets: DataFrame) -> DataFrame:
     """Target and actual share of each listed source."""
     per = counted.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("supply_tokens"), F.sum(F.col("n_tokens") * F.col("repeats")).alias("mix_tokens"), F.max("repeats").alias("most_repeats"))
-    whole = per.agg(F.sum("mix_tokens").alias("whole"))
+    whole = per.agg(F.sum("mix_tokens")).first()[0] or 1  # one number
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
-    out = targets.where(F.col("source").isNotNull()).join(per, "source", "left").crossJoin(F.broadcast(whole))  # one row
-    return out.select("source", "target_share", "max_repeats", zero("n_docs"), zero("supply_tokens"), zero("mix_tokens"), zero("most_repeats"), F.coalesce(F.col("mix_tokens") / F.col("whole"), F.lit(0.0)).alias("actual_share"))
+    out = targets.where(F.col("source").isNotNull()).join(per, "source", "left")
+    return out.select("source", "target_share", "max_repeats", zero("n_docs"), zero("supply_tokens"), zero("mix_tokens"), zero("most_repeats"), F.coalesce(F.col("mix_tokens") / F.lit(whole), F.lit(0.0)).alias("actual_share"))
 
 
 def mixture(sized: DataFrame, targets: DataFrame, total: float | None = None, seed: int = SEED) -> DataFrame:

@@ -84,9 +84,11 @@ def _pack_group() -> Callable[[pd.DataFrame], pd.DataFrame]:
 
 def pieces(items: DataFrame, packs: DataFrame) -> DataFrame:
     """Items per pack, cut only where they exceed the capacity: pack_name, capacity, id, used, members."""
-    limits = packs.where((F.col("capacity_tokens") > 0) & F.col("pack_name").isNotNull()).select("pack_name", F.col("capacity_tokens").cast("bigint").alias("capacity")).distinct()
+    limits = sorted({(r.pack_name, int(r.capacity_tokens)) for r in packs.where((F.col("capacity_tokens") > 0) & F.col("pack_name").isNotNull()).collect()})  # a fixed handful
     sized = items.where(F.col("n_tokens") > 0).select("doc_id", "n_tokens").distinct()
-    each = sized.crossJoin(F.broadcast(limits))  # packs are a fixed handful
+    kind = "array<struct<pack_name:string,capacity:bigint>>"
+    held = F.array(*(F.struct(F.lit(p).alias("pack_name"), F.lit(c).cast("bigint").alias("capacity")) for p, c in limits)).cast(kind) if limits else F.lit(None).cast(kind)
+    each = sized.withColumn("p", F.explode(held)).select("doc_id", "n_tokens", "p.pack_name", "p.capacity")
     cut = each.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n_tokens") - 1) / F.col("capacity")).cast("bigint"))))
     first = F.col("piece") * F.col("capacity")
     size = F.least(F.col("capacity"), F.col("n_tokens") - first)
