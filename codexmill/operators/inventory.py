@@ -16,9 +16,9 @@ from codexmill.session import Scratch
 
 
 def first_copy(rows: DataFrame, key: str, by: str = "loaded_at") -> DataFrame:
-    """One row a key: the copy that arrived first."""
-    rest = [c for c in rows.columns if c != key]
-    return rows.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(F.col(by), F.to_json(F.struct(*rest)))).alias("r")).select(key, "r.*")
+    """One row a key: the copy that arrived first; of equal arrivals the smallest in the order of the columns."""
+    rest = [c for c in rows.columns if c not in (key, by)]
+    return rows.groupBy(key).agg(F.min(F.struct(by, *rest)).alias("r")).select(key, "r.*")
 
 
 def typed_declarations(declarations: DataFrame, publications: DataFrame) -> DataFrame:
