@@ -290,3 +290,54 @@ def conformance(c: Column) -> Column:
     p = r"^EPUB Accessibility (1\.[012]) - WCAG (2\.[012]) Level (A{1,3})$"
     part = lambda i, n: F.regexp_extract(c, p, i).alias(n)
     return F.when(c.rlike(p), F.struct(part(1, "accessibility"), part(2, "guidelines"), part(3, "level")))
+
+
+# Structural semantics that name the document role of the same name, and deprecated semantics.
+ROLE_SEMANTICS = (
+    "abstract acknowledgments afterword appendix backlink biblioentry bibliography biblioref chapter colophon conclusion cover credit credits dedication endnote endnotes epigraph epilogue errata footnote foreword glossary glossref index introduction noteref notice pagebreak part preface prologue pullquote qna subtitle tip toc"
+).split()
+DEPRECATED_SEMANTICS = "annoref annotation biblioentry bridgehead endnote help marginalia note rearnote rearnotes sidebar subchapter warning".split()
+# Container files that embedded annotations must not touch.
+PROTECTED_ANNOTATION_PATHS = ("annotations.json", "container.xml", "encryption.xml", "manifest.xml", "metadata.xml", "rights.xml", "signatures.xml")
+
+
+def related_role(semantic: Column) -> Column:
+    """The document role that a structural semantic stands for, null where none is defined."""
+    return F.when(semantic == "page-list", "doc-pagelist").when(semantic.isin(ROLE_SEMANTICS), F.concat(F.lit("doc-"), semantic))
+
+
+def is_deprecated_semantic(semantic: Column) -> Column:
+    return semantic.isin(DEPRECATED_SEMANTICS)
+
+
+def is_protected_annotation_path(path: Column) -> Column:
+    return path.isin(*PROTECTED_ANNOTATION_PATHS)
+
+
+def is_style_candidate(address: Column, n_declarations: Column) -> Column:
+    """An undeclared local file that by its name is a style sheet."""
+    return (n_declarations == 0) & (F.lower(extension(address)) == "css")
+
+
+def viewport_pair(c: Column) -> Column:
+    """(width, height) of a legacy viewport: both once, positive and finite, in either order; else null."""
+    parts = F.split(c, ",")
+    named = F.transform(parts, lambda p: F.struct(F.lower(F.trim(F.substring_index(p, "=", 1))).alias("k"), numeric(F.trim(F.when(p.contains("="), F.regexp_replace(p, "^[^=]*=", "")))).alias("v")))
+    of = lambda k: F.filter(named, lambda x: (x["k"] == k) & (x["v"] > 0))
+    ok = (F.size(parts) == 2) & (F.size(of("width")) == 1) & (F.size(of("height")) == 1)
+    return F.when(ok, F.struct(F.get(of("width"), F.lit(0))["v"].alias("width"), F.get(of("height"), F.lit(0))["v"].alias("height")))
+
+
+def modified_text(c: Column) -> Column:
+    """A time as whole seconds in UTC, as package documents write it."""
+    return F.date_format(F.to_utc_timestamp(F.date_trunc("second", c), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def utf8_text(c: Column) -> Column:
+    """Text of bytes that are UTF-8, else null."""
+    return F.when(F.is_valid_utf8(c.cast("string")), c.cast("string"))
+
+
+def sample(items: Column, most: int = 8) -> Column:
+    """The first of many and how many more there are."""
+    return F.struct(F.slice(items, 1, most).alias("first"), F.greatest(F.size(items) - most, F.lit(0)).alias("more"))

@@ -278,3 +278,35 @@ def nav_to_xhtml(lists: list[dict], title: str) -> str:
             label = ET.SubElement(held[path], "a" if p["authored_href"] is not None else "span", {"href": p["authored_href"]} if p["authored_href"] is not None else {})
             label.text = p["label"]
     return '<?xml version="1.0" encoding="UTF-8"?>\n' + ET.tostring(html, encoding="unicode")
+
+
+def rendition(files: list[dict], index: int) -> tuple[str | None, str]:
+    """(path, verdict) of a rootfile: none, out of bounds, missing, invalid or canonical."""
+    if not files:
+        return None, "none"
+    if not 0 <= index < len(files):
+        return None, "out-of-bounds"
+    path = files[index]["full_path"]
+    if path is None:
+        return None, "missing"
+    bad = not path or path.startswith("/") or re.search(r"[\\?#\x00-\x1f\x7f]|//|/$|(^|/)\.\.?(/|$)", path) or ":" in path.split("/")[0]
+    return (None, "invalid") if bad else (path, "canonical")
+
+
+def smil_to_xml(nodes: list[dict]) -> str:
+    """A media overlay from nodes in the shape of ``parse_smil``."""
+    ET.register_namespace("epub", OPS[1:-1])
+    root = ET.Element(f"{SMIL}smil", {"version": "3.0"})
+    held: dict[int | None, ET.Element] = {None: root}
+    clock = lambda ms: f"{ms // 1000}.{ms % 1000:03}s"
+    for n in nodes:
+        attrs = {f"{OPS}type": " ".join(n["epub_types"])} if n["epub_types"] else {}
+        if n["kind"] != "par" and n["text_ref"]:
+            attrs[f"{OPS}textref"] = n["text_ref"]
+        e = held[n["node_id"]] = ET.SubElement(held[n["parent_id"]], f"{SMIL}{n['kind']}", attrs)
+        if n["kind"] == "par":
+            ET.SubElement(e, f"{SMIL}text", {"src": n["text_ref"]})
+            if n["audio_src"] is not None:
+                clips = {k: clock(n[f]) for k, f in (("clipBegin", "clip_begin"), ("clipEnd", "clip_end")) if n[f] is not None}
+                ET.SubElement(e, f"{SMIL}audio", {"src": n["audio_src"]} | clips)
+    return '<?xml version="1.0" encoding="UTF-8"?>\n' + ET.tostring(root, encoding="unicode")

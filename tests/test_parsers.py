@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
-from codexmill.parsers import cfi, css, inspection, svg, xhtml, xmlparts
+from codexmill.parsers import cfi, css, hrefs, inspection, svg, xhtml, xmlparts
 from codexmill.parsers.xmlparts import FormatError
 
 DOC = """<html><head><title>t</title><base href="x/"/><meta name="viewport" content="width=100, height=200"/><script>var a="</p>";</script></head>
@@ -136,3 +136,16 @@ def test_cfi_resolution():
         y = cfi.parse_cfi(f"epubcfi(/6/4!{steps})")
         with pytest.raises(cfi.LocatorError):
             cfi.resolve(doc, y.parent.steps[2:], y.parent.offset)
+
+
+def test_overlay_round_trip_and_renditions():
+    nodes = xmlparts.parse_smil(SMIL)
+    assert xmlparts.parse_smil(xmlparts.smil_to_xml(nodes).encode()) == nodes
+    files = [{"full_path": p} for p in ("a/b.opf", None, "../x", "c:d")]
+    assert [xmlparts.rendition(files, i)[1] for i in range(-1, 5)] == ["out-of-bounds", "canonical", "missing", "invalid", "invalid", "out-of-bounds"]
+    assert xmlparts.rendition([], 0) == (None, "none")
+
+
+def test_bases():
+    cases = [("c.png", ["../img/", "x/"], "E/img/x/c.png"), ("c.png", [], "E/t/c.png"), ("#f", ["d/e.xhtml"], "E/t/d/e.xhtml"), ("c.png", ["http://h/"], None), ("../../../../c", ["x/"], None), ("a%2fb", [], None), ("", [], None)]
+    assert [hrefs.resolve_with_bases("E/t/a.xhtml", b, h) for h, b, _ in cases] == [w for _, _, w in cases]

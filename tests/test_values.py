@@ -83,3 +83,15 @@ def test_inventory_with_entries(spark):
     n = I.navigation_references(nav, pubs, typed)
     broken = {(r.kind, r.source_key, r.reason) for r in I.broken_references(I.manifest_references(typed), n, I.resources(pubs, typed, entries)).collect()}
     assert broken == {("manifest", 2, "ambiguous"), ("manifest", 2, "missing"), ("manifest", 4, "ambiguous"), ("manifest", 4, "invalid"), ("href", 2, "missing-resource"), ("href", 3, "missing-local")}
+
+
+def test_small_operators(spark):
+    assert [one(spark, V.related_role, s) for s in ("chapter", "page-list", "Chapter", "zz")] == ["doc-chapter", "doc-pagelist", None, None]
+    assert [one(spark, V.is_deprecated_semantic, s) for s in ("note", "chapter")] == [True, False]
+    pairs = [one(spark, V.viewport_pair, s) for s in ("width=100, height = 2.5", "HEIGHT=1,width=2", "width=1", "width=1,height=0", "width=1,width=2", "width=1,height=2,x=3", "width=a,height=1")]
+    assert [p and tuple(p) for p in pairs] == [(100.0, 2.5), (2.0, 1.0), None, None, None, None, None]
+    t = spark.sql("select timestamp '2024-02-03 04:05:06.789' as t, X'c3a9' as good, X'ff' as bad, array(1,2,3) as a")
+    r = t.select(V.modified_text(t.t).alias("m"), V.utf8_text(t.good).alias("g"), V.utf8_text(t.bad).alias("b"), V.sample(t.a, 2).alias("s")).first()
+    assert (r.m, r.g, r.b, tuple(r.s)) == ("2024-02-03T04:05:06Z", "é", None, ([1, 2], 1))
+    s = spark.createDataFrame([("a/x.CSS", 0), ("a/x.css", 1), ("a", 0)], "p string, n int")
+    assert [x[0] for x in s.select(V.is_style_candidate(s.p, s.n)).collect()] == [True, False, None]
