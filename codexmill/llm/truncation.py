@@ -160,8 +160,9 @@ def probability(w: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 def last_line(text: Column) -> Column:
     """The last line where it is short and not the only one, else null."""
-    line = F.trim(F.substring_index(F.rtrim(F.regexp_replace(text, r"\s+$", "")), "\n", -1))
-    return F.when((F.length(line) <= LINE_CHARS) & (F.length(line) < F.length(F.trim(text))), line)
+    whole = F.btrim(text, F.lit(" \t\r\n"))
+    line = F.btrim(F.substring_index(whole, "\n", -1), F.lit(" \t\r"))
+    return F.when((F.length(line) <= LINE_CHARS) & (F.length(line) < F.length(whole)), line)
 
 
 def field_limits(rows: DataFrame) -> DataFrame:
@@ -188,32 +189,43 @@ def score(documents: DataFrame) -> DataFrame:
     scratch = Scratch(documents.sparkSession, "truncation")
     rows = documents.select("doc_id", "source", "feed", "text", F.length("text").alias("n"), last_line(F.col("text")).alias("line")).where(F.col("text").rlike(r"\S"))
     limits = scratch.cut(field_limits(rows)).select(F.col("source").alias("l_source"), F.col("feed").alias("l_feed"), "limit")
-    lines = rows.where(F.col("line").isNotNull()).groupBy("line").agg(F.count_distinct(F.xxhash64("text")).alias("line_count")).where(F.col("line_count") > 1).withColumnRenamed("line", "a_line")
+    texts_of = rows.where(F.col("line").isNotNull()).groupBy("line").agg(F.count_distinct(F.xxhash64("text")).alias("line_count"))
+    lines = scratch.cut(texts_of.where(F.col("line_count") > 1)).withColumnRenamed("line", "a_line")
     placed = (
         rows.join(limits, F.col("source").eqNullSafe(F.col("l_source")) & F.col("feed").eqNullSafe(F.col("l_feed")), "left")
         .join(lines, F.col("line") == F.col("a_line"), "left")
         .select("doc_id", "source", "feed", "text", F.coalesce(F.col("n") == F.col("limit"), F.lit(False)).alias("at_limit"), F.coalesce(F.col("n") >= F.col("limit") - 5, F.lit(False)).alias("near_limit"), F.coalesce("line_count", F.lit(1)).alias("line_count"))
     )
-    return placed.mapInPandas(_score_frames(fit_on_sample(placed)), "doc_id bigint, source string, feed string, p_cut double")
+    # what the fit asks of all rows is written once, without the texts
+    signs = scratch.cut(placed.select("doc_id", "source", "at_limit", "line_count", *_signs(F.col("text"))))
+    return placed.mapInPandas(_score_frames(fit_on_sample(signs, rows)), "doc_id bigint, source string, feed string, p_cut double")
 
 
-def fit_on_sample(placed: DataFrame, n_texts: int = TRAIN_TEXTS) -> np.ndarray:
-    """Fits on a bounded sample of texts that show no sign of a cut: those that end on a stop, a tag or a repeated line, and short labels below their limit."""
-    tail = F.regexp_replace(F.col("text"), r"(\s|</?[A-Za-z][^<>]*>)+$", "")
-    ended = tail.rlike(r"[.!?]([\"'”’»“‘›)]|[ \u00a0\u202f][»›])*$") & ~tail.rlike(r"\.\.\.$")
-    label = (F.length("text") < 150) & ~F.col("text").rlike(r"[.!?](\s|$)") & ~tail.rlike(r"(…|\.\.\.|�)$") & tail.rlike(r"^\p{Lu}")
-    intact = placed.where(~F.col("at_limit") & (ended | (F.col("line_count") >= 3) | label))
+def _signs(text: Column) -> list[Column]:
+    """How a text ends: on a stop, on a mark, as a short label."""
+    end = F.right(F.btrim(text, F.lit(" \t\r\n")), F.lit(400))
+    tail = F.regexp_replace(end, r"(\s|</?[A-Za-z][^<>]*>)+$", "")
     marked = tail.rlike(r"(…|\.\.\.)$")
-    ways = placed.where(~F.col("at_limit")).groupBy("source").agg(F.avg((~ended & ~marked & (F.col("line_count") < 3)).cast("int")).alias("bare"), F.avg(marked.cast("int")).alias("marked"))
+    ended = tail.rlike(r"[.!?]([\"'”’»“‘›)]|[ \u00a0\u202f][»›])*$") & ~tail.rlike(r"\.\.\.$")
+    label = (F.length(text) < 150) & ~end.rlike(r"[.!?](\s|$)") & ~marked & ~tail.endswith("�") & tail.rlike(r"^\p{Lu}")
+    return [ended.alias("ended"), marked.alias("marked"), label.alias("label")]
+
+
+def fit_on_sample(signs: DataFrame, rows: DataFrame, n_texts: int = TRAIN_TEXTS) -> np.ndarray:
+    """Fits on a bounded sample of texts that show no sign of a cut: those that end on a stop, a tag or a repeated line, and short labels below their limit."""
+    below = signs.where(~F.col("at_limit"))
+    ways = below.groupBy("source").agg(F.avg((~F.col("ended") & ~F.col("marked") & (F.col("line_count") < 3)).cast("int")).alias("bare"), F.avg(F.col("marked").cast("int")).alias("marked"))
     styles = {r["source"]: (r["bare"] >= BARE_STYLE, r["marked"] >= MARK_STYLE) for r in ways.collect()}  # one row a source
+    intact = below.where(F.col("ended") | (F.col("line_count") >= 3) | F.col("label"))
     sizes = {r["source"]: r["count"] for r in intact.groupBy(F.coalesce("source", F.lit("")).alias("source")).count().collect()}  # one row a source
     if not sizes:
         return np.zeros(1 << BITS)
     per = n_texts / len(sizes)
     share = F.create_map(*(F.lit(v) for s, n in sizes.items() for v in (s, min(1.0, per / n))))
     unit = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 30)) / float(1 << 30)
-    rows = intact.where(unit < share[F.coalesce("source", F.lit(""))]).select("doc_id", "text", "source", "line_count").collect()
-    x, y = examples([(r["text"], r["source"], int(r["line_count"])) for r in sorted(rows, key=lambda r: r["doc_id"])], styles)
+    taken = intact.where(unit < share[F.coalesce("source", F.lit(""))]).select("doc_id", "line_count")
+    sample = rows.select("doc_id", "source", "text").join(taken, "doc_id").collect()
+    x, y = examples([(r["text"], r["source"], int(r["line_count"])) for r in sorted(sample, key=lambda r: (r["doc_id"], r["text"]))], styles)
     return fit(x, y) if len(y) else np.zeros(1 << BITS)
 
 
