@@ -255,13 +255,12 @@ def detect(rows: DataFrame, labelled: DataFrame, name: str = "languages") -> Dat
 
 
 def corpus_texts(documents: DataFrame, elements: DataFrame) -> DataFrame:
-    """All texts that can hold a passage, with their label: tab, row_key, pub_id, feed, label, text."""
-    long = F.length("text") >= PASSAGE_CHARS
+    """All non-empty texts, however short, with their label: tab, row_key, pub_id, feed, label, text."""
     docs = documents.select(F.lit("documents").alias("tab"), F.col("doc_id").alias("row_key"), "pub_id", "feed", F.col("lang").alias("label"), "text")
     told = elements.where(F.col("kind") == "language").groupBy("pub_id").agg(F.min_by("content", "ord").alias("of_book"))
     elems = (
-        elements.where(F.length("content") >= PASSAGE_CHARS)
+        elements.where(F.length("content") > 0)
         .join(told, "pub_id", "left")
         .select(F.lit("metadata_elements").alias("tab"), F.col("elem_key").alias("row_key"), "pub_id", "feed", F.coalesce("xml_lang", "of_book").alias("label"), F.col("content").alias("text"))
     )
-    return docs.where(long).unionByName(elems)
+    return docs.where(F.length("text") > 0).unionByName(elems)

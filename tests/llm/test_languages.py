@@ -57,3 +57,13 @@ def test_best_path_is_exact():
 
 def test_every_query_has_its_number():
     assert all(q[0] == "p" and q[1].isdigit() for q in QUERIES)
+
+
+def test_short_texts_have_a_language(spark):
+    docs = spark.createDataFrame([(1, "b", "f", "de", "Der alte Fährmann"), (2, "b", "f", None, ""), (3, "b", "f", None, None), (4, None, None, "fr", TEXT["fr"])], "doc_id long, pub_id string, feed string, lang string, text string")
+    elems = spark.createDataFrame([(7, "b", 0, "language", None, "de", "f"), (8, "b", 1, "title", None, "Das Rezept der Familie", "f"), (9, "b", 2, "title", None, None, "f")], "elem_key long, pub_id string, ord int, kind string, xml_lang string, content string, feed string")
+    train = spark.createDataFrame([(i, c, t * 6) for i, (c, t) in enumerate(TEXT.items())], "key long, code string, text string")
+    rows = {(r.tab, r.row_key): r for r in languages.detect(languages.corpus_texts(docs, elems), train).collect()}
+    assert set(rows) == {("documents", 1), ("documents", 4), ("metadata_elements", 7), ("metadata_elements", 8)}
+    assert rows["documents", 1].lang == rows["metadata_elements", 8].lang == "de"
+    assert all(0 < r.confidence <= 1.0000001 for r in rows.values())
