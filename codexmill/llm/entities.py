@@ -6,7 +6,9 @@ share: the name with one place masked, with one place left out, and with two nei
 all members are therefore near, so that linking each to one of them loses no link and pairs are never written out.
 Whether they may merge is decided on what the whole entity is known to be called: once profiles merge, their
 spellings, given names and middle initials are united, and the richer entity re-enters all its blocks. A bare initial
-joins a full name only where the block knows a single full name with it. Rounds go on until nothing merges.
+joins a full name only where the block knows a single full name with it. Pet forms come from the table in ``names``; given
+names outside it are compared inside the block, where a slip or an abbreviation of a name is no other name. Rounds go on
+until nothing merges.
 
 Defined results: null, empty and placeholder strings mean no one and belong to no entity; repeated rows count once;
 people and houses are resolved apart; ties go to the smaller profile number; extra columns are ignored.
@@ -19,8 +21,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from codexmill.llm.names import parse_house, parse_person
+from codexmill.llm.names import GIVEN_FORMS, called, parse_house, parse_person
 from codexmill.session import Scratch
 
 _PARSED = "class string, name string, family string, given string, initial string, middle string"
@@ -65,6 +68,9 @@ def _block_keys(profiles: DataFrame) -> DataFrame:
     return profiles.select("pid", "class", "initial", F.explode(F.array_distinct(keys)).alias("k")).select("pid", F.concat_ws("\u0001", "class", "initial", "k.key").alias("key"), "k.whole")
 
 
+_called = F.udf(called, T.MapType(T.StringType(), T.StringType()), useArrow=False)
+
+
 def resolve(strings: DataFrame) -> DataFrame:
     """Entities of distinct (class, name) strings: class, name, entity. Placeholders are left out."""
     scratch = Scratch(strings.sparkSession, "entities")
@@ -81,12 +87,16 @@ def resolve(strings: DataFrame) -> DataFrame:
         known = state.groupBy("entity").agg(F.max("given").alias("given"), F.max("middle").alias("middle"))
         now = state.select("pid", "entity").join(known, "entity")
         met = blocks.join(now, "pid").groupBy("key", "entity", "given", "middle").agg(F.lit(1).alias("one")).drop("one")
-        told = met.groupBy("key").agg(F.count_distinct(F.nullif("given", F.lit(""))).alias("n_given"), F.count_distinct(F.nullif("middle", F.lit(""))).alias("n_middle"))
+        told = met.groupBy("key").agg(F.collect_set(F.nullif("given", F.lit(""))).alias("givens"), F.count_distinct(F.nullif("middle", F.lit(""))).alias("n_middle"))
+        # only blocks with a name outside the table need a comparison
+        other = (F.size("givens") > 1) & F.exists("givens", lambda g: ~g.isin(*GIVEN_FORMS))
+        forms = told.where(other).select("key", _called("givens").alias("called"))
+        told = told.join(forms, "key", "left").withColumn("n_given", F.size(F.coalesce(F.array_distinct(F.map_values("called")), F.col("givens"))))
         # with one full name in the block all may merge; with several, each only with its like, and bare initials apart
         fit = met.join(told, "key").select(
             "entity",
             "key",
-            F.when(F.col("n_given") > 1, F.col("given")).otherwise("").alias("g"),
+            F.when(F.col("n_given") > 1, F.coalesce(F.try_element_at("called", F.col("given")), F.col("given"))).otherwise("").alias("g"),
             F.when(F.col("n_middle") > 1, F.col("middle")).otherwise("").alias("m"),
         )
         hubs = fit.groupBy("key", "g", "m").agg(F.min("entity").alias("hub"), F.max("entity").alias("top")).where(F.col("hub") != F.col("top"))

@@ -109,6 +109,42 @@ def given_names(token: str) -> tuple[str, ...]:
     return tuple(sorted(same or set(hits.values())))
 
 
+def one_given(a: str, b: str) -> bool:
+    """Whether two given names, not both of the table, may be one: a slip of the pen or an abbreviation.
+
+    A last letter that differs, or a vowel more at the end, makes another name (Martin, Martina); so does one other letter
+    in a short name (Maria, Marta).
+    """
+    if a in GIVEN_FORMS and b in GIVEN_FORMS:
+        return False
+    short, long = sorted((a, b), key=len)
+    if long.startswith(short):
+        return len(short) >= 2 and (len(long) - len(short) > 1 or long[-1] not in "aeio")
+    if not near(a, b):
+        return False
+    return (sorted(a) == sorted(b) and len(a) >= 4) or (len(short) >= 6 and a[-1] == b[-1])
+
+
+def called(names: list[str]) -> dict[str, str]:
+    """What each given name of a block is called: slips and abbreviations by the name they mean, if they mean only one."""
+    order = sorted(names, key=lambda n: (-len(n), n))
+    of: dict[str, str] = {}
+    whole = [n for n in order if not any(m != n and m.startswith(n) and one_given(n, m) for m in order)]
+    for n in whole:
+        likes = {of[m] for m in of if one_given(n, m)}
+        listed = [x for x in likes if x in GIVEN_FORMS]
+        if len(listed) > 1 or (listed and n in GIVEN_FORMS):  # names of the table stay apart
+            of[n] = n
+            continue
+        head = n if n in GIVEN_FORMS else (listed or sorted(likes) or [n])[0]
+        of |= {m: head for m in of if of[m] in likes} | {n: head}
+    for n in order:
+        if n not in of:
+            meant = {of[m] for m in whole if m.startswith(n) and one_given(n, m)}
+            of[n] = meant.pop() if len(meant) == 1 else n
+    return of
+
+
 def _house_word(token: str) -> str:
     """The word of a house that a token means: a form, the noise word itself, or the empty string."""
     if token in _HOUSE_OF:

@@ -5,7 +5,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 
 from codexmill.llm import entities
-from codexmill.llm.names import is_placeholder, near, parse_house, parse_person
+from codexmill.llm.names import called, is_placeholder, near, parse_house, parse_person
 
 SCHEMA = "kind string, content string, opf2_file_as string, name string"
 
@@ -67,3 +67,19 @@ def test_groups(spark):
 def test_empty_and_long(spark):
     assert run(spark, []).count() == 0
     assert run(spark, [("creator", "x" * 5000, "y" * 5000, "")]).count() == 0
+
+
+def test_given_names_outside_the_table(spark):
+    one = ["Zbigniew Kepanedabe", "Zbigneiw Kepanedabe", "Kepanedabe, Zbign.", "Z. Kepanedabe"]
+    two, three = ["Martin Lananole", "Lananole, Martni"], ["Martina Lananole"]
+    apart = ["Zoran Famotihafe", "Zdenek Famotihafe", "Z. Famotihafe"]
+    rows = [("creator", n, None, "x") for n in one + two + three + apart]
+    want = {tuple(sorted(p)) for g in (one, two) for p in combinations(g, 2)}
+    assert {tuple(r) for r in run(spark, rows).collect()} == want
+
+
+def test_called():
+    assert called(["zbigniew", "zbigneiw", "zbign", "zoran"]) == {"zbigniew": "zbigneiw", "zbigneiw": "zbigneiw", "zbign": "zbigneiw", "zoran": "zoran"}
+    assert len(set(called(["samuel", "stephanie", "s"]).values())) == 3
+    assert called(["mar", "marek", "marta"])["mar"] == "mar"
+    assert called(["christop", "christopher"])["christop"] == "christopher"
