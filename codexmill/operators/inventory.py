@@ -10,8 +10,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from codexmill.functions import values as V
+from codexmill.parsers.hrefs import below_bases
 from codexmill.session import Scratch
 
 
@@ -87,16 +89,45 @@ def navigation_references(points: DataFrame, publications: DataFrame, typed: Dat
     return j.select("pub_id", "nav_key", "list_index", "point_path", F.col("semantic").alias("role"), F.col("authored_href").alias("declared"), kind.alias("target_kind"), F.col("t_address").alias("target_address"), F.col("t_fragment").alias("fragment"))
 
 
-def broken_references(manifest: DataFrame, navigation: DataFrame, resources_: DataFrame | None = None) -> DataFrame:
-    """References known to be broken; remote, data and external ones never are, and what is unknown is not."""
+_below = F.udf(below_bases, T.StringType(), useArrow=False)
+
+
+def content_references(tables: dict[str, DataFrame], typed: DataFrame) -> DataFrame:
+    """Edges of XHTML, CSS, SVG, guide and SMIL of ``books.book_tables``, resolved like navigation: source_address tells the document.
+
+    What stands below a base that is not local has the target_kind unsupported-base.
+    """
+    none, publications = F.array().cast("array<string>"), tables["publications"]
+    links = tables["links"].select("pub_id", F.col("path").alias("source_address"), F.coalesce("bases", none).alias("bases"), "role", "declared")
+    guide = tables["guide"].join(publications.select("pub_id", "package_path"), "pub_id").select("pub_id", F.col("package_path").alias("source_address"), none.alias("bases"), F.lit("guide").alias("role"), F.col("href").alias("declared"))
+    sounds = [tables["smil"].select("pub_id", F.col("path").alias("source_address"), none.alias("bases"), F.lit(r).alias("role"), F.col(c).alias("declared")) for r, c in (("smil-text", "text_ref"), ("smil-audio", "audio_src"))]
+    rows = reduce(DataFrame.unionByName, [links, guide, *sounds]).where(F.col("declared").isNotNull())
+    plain = rows.where(F.size("bases") == 0).withColumn("below", F.col("source_address"))
+    based = rows.where(F.size("bases") > 0).withColumn("below", _below("source_address", "bases"))
+    p = Scratch(typed.sparkSession, "content").cut(V.with_target(plain.unionByName(based), "declared", "below"))
+    known = typed.where(F.col("address_kind") == "local").select(F.col("pub_id").alias("k_pub"), F.col("address").alias("k_address")).union(publications.select("pub_id", "package_path")).union(tables["resources"].select("pub_id", "path")).distinct()
+    j = p.join(known, (F.col("pub_id") == F.col("k_pub")) & (F.col("t_address") == F.col("k_address")), "left")
+    lost = F.col("below").isNull() & V.href_class(F.col("declared")).isin("local", "same-document")
+    kind = F.when(lost, "unsupported-base").when(F.col("t_kind") != "local", F.col("t_kind")).when(F.col("k_pub").isNull(), "missing-local").when(F.col("t_fragment").isNotNull(), "fragment").otherwise("resource")
+    return j.select("pub_id", "source_address", "role", "declared", kind.alias("target_kind"), F.col("t_address").alias("target_address"), F.col("t_fragment").alias("fragment"))
+
+
+def broken_references(manifest: DataFrame, navigation: DataFrame, resources_: DataFrame | None = None, content: DataFrame | None = None) -> DataFrame:
+    """References known to be broken; remote, data and external ones never are, and what is unknown is not.
+
+    With ``content`` also those of its documents, told by source_address.
+    """
+    if content is not None:
+        navigation = navigation.unionByName(content, allowMissingColumns=True)
     m = manifest.where(F.col("target_state").isin("invalid", "missing", "ambiguous")).select("pub_id", F.lit("manifest").alias("kind"), "role", F.col("decl_key").alias("source_key"), F.col("idref").alias("declared"), F.col("target_state").alias("reason"))
     bad = F.col("target_kind").isin("missing-local", "invalid")
     rows = navigation.withColumn("reason", F.when(bad, F.col("target_kind")))
     if resources_ is not None:
         gone = resources_.where(F.col("presence") == "missing").select(F.col("pub_id").alias("g_pub"), F.col("address").alias("g_address"))
         rows = rows.join(gone, (F.col("pub_id") == F.col("g_pub")) & (F.col("target_address") == F.col("g_address")), "left").withColumn("reason", F.coalesce("reason", F.when(F.col("g_pub").isNotNull(), "missing-resource")))
-    n = rows.where(F.col("reason").isNotNull()).select("pub_id", F.lit("href").alias("kind"), "role", F.col("nav_key").alias("source_key"), "declared", "reason")
-    return m.unionByName(n)
+    told = [] if content is None else ["source_address"]
+    n = rows.where(F.col("reason").isNotNull()).select("pub_id", F.lit("href").alias("kind"), "role", F.col("nav_key").alias("source_key"), "declared", "reason", *told)
+    return m.unionByName(n, allowMissingColumns=True)
 
 
 def selections(typed: DataFrame) -> DataFrame:
@@ -178,8 +209,8 @@ def dependency_closure(manifest: DataFrame, levels_per_job: int = 6) -> DataFram
         frontier = new.where(F.col("distance") == depth).select("root", "reached")
 
 
-def removal_impact(typed: DataFrame, order: DataFrame, manifest: DataFrame, navigation: DataFrame) -> DataFrame:
-    """What the removal of each local resource touches: its declarations, occurrences, fallback, overlay and navigation references.
+def removal_impact(typed: DataFrame, order: DataFrame, manifest: DataFrame, navigation: DataFrame, content: DataFrame | None = None) -> DataFrame:
+    """What the removal of each local resource touches: its declarations, occurrences, fallback, overlay, navigation and, if given, content references.
 
     Ambiguous references count for every candidate they may mean.
     """
@@ -197,6 +228,8 @@ def removal_impact(typed: DataFrame, order: DataFrame, manifest: DataFrame, navi
         "overlays": hits(manifest.where(F.col("role") == "media-overlay"), "idref", "decl_key").select("pub_id", "address"),
         "navigation": navigation.where(F.col("target_kind").isin("resource", "fragment")).select("pub_id", F.col("target_address").alias("address")),
     }
+    if content is not None:
+        parts["content"] = content.where(F.col("target_kind").isin("resource", "fragment")).select("pub_id", F.col("target_address").alias("address"))
     long = reduce(DataFrame.unionByName, [df.groupBy("pub_id", "address").agg(F.count(F.lit(1)).alias("n")).withColumn("what", F.lit(k)) for k, df in parts.items()])
     wide = long.groupBy("pub_id", "address").agg(*(F.sum(F.when(F.col("what") == k, F.col("n")).otherwise(0)).alias(k) for k in parts))
     return wide.where(F.col("declarations") > 0)

@@ -29,10 +29,16 @@ def _onto(path: str, href: str) -> str | None:
     return "/".join(out) + ("/" if own.endswith("/") else "")
 
 
-def resolve_with_bases(source: str, bases: list[str], href: str) -> str | None:
-    """Path of an href below relative bases, outermost first; a base that ends in a slash names a directory."""
+def below_bases(source: str, bases: list[str]) -> str | None:
+    """What relative hrefs stand on in the document ``source``; null if a base is not local."""
     at: str | None = source
     for base in bases:
         at = _onto(at, base) if at is not None else None
+    return at
+
+
+def resolve_with_bases(source: str, bases: list[str], href: str) -> str | None:
+    """Path of an href below relative bases, outermost first; a base that ends in a slash names a directory."""
+    at = below_bases(source, bases)
     found = _onto(at, href) if at is not None else None
     return found.rstrip("/") or None if found is not None else None

@@ -25,7 +25,7 @@ from codexmill.parsers import css, inspection, svg, xhtml, xmlparts
 MAX_ENTRIES, MAX_PATH_BYTES, MAX_PACKAGE, MAX_CONTROL, MAX_RESOURCE, MAX_BOOK, MAX_RESOURCES = 65_536, 8 << 20, 16 << 20, 4 << 20, 32 << 20, 512 << 20, 10_000
 
 ENTRIES = "pub_id string, path string, size_bytes bigint, compressed_size bigint, crc32 bigint, data_offset bigint, stored boolean, encrypted boolean, is_control boolean, bytes binary"
-_LINK = "struct<ord:int,element:string,attribute:string,role:string,declared:string>"
+_LINK = "struct<ord:int,element:string,attribute:string,role:string,declared:string,bases:array<string>>"
 BOOK = f"""pub_id string, status string, failure_stage string, failure string, package_path string, version string, unique_identifier string,
  elements array<struct<ord:int,kind:string,id:string,dir:string,xml_lang:string,content:string,scheme:string,role:string,file_as:string>>,
  metas array<struct<ord:int,id:string,dir:string,xml_lang:string,property:string,refines:string,scheme:string,content:string>>,
@@ -114,11 +114,11 @@ def analyse_resource(path: str, data: bytes, media_type: str | None) -> dict:
     try:
         if kind == "xhtml":
             f = xhtml.parse_xhtml(xmlparts.decode_xml(data))
-            out |= {"content_state": "complete", "text": f.text, "spans": f.spans, "fragments": f.fragments, "links": f.links, "structure": f.structure, "media": f.media, "forms": f.forms, "scripts": f.scripts, "accessibility": f.accessibility, "activities": sorted(f.activities), "executable": xhtml.has_executable_content(f)}
+            out |= {"content_state": "complete", "text": f.text, "spans": f.spans, "fragments": f.fragments, "links": [{**x, "bases": [f.base] if f.base else []} for x in f.links], "structure": f.structure, "media": f.media, "forms": f.forms, "scripts": f.scripts, "accessibility": f.accessibility, "activities": sorted(f.activities), "executable": xhtml.has_executable_content(f)}
         elif kind == "svg":
             s = svg.parse_svg(data)
             runs = any(x["kind"] in ("external", "event-handler") or (x["kind"] == "inline" and x["has_text"]) for x in s["scripts"])
-            out |= {"content_state": "complete", "text": "\n".join(t["text"] for t in s["text"]), "fragments": s["fragments"], "links": s["links"], "scripts": s["scripts"], "activities": sorted(s["activities"]), "executable": runs}
+            out |= {"content_state": "complete", "text": "\n".join(t["text"] for t in s["text"]), "fragments": s["fragments"], "links": s["links"] + [{**x, "bases": y["bases"]} for y in s["foreign"] for x in y["links"]], "scripts": s["scripts"], "activities": sorted(s["activities"]), "executable": runs}
         elif kind == "css":
             text = css.decode_css(data)
             refs, whole = css.parse_css(text) if text is not None else ([], False)
@@ -196,7 +196,7 @@ _RESOURCE = ("path", "size_bytes", "format", "content_state", "content_issue", "
 _PARTS = {
     "spans": ("element", "element_ord", "role", "start", "end", "lang", "dir", "fragment"),
     "fragments": ("id", "element"),
-    "links": ("ord", "element", "attribute", "role", "declared"),
+    "links": ("ord", "element", "attribute", "role", "declared", "bases"),
     "structure": ("ord", "role", "label", "fragment"),
     "media": ("ord", "kind", "element", "alt", "detail"),
     "forms": ("ord", "kind", "element", "name"),
