@@ -2,7 +2,8 @@
 
 Merge-and-rematch resolution. Every distinct string is parsed once; equal parses form a profile (family name, given name
 if told, initial, middle initial). A profile's family name is blocked under keys that pairs one slip of the pen apart
-share: the name with one place masked, with one place left out, and with two neighbours put in order. Inside a block
+share: the name with one place masked, with one place left out, and with two neighbours put in order. A name of
+fewer than five letters (Wolf, Wlof) meets only itself, as too many short names lie one slip apart. Inside a block
 all members are therefore near, so that linking each to one of them loses no link and pairs are never written out.
 Whether they may merge is decided on what the whole entity is known to be called: once profiles merge, their
 spellings, given names and middle initials are united, and the richer entity re-enters all its blocks. A bare initial
