@@ -1,13 +1,19 @@
 """Parent-child rows to full hierarchies (problem 5).
 
-Level-wise frontier joins: the frontier starts at the roots, each level joins the frontier with the edges on the parent
-and extends path and depth by one. Several levels make one job: their common shuffles are reused inside it, and the
-frontier is written before the next job so that the lineage never grows. Nodes that no frontier reaches run into a
-cycle. On those (usually few) nodes, repeated images under pointer doubling leave exactly the nodes on cycles, the
-smallest key of each cycle follows by doubling too, and the nodes that lead in are again reached level-wise.
+Frontier joins from the roots, level-wise with halving strides. The edges are first composed with themselves: edges of
+1, 2, 4, 8, ... levels, each with the keys it passes. Of those only nodes that deep are left, so that the tables shrink as
+the strides grow. The frontier then starts at the roots and takes the longest stride first: a join with the edges of 2^k
+levels adds all nodes at odd multiples of 2^k below what was reached, with their paths and depths, down to single
+levels. A tree of d levels takes 2 log2(d) joins where one join a level would take d.
+
+Two strides that leave equally many nodes tell that all that are left run into a cycle (a node deeper than 2^(k+1) has an
+ancestor between both strides). What the longest stride reaches from those (usually few) nodes, doubled until its parents
+are as many as itself, are the nodes on cycles; the smallest key of each cycle follows by doubling too. They are roots of
+the frontier as well: strides that would leave a node on a cycle are taken out, and what they reach leads in.
 
 Defined results: edges with a null end are ignored; repeated edges count once; a node with several different parents has
-none; trees of any depth end, as each level consumes nodes. Keys of different trees never mix.
+none; trees of any depth end. Keys of different trees never mix. A node on a cycle has itself as path; the other nodes of
+its cycle share its root_key and are told by that, not as descendants.
 """
 
 from __future__ import annotations
@@ -19,61 +25,49 @@ from pyspark.sql import functions as F
 
 from codexmill.session import Scratch
 
-#: Levels of the tree that one job extends.
-LEVELS_PER_JOB = 6
 
+def _compose(edges: DataFrame) -> DataFrame:
+    """``edges`` (tree, node, at, path) taken twice: twice as many levels, both paths in one."""
+    upper = edges.select("tree", F.col("node").alias("at"), F.col("at").alias("top"), F.col("path").alias("first"))
+    return edges.join(upper, ["tree", "at"]).select("tree", "node", F.col("top").alias("at"), F.concat("first", "path").alias("path"))
 
-def _descend(scratch: Scratch, edges: DataFrame, roots: DataFrame) -> list[DataFrame]:
-    """All rows (tree, node, root, depth, path) below ``roots`` (tree, node), level by level."""
-    done: list[DataFrame] = []
-    frontier = roots.select("tree", F.col("node").alias("at"), F.col("node").alias("root"), F.lit(0).cast("long").alias("depth"), F.array("node").alias("path"))
-    while True:
-        levels, now = [], frontier
-        for _ in range(LEVELS_PER_JOB):
-            now = (
-                edges.withColumnRenamed("parent", "at")
-                .join(now, ["tree", "at"])
-                .select("tree", F.col("node").alias("at"), "root", (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("node")).alias("path"))
-            )
-            levels.append(now)
-        step = scratch.cut(reduce(DataFrame.unionByName, levels))
-        top = step.agg(F.max("depth")).first()[0]
-        if top is None:
-            scratch.drop(step)
-            return done
-        done.append(step)
-        if top < LEVELS_PER_JOB * len(done):
-            return done
-        frontier = step.where(F.col("depth") == top)
-
-
-def _cycles(scratch: Scratch, edges: DataFrame) -> DataFrame:
-    """(tree, node, root) of the nodes on cycles, root the smallest key of the cycle. Every node of ``edges`` must have its parent in ``edges``."""
-    jump = scratch.cut(edges.select("tree", "node", F.col("parent").alias("to"), F.least("node", "parent").alias("low")))
-    size = None
-    while True:  # the image shrinks until it holds exactly the nodes on cycles
-        image = scratch.cut(jump.select("tree", F.col("to").alias("node")).distinct())
-        n = image.count()
-        if n == size:
+
+def _strides(scratch: Scratch, longest: DataFrame) -> tuple[list[DataFrame], int]:
+    """Ever longer strides behind ``longest``, and how many nodes the last one leaves that all run into a cycle."""
+    found, left = [longest], longest.count()
+    while left:
+        longer = scratch.cut(_compose(found[-1]))
+        n = longer.count()
+        if n == left:  # nobody was too high for the longer stride
+            scratch.drop(longer)
             break
-        size = n
-        nxt = scratch.cut(_double(jump))
-        scratch.drop(jump)
-        jump = nxt
-    on = scratch.cut(edges.join(image, ["tree", "node"], "left_semi").select("tree", "node", F.col("parent").alias("to"), F.least("node", "parent").alias("low")))
-    while True:  # the least key of ever longer stretches, until nothing changes any more
-        nxt = scratch.cut(_double(on))
-        settled = nxt.where(F.col("low") != F.col("was")).isEmpty()
-        scratch.drop(on)
-        on = nxt.drop("was")
-        if settled:
-            return on.select("tree", "node", F.col("low").alias("root"))
+        found.append(longer)
+        left = n
+    return found, left
 
 
 def _double(jump: DataFrame) -> DataFrame:
     ahead = jump.select("tree", F.col("node").alias("to"), F.col("to").alias("to2"), F.col("low").alias("low2"))
-    cols = [F.col("to2").alias("to"), F.least("low", "low2").alias("low"), F.col("low").alias("was")]
-    return jump.select("tree", "node", "to", "low").join(ahead, ["tree", "to"]).select("tree", "node", *cols)
+    return jump.join(ahead, ["tree", "to"]).select("tree", "node", F.col("to2").alias("to"), F.least("low", "low2").alias("low"))
+
+
+def _cycles(scratch: Scratch, edges: DataFrame, endless: DataFrame) -> DataFrame:
+    """(tree, node, root) of the nodes on cycles, root the smallest key of the cycle. ``endless`` (tree, node, at): a stride of nodes that all run into one."""
+    jump = endless.select("tree", "node", F.col("at").alias("to"), F.col("at").alias("low"))
+    while True:
+        image = scratch.cut(jump.select("tree", F.col("to").alias("node")).distinct())
+        steps = scratch.cut(edges.join(image, ["tree", "node"], "left_semi").select("tree", "node", F.col("parent").alias("to"), F.least("node", "parent").alias("low")))
+        if steps.select("tree", "to").distinct().count() == image.count():  # the parents of the image are the image: all on cycles
+            break
+        scratch.drop(steps)
+        jump = scratch.cut(_double(jump))
+    while True:  # the least key of ever longer stretches, until nothing changes any more
+        further = scratch.cut(_double(_double(steps)).join(steps.select("tree", "node", F.col("low").alias("was")), ["tree", "node"]))
+        settled = further.where(F.col("low") != F.col("was")).isEmpty()
+        scratch.drop(steps)
+        steps = further.drop("was")
+        if settled:
+            return steps.select("tree", "node", F.col("low").alias("root"))
 
 
 def resolve_hierarchy(edges: DataFrame) -> DataFrame:
@@ -84,20 +78,25 @@ def resolve_hierarchy(edges: DataFrame) -> DataFrame:
     scratch = Scratch(edges.sparkSession, "hierarchy")
     clean = edges.where(F.col("node").isNotNull() & F.col("parent").isNotNull()).groupBy("tree", "node").agg(F.min("parent").alias("parent"), F.max("parent").alias("other"))
     e = scratch.cut(clean.where(F.col("parent") == F.col("other")).drop("other"))
-    roots = e.select("tree", F.col("parent").alias("node")).distinct().join(e, ["tree", "node"], "left_anti")
-    levels = _descend(scratch, e, roots)
-    shape = ["tree", F.col("at").alias("node_key"), F.col("root").alias("root_key"), "depth"]
-    parts = [x.select(*shape, F.lit("none").alias("cycle_state"), "path") for x in levels]
-    reached = reduce(DataFrame.unionByName, [x.select("tree", F.col("at").alias("node")) for x in levels]) if levels else e.limit(0).select("tree", "node")
-    rest = scratch.cut(e.join(reached, ["tree", "node"], "left_anti"))
-    if not rest.isEmpty():
-        on = scratch.cut(_cycles(scratch, rest))
-        parts.append(on.select("tree", F.col("node").alias("node_key"), F.col("root").alias("root_key"), F.lit(0).cast("long").alias("depth"), F.lit("on").alias("cycle_state"), F.array("node").alias("path")))
-        leads = rest.join(on, ["tree", "node"], "left_anti")
-        parts += [x.select(*shape, F.lit("leads").alias("cycle_state"), "path") for x in _descend(scratch, leads, on.select("tree", "node"))]
-    if not parts:
-        parts = [e.limit(0).select("tree", F.col("node").alias("node_key"), F.col("node").alias("root_key"), F.lit(0).cast("long").alias("depth"), F.lit("none").alias("cycle_state"), F.array("node").alias("path"))]
-    return reduce(DataFrame.unionByName, parts)
+    roots = scratch.cut(e.select("tree", F.col("parent").alias("node")).distinct().join(e, ["tree", "node"], "left_anti"))
+    start = roots.select("tree", "node", F.array("node").alias("path"), F.lit("none").alias("cycle_state"))
+    strides, left = _strides(scratch, e.select("tree", "node", F.col("parent").alias("at"), F.array("node").alias("path")))
+    on = None
+    if left:
+        on = scratch.cut(_cycles(scratch, e, strides[-1]))
+        start = start.unionByName(on.select("tree", "node", F.array("node").alias("path"), F.lit("leads").alias("cycle_state")))
+        # a stride whose first key is on a cycle leaves from there only to go round
+        block = on.select("tree", F.col("node").alias("child"))
+        strides = [x.withColumn("child", F.col("path")[0]).join(block, ["tree", "child"], "left_anti").drop("child") for x in strides]
+        strides = strides[:-1] + _strides(scratch, scratch.cut(strides[-1]))[0]
+    reached = [start]
+    for step in reversed(strides):
+        at = reduce(DataFrame.unionByName, reached).select("tree", F.col("node").alias("at"), F.col("path").alias("first"), "cycle_state")
+        reached.append(scratch.cut(step.join(at, ["tree", "at"]).select("tree", "node", F.concat("first", "path").alias("path"), "cycle_state")))
+    found = reduce(DataFrame.unionByName, reached[1:]).select("tree", F.col("node").alias("node_key"), F.col("path")[0].alias("root_key"), (F.size("path") - 1).cast("long").alias("depth"), "cycle_state", "path")
+    if on is None:
+        return found
+    return found.unionByName(on.select("tree", F.col("node").alias("node_key"), F.col("root").alias("root_key"), F.lit(0).cast("long").alias("depth"), F.lit("on").alias("cycle_state"), F.array("node").alias("path")))
 
 
 def descendants(hierarchy: DataFrame) -> DataFrame:

@@ -20,11 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` where the cluster names one.
 
-    Only where it is unset (tests, local mode) a folder of our own is made.
+    Only where it is unset and the session runs in one process (tests, local mode) a folder of our own is made; on a
+    cluster a folder of the driver's machine would lose what the executors write, so that is refused.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIRS:
         _OWN_DIRS[app] = "file://" + tempfile.mkdtemp(prefix="codexmill-")
@@ -43,7 +46,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self._n = 0
-        self._paths: dict[int, str] = {}
+        self._held: list[tuple[DataFrame, str]] = []  # the tables themselves: an id alone could be used again
         atexit.register(self.clear)
 
     def cut(self, df: DataFrame) -> DataFrame:
@@ -51,15 +54,18 @@ class Scratch:
         path = f"{self.root}/{self._n}"
         df.write.mode("overwrite").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self._paths[id(out)] = path
+        self._held.append((out, path))
         return out
 
     def drop(self, df: DataFrame | None) -> None:
-        path = self._paths.pop(id(df), None)
-        if path:
-            self._delete(path)
+        for at, (kept, path) in enumerate(self._held):
+            if kept is df:
+                del self._held[at]
+                self._delete(path)
+                return
 
     def clear(self) -> None:
+        self._held.clear()
         self._delete(self.root)
 
     def _delete(self, path: str) -> None:
