@@ -106,7 +106,7 @@ def descendants(hierarchy: DataFrame) -> DataFrame:
 
 
 def fallback_edges(declarations: DataFrame) -> DataFrame:
-    """A declaration's parent is the one declaration of its book that its trimmed fallback names."""
+    """A declaration's parent is the one declaration of its book that its trimmed fallback names; copies give copies."""
     from codexmill.operators.orphans import trimmed
 
     owner = (
@@ -116,13 +116,13 @@ def fallback_edges(declarations: DataFrame) -> DataFrame:
         .agg(F.min("decl_key").alias("parent"), F.max("decl_key").alias("other"))
         .where(F.col("parent") == F.col("other"))
     )
-    child = declarations.select("pub_id", trimmed("fallback").alias("ref"), F.col("decl_key").alias("node")).where(F.col("ref").isNotNull()).distinct()
+    child = declarations.select("pub_id", trimmed("fallback").alias("ref"), F.col("decl_key").alias("node")).where(F.col("ref").isNotNull())
     return child.join(owner, ["pub_id", "ref"]).select(F.lit("fallback").alias("tree"), "node", "parent")
 
 
 def navigation_edges(points: DataFrame) -> DataFrame:
-    """A point's parent is the point of the same book and list whose path is its own without the last index."""
-    p = points.where(F.col("point_path").isNotNull() & F.col("nav_key").isNotNull()).select("pub_id", "list_index", "point_path", "nav_key").distinct()
+    """A point's parent is the point of the same book and list whose path is its own without the last index; copies give copies."""
+    p = points.where(F.col("point_path").isNotNull() & F.col("nav_key").isNotNull()).select("pub_id", "list_index", "point_path", "nav_key")
     owner = p.groupBy("pub_id", "list_index", "point_path").agg(F.min("nav_key").alias("parent"))
     child = p.where(F.size("point_path") > 1).select("pub_id", "list_index", F.slice("point_path", 1, F.size("point_path") - 1).alias("point_path"), F.col("nav_key").alias("node"))
     return child.join(owner, ["pub_id", "list_index", "point_path"]).select(F.lit("nav").alias("tree"), "node", "parent")
