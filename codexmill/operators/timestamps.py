@@ -2,8 +2,11 @@
 
 Every value becomes an array of all its valid interpretations, built from JVM-side expressions: reading of the digits,
 order of day and month, and, for local times that occur twice, both instants. One interpretation per value is then chosen
-by Viterbi over each source's record order, where a switch of format and a step back in time cost one each, and a
-reading against the source's declared conventions costs more than any saving in transitions could return.
+by Viterbi over each source's record order. A switch of format and a step back in time cost something each; so does a
+reading, by what its source is known to write: the values that can be read in one order of day and month only are counted
+per source, and a declared locale weighs as ``LOCALE_WEIGHT`` nats beside them. A source with a declared locale, or with
+many plain values, is settled by that; where little or nothing is known of a source, its record order decides. What
+contradicts the settled order of its source is dropped at the end by an exact check.
 
 The search is exact and distributed. A run of records is a segment with its first and last interpretations and the
 least cost between them; segments compose, so blocks of records are reduced to segments, blocks of segments again, until
@@ -17,6 +20,7 @@ extra columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -29,8 +33,13 @@ from codexmill.session import Scratch
 
 #: Records or segments that one task combines.
 BLOCK = 4096
-#: Cost of a reading against a declared convention; two transitions can save 4 at most.
-RULE_COST = 100.0
+#: Costs of a switch of format and of a step back in time.
+SWITCH, BACK = 1.0, 1.0
+#: Cost of the second occurrence of a local time that occurs twice. Two transitions can save 4 at most, so at this cost the
+#: first is always meant; at a lower one the record order decides.
+AGAIN_COST = 6.0
+#: Weight of a declared locale in nats, as many plain values as e^8 to one would have.
+LOCALE_WEIGHT = 8.0
 
 # Month names (English, German, French), zone abbreviations in minutes east of UTC, month-first regions.
 MONTHS = {
@@ -107,7 +116,9 @@ def _numbers(df: DataFrame) -> DataFrame:
 
 
 def _with_candidates(values: DataFrame, zones: list[str]) -> DataFrame:
-    """``values`` (s, home_zone, locale) with ``cands``, all valid readings of s: array of (utc, fmt, cost).
+    """``values`` (s, home_zone) with ``cands``, all valid readings of s: array of (utc, fmt, order, again).
+
+    ``order`` is 1 where the day stands before the month, 2 where behind it, 0 where the pattern leaves no choice.
 
     Each step is a projection of its own, so that no expression is computed twice.
     """
@@ -123,48 +134,47 @@ def _with_candidates(values: DataFrame, zones: list[str]) -> DataFrame:
         F.try_element_at(names, zone),
     )
     named = F.when(zone.startswith("["), F.btrim(zone, F.lit("[]"))).when(zone == "", F.col("home_zone"))
-    month_first = F.coalesce(F.regexp_extract("locale", r"[-_]([A-Z]{2})$", 1).isin(*MONTH_FIRST_REGIONS), F.lit(False))
-    df = df.withColumns({"minutes": minutes, "region": F.when(named.isin(zones), named), "month_first": month_first})
+    df = df.withColumns({"minutes": minutes, "region": F.when(named.isin(zones), named)})
     moment = lambda c: F.timestamp_micros(F.col(c))
     df = df.withColumns({f"utc{i}": F.coalesce(F.col(f"local{i}") - F.col("minutes").cast("bigint") * 60_000_000, F.unix_micros(F.to_utc_timestamp(moment(f"local{i}"), F.col("region")))) for i in (1, 2)})
     found = []
-    for i in (1, 2):  # reading in the written order, or with day and month exchanged; the locale's own is free
-        cost = F.when(~swappable | (F.col("month_first") == (i == 2)), 0.0).otherwise(RULE_COST)
-        fmt = F.col("spec") * 2 + (i - 1)
-        found.append(F.struct(F.col(f"utc{i}").alias("utc"), fmt.alias("fmt"), cost.alias("cost")))
+    reading = lambda utc, fmt, order, again: F.struct(utc.alias("utc"), fmt.alias("fmt"), order.alias("order"), F.lit(again).alias("again"))
+    for i in (1, 2):  # the day before the month, or behind it
+        order, fmt = F.when(swappable, i).otherwise(0), F.col("spec") * 2 + (i - 1)
+        found.append(reading(F.col(f"utc{i}"), fmt, order, False))
         for later in (3_600_000_000, 1_800_000_000):  # the second occurrence of a local time
             utc = F.col(f"utc{i}") + later
             again = F.when(F.col("minutes").isNull() & F.col("region").isNotNull() & (F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(utc), F.col("region"))) == F.col(f"local{i}")), utc)
-            found.append(F.struct(again.alias("utc"), fmt.alias("fmt"), (cost + RULE_COST).alias("cost")))
+            found.append(reading(again, fmt, order, True))
     epoch = F.when(F.col("spec") == len(SPECS), F.col("s").try_cast("bigint") * 1_000_000).when(F.col("spec") == len(SPECS) + 1, F.col("s").try_cast("bigint") * 1_000)
-    found.append(F.struct(epoch.alias("utc"), (F.col("spec") * 2).alias("fmt"), F.lit(0.0).alias("cost")))
+    found.append(reading(epoch, F.col("spec") * 2, F.lit(0), False))
     return df.withColumn("cands", F.filter(F.array(*found), lambda c: c["utc"].isNotNull()))
 
 
 # --- segments: first and last interpretations and the least cost between each two of them
 
 
-def _steps(l_utc: np.ndarray, l_fmt: np.ndarray, f_utc: np.ndarray, f_fmt: np.ndarray) -> np.ndarray:
-    return (l_fmt[:, None] != f_fmt[None, :]) * 1.0 + (f_utc[None, :] < l_utc[:, None]) * 1.0
+def _steps(l_utc: np.ndarray, l_fmt: np.ndarray, f_utc: np.ndarray, f_fmt: np.ndarray, costs: tuple[float, float]) -> np.ndarray:
+    return (l_fmt[:, None] != f_fmt[None, :]) * costs[0] + (f_utc[None, :] < l_utc[:, None]) * costs[1]
 
 
-def _compose(segments: list[tuple]) -> np.ndarray:
+def _compose(segments: list[tuple], costs: tuple[float, float] = (SWITCH, BACK)) -> np.ndarray:
     """Least cost between each first interpretation of the run and each last one."""
     total = segments[0][4]
     for prev, seg in zip(segments, segments[1:], strict=False):
-        total = (total[:, :, None] + _steps(*prev[2:4], *seg[:2])[None]).min(1)
+        total = (total[:, :, None] + _steps(*prev[2:4], *seg[:2], costs)[None]).min(1)
         total = (total[:, :, None] + seg[4][None]).min(1)
     return total
 
 
-def _decode(segments: list[tuple], entry: int | None, exit_: int | None) -> list[tuple[int, int]]:
+def _decode(segments: list[tuple], entry: int | None, exit_: int | None, costs: tuple[float, float] = (SWITCH, BACK)) -> list[tuple[int, int]]:
     """The (first, last) interpretation of each segment on the cheapest way; None leaves an end free."""
     m = segments[0][4]
     cost = m.min(0) if entry is None else m[entry]
     firsts = [m.argmin(0) if entry is None else np.full(m.shape[1], entry)]
     via = []
     for prev, seg in zip(segments, segments[1:], strict=False):
-        into = cost[:, None] + _steps(*prev[2:4], *seg[:2])
+        into = cost[:, None] + _steps(*prev[2:4], *seg[:2], costs)
         via.append(into.argmin(0))
         through = into.min(0)[:, None] + seg[4]
         firsts.append(through.argmin(0))
@@ -179,7 +189,7 @@ def _decode(segments: list[tuple], entry: int | None, exit_: int | None) -> list
     return choice
 
 
-def _segments(pdf: pd.DataFrame) -> tuple[list[tuple], np.ndarray]:
+def _segments(pdf: pd.DataFrame, costs: tuple[float, float]) -> tuple[list[tuple], np.ndarray]:
     """The segments of sorted rows, stretches without any choice put together, and for each row its segment."""
     single = (pdf.f_utc.str.len().to_numpy() == 1) & (pdf.l_utc.str.len().to_numpy() == 1)
     starts = np.flatnonzero(np.r_[True, ~(single[1:] & single[:-1])])
@@ -193,7 +203,7 @@ def _segments(pdf: pd.DataFrame) -> tuple[list[tuple], np.ndarray]:
             out.append((x, np.asarray(f_fmt[a], np.int64), y, np.asarray(l_fmt[a], np.int64), np.asarray(m[a], float).reshape(len(x), len(y))))
         else:
             fu, ff, lu, lf, mm = (np.concatenate(v[a:b]) for v in (f_utc, f_fmt, l_utc, l_fmt, m))
-            cost = mm.sum() + (ff[1:] != lf[:-1]).sum() + (fu[1:] < lu[:-1]).sum()
+            cost = mm.sum() + costs[0] * (ff[1:] != lf[:-1]).sum() + costs[1] * (fu[1:] < lu[:-1]).sum()
             out.append((fu[:1], ff[:1], lu[-1:], lf[-1:], np.array([[cost]])))
     return out, of
 
@@ -201,60 +211,86 @@ def _segments(pdf: pd.DataFrame) -> tuple[list[tuple], np.ndarray]:
 _SEG = "f_utc array<bigint>, f_fmt array<bigint>, l_utc array<bigint>, l_fmt array<bigint>, m array<double>"
 
 
-def _combine(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    segs, _ = _segments(pdf.sort_values("place"))
-    one = {"f_utc": segs[0][0], "f_fmt": segs[0][1], "l_utc": segs[-1][2], "l_fmt": segs[-1][3], "m": _compose(segs).ravel()}
-    return pd.DataFrame([{"source": key[0], "place": key[1], **one}])
+def _combiner(costs: tuple[float, float]) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
+    def combine(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        segs, _ = _segments(pdf.sort_values("place"), costs)
+        one = {"f_utc": segs[0][0], "f_fmt": segs[0][1], "l_utc": segs[-1][2], "l_fmt": segs[-1][3], "m": _compose(segs, costs).ravel()}
+        return pd.DataFrame([{"source": key[0], "place": key[1], **one}])
 
+    return combine
 
-def _choose(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("place")
-    entry, exit_ = pdf.entry.iloc[0], pdf.exit.iloc[0]
-    segs, of = _segments(pdf)
-    choice = np.array(_decode(segs, None if pd.isna(entry) else int(entry), None if pd.isna(exit_) else int(exit_)))[of]
-    return pd.DataFrame({"source": key[0], "place": pdf.place, "entry": choice[:, 0], "exit": choice[:, 1]})
 
+def _chooser(costs: tuple[float, float]) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
+    def choose(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("place")
+        entry, exit_ = pdf.entry.iloc[0], pdf.exit.iloc[0]
+        segs, of = _segments(pdf, costs)
+        choice = np.array(_decode(segs, None if pd.isna(entry) else int(entry), None if pd.isna(exit_) else int(exit_), costs))[of]
+        return pd.DataFrame({"source": key[0], "place": pdf.place, "entry": choice[:, 0], "exit": choice[:, 1]})
 
-def viterbi_choice(values: DataFrame, scratch: Scratch) -> DataFrame:
-    """``values``: source, order columns o1..o3, id columns, cands. Adds ``chosen``, the struct that was taken, and leaves out values without any."""
-    spread = values.repartitionByRange("source", "o1", "o2", "o3").sortWithinPartitions("source", "o1", "o2", "o3")
-    # values without a reading go only after the cut: pushed below the projections, the test would repeat them all
-    rows = scratch.cut(spread.withColumn("place", F.monotonically_increasing_id())).where(F.size("cands") > 0)
-    one = lambda f: F.transform("cands", lambda c: c[f].cast("bigint"))
-    diagonal = F.flatten(F.transform("cands", lambda c, i: F.transform("cands", lambda e, j: F.when(i == j, c["cost"]).otherwise(F.lit(1e18)))))
-    level = rows.select("source", "place", one("utc").alias("f_utc"), one("fmt").alias("f_fmt"), one("utc").alias("l_utc"), one("fmt").alias("l_fmt"), diagonal.alias("m"))
+    return choose
+
+
+def viterbi_choice(rows: DataFrame, scratch: Scratch, costs: tuple[float, float] = (SWITCH, BACK)) -> DataFrame:
+    """(source, place, entry): the interpretation chosen for each of ``rows``: source, place in the record order, and per interpretation utc, fmt and cost in arrays of one length."""
+    whole = lambda c: F.transform(c, lambda x: x.cast("bigint"))
+    diagonal = F.flatten(F.transform("cost", lambda c, i: F.transform("cost", lambda _, j: F.when(i == j, c).otherwise(F.lit(1e18)))))
+    utc, fmt = whole("utc"), whole("fmt")
+    level = rows.select("source", "place", utc.alias("f_utc"), fmt.alias("f_fmt"), utc.alias("l_utc"), fmt.alias("l_fmt"), diagonal.alias("m"))
     # place is partition << 33 | row: blocks of BLOCK consecutive places keep the order and bound what one task combines
     block = F.floor(F.col("place") / BLOCK).cast("bigint")
     levels = [level]
     while True:
-        packed = scratch.cut(levels[-1].groupBy("source", block.alias("b")).applyInPandas(_combine, f"source string, place bigint, {_SEG}"))
+        packed = scratch.cut(levels[-1].groupBy("source", block.alias("b")).applyInPandas(_combiner(costs), f"source string, place bigint, {_SEG}"))
         levels.append(packed)
         if (packed.groupBy("source").count().agg(F.max("count")).first()[0] or 0) <= BLOCK:
             break
     fixed = levels.pop().withColumn("entry", F.lit(None).cast("int")).withColumn("exit", F.lit(None).cast("int"))
-    choose = "source string, place bigint, entry int, exit int"
-    picked = fixed.groupBy("source").applyInPandas(_choose, choose)
+    schema = "source string, place bigint, entry int, exit int"
+    picked = fixed.groupBy("source").applyInPandas(_chooser(costs), schema)
     while levels:
         ends = picked.select("source", F.col("place").alias("b"), "entry", "exit")
-        picked = levels.pop().withColumn("b", block).join(ends, ["source", "b"]).groupBy("source", "b").applyInPandas(_choose, choose)
-    return rows.join(picked.select("source", "place", "entry"), ["source", "place"]).withColumn("chosen", F.col("cands")[F.col("entry")])
+        picked = levels.pop().withColumn("b", block).join(ends, ["source", "b"]).groupBy("source", "b").applyInPandas(_chooser(costs), schema)
+    return picked.select("source", "place", "entry")
+
 
+def source_habits(rows: DataFrame, settled: float) -> DataFrame:
+    """What each source writes, from ``rows`` (source, locale, cands): the costs of the day standing first and behind, and the settled order, 0 if none.
 
-def normalise(values: DataFrame, feeds: DataFrame) -> DataFrame:
+    An order is settled if no two transitions (``settled``) could make up for the other.
+    """
+    has = lambda k: F.exists("cands", lambda c: c["order"] == k)
+    plain = rows.groupBy("source").agg(F.count_if(has(1) & ~has(2)).alias("n1"), F.count_if(has(2) & ~has(1)).alias("n2"), F.min("locale").alias("locale"))
+    month_first = F.regexp_extract("locale", r"[-_]([A-Z]{2})$", 1).isin(*MONTH_FIRST_REGIONS)
+    told = F.when(F.col("locale").isNull(), 0.0).when(month_first, -LOCALE_WEIGHT).otherwise(LOCALE_WEIGHT)
+    odds = plain.select("source", (told + F.log((F.col("n1") + 1) / (F.col("n2") + 1))).alias("odds"))
+    return odds.select("source", F.log1p(F.exp(-F.col("odds"))).alias("cost1"), F.log1p(F.exp("odds")).alias("cost2"), F.when(F.col("odds") > settled, 1).when(F.col("odds") < -settled, 2).otherwise(0).alias("settled"))
+
+
+def normalise(values: DataFrame, feeds: DataFrame, costs: tuple[float, float] = (SWITCH, BACK), again_cost: float = AGAIN_COST) -> DataFrame:
     """UTC instants of ``values`` (tab, row_key, content, feed, loaded_at): tab, row_key, utc_us, fmt, feed.
 
-    ``feeds`` (feed, home_zone, locale) is a fixed small table of the sources.
+    ``feeds`` (feed, home_zone, locale) is a fixed small table of the sources; a null locale is learned. ``costs`` are those of a
+    switch of format and of a step back in time.
     """
     spark = values.sparkSession
     scratch = Scratch(spark, "timestamps")
     zones = [str(z) for z in spark._jvm.java.time.ZoneId.getAvailableZoneIds()]
     once = values.where(F.col("content").isNotNull()).groupBy("tab", "row_key").agg(F.min(F.struct("loaded_at", "feed", "content")).alias("r")).select("tab", "row_key", "r.*")
     sources = feeds.groupBy("feed").agg(F.min("home_zone").alias("home_zone"), F.min("locale").alias("locale"))
-    told = _with_candidates(once.join(sources, "feed", "left").withColumn("s", trimmed("content")), zones)
-    ready = told.select(F.coalesce("feed", F.lit("")).alias("source"), F.col("loaded_at").alias("o1"), F.col("tab").alias("o2"), F.col("row_key").alias("o3"), "cands")
-    chosen = viterbi_choice(ready, scratch)
-    sure = chosen.where(F.col("chosen.cost") < RULE_COST)  # the exact check: a reading against the conventions is none
-    return sure.select(F.col("o2").alias("tab"), F.col("o3").alias("row_key"), F.col("chosen.utc").alias("utc_us"), F.col("chosen.fmt").alias("fmt"), F.col("source").alias("feed"))
+    order = ["source", "loaded_at", "tab", "row_key"]
+    known = once.join(sources, "feed", "left").select(F.coalesce("feed", F.lit("")).alias("source"), *order[1:], "home_zone", "locale", trimmed("content").alias("s"))
+    # placed before anything is parsed: what draws the ranges reads the plain columns only
+    placed = known.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id())
+    # values without a reading go only after the cut: pushed below the projections, the test would repeat them all
+    rows = scratch.cut(_with_candidates(placed, zones).select("source", "place", "tab", "row_key", "locale", "cands")).where(F.size("cands") > 0)
+    habits = scratch.cut(source_habits(rows, 2 * sum(costs)))
+    cost = F.transform("cands", lambda c: F.when(c["order"] == 1, F.col("cost1")).when(c["order"] == 2, F.col("cost2")).otherwise(0.0) + F.when(c["again"], again_cost).otherwise(0.0))
+    ready = rows.join(habits, "source").select("source", "place", F.col("cands.utc").alias("utc"), F.col("cands.fmt").alias("fmt"), cost.alias("cost"))
+    chosen = rows.join(viterbi_choice(ready, scratch, costs), ["source", "place"]).withColumn("chosen", F.col("cands")[F.col("entry")])
+    # the exact check: what contradicts the settled order of its source is no certain date
+    sure = chosen.join(habits.select("source", "settled"), "source").where((F.col("chosen.order") == 0) | (F.col("settled") == 0) | (F.col("chosen.order") == F.col("settled")))
+    return sure.select("tab", "row_key", F.col("chosen.utc").alias("utc_us"), F.col("chosen.fmt").alias("fmt"), F.col("source").alias("feed"))
 
 
 def publication_dates(elements: DataFrame, metas: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
@@ -98,3 +98,47 @@ def test_viterbi_is_exact():
         choice = _decode(rows, None, None)
         assert all(a == b for a, b in choice)
         assert cost([a for a, _ in choice]) == best
+
+
+def _feed(dates, known=()):
+    """Records of one feed without locale, in order."""
+    return [("t", i, d, "open", datetime(2024, 1, 1) + timedelta(minutes=i), "x") for i, d in enumerate([*known, *dates])]
+
+
+def _chosen(spark, rows, locale=None, **kw):
+    values = spark.createDataFrame(rows, "tab string, row_key long, content string, feed string, loaded_at timestamp, source string")
+    feeds = spark.createDataFrame([("open", "UTC", locale)], "feed string, home_zone string, locale string")
+    return {r.row_key: r.utc_us for r in normalise(values, feeds, **kw).collect()}
+
+
+def test_record_order_decides_where_no_locale_is_known(spark):
+    """Dates of one May in growing order: without transitions the readings are others."""
+    dates = ["2020-05-02", "05/03/2020", "05/04/2020", "2020-05-05", "05/06/2020", "05/07/2020", "2020-05-08"]
+    got = _chosen(spark, _feed(dates))
+    assert got == {i: utc(2020, 5, d) for i, d in enumerate((2, 3, 4, 5, 6, 7, 8))}
+    free = _chosen(spark, _feed(dates), costs=(0.0, 0.0))
+    assert free != got
+
+
+def test_plain_values_settle_a_source(spark):
+    """Many values that can be read in one order only outweigh what the record order would save, and settle what contradicts them."""
+    plain = [f"{13 + i % 15}/01/2020" for i in range(200)]
+    got = _chosen(spark, _feed(["2020-05-02", "05/03/2020", "2020-05-04", "05/16/2020"], plain))
+    assert got[201] == utc(2020, 3, 5) and 203 not in got
+    assert _chosen(spark, _feed(["05/16/2020"], plain[:20]))[20] == utc(2020, 5, 16)  # little evidence: nothing is settled
+
+
+def test_locale_outweighs_record_order(spark):
+    dates = ["2020-05-02", "05/03/2020", "05/04/2020", "2020-05-05"]
+    assert _chosen(spark, _feed(dates), "de-DE")[1] == utc(2020, 3, 5)
+    assert _chosen(spark, _feed(dates), "en-US")[1] == utc(2020, 5, 3)
+
+
+def test_second_occurrence_by_record_order(spark):
+    """At a low cost the second occurrence of a local time is chosen where only that keeps the order."""
+    rows = [("t", i, c, "be", datetime(2024, 1, 1, 0, i), "x") for i, c in enumerate(["2015-10-25T00:40:00Z", "2015-10-25 02:30:00", "2015-10-25T01:40:00Z"])]
+    values = spark.createDataFrame(rows, "tab string, row_key long, content string, feed string, loaded_at timestamp, source string")
+    feeds = spark.createDataFrame(FEEDS, "feed string, home_zone string, locale string")
+    at = lambda **kw: {r.row_key: r.utc_us for r in normalise(values, feeds, **kw).collect()}[1]
+    assert at() == utc(2015, 10, 25, 0, 30)
+    assert at(again_cost=0.5) == utc(2015, 10, 25, 1, 30)
