@@ -1,15 +1,19 @@
 """Variant spellings of names to the people and houses they mean (problem 2).
 
 Merge-and-rematch resolution. Every distinct string is parsed once; equal parses form a profile (family name, given name
-if told, initial, middle initial). A profile's family name is blocked under keys that pairs one slip of the pen apart
-share: the name with one place masked, with one place left out, and with two neighbours put in order. A name of
-fewer than five letters (Wolf, Wlof) meets only itself, as too many short names lie one slip apart. Inside a block
-all members are therefore near, so that linking each to one of them loses no link and pairs are never written out.
+or initial, middle initial). Where neither end of a string tells by itself which is the family name, both orders are
+tried and the one that more other strings use so is taken. A profile's family name is blocked under keys that pairs one
+slip of the pen apart share: the name with one place masked, with one place left out, and with two neighbours put in
+order. In names of fewer than five letters only exchanged neighbours count as a slip (Lang, Lagn), as another or a missing
+letter makes too many other names (Lang, Land, Lange). Inside a block all members are therefore near, so that linking
+each to one of them loses no link and pairs are never written out.
+
 Whether they may merge is decided on what the whole entity is known to be called: once profiles merge, their
-spellings, given names and middle initials are united, and the richer entity re-enters all its blocks. A bare initial
-joins a full name only where the block knows a single full name with it. Pet forms come from the table in ``names``; given
-names outside it are compared inside the block, where a slip or an abbreviation of a name is no other name. Rounds go on
-until nothing merges.
+given names, initials and middle initials are united as sets, and the richer entity re-enters all its blocks. Inside a
+block given names are compared by slips, abbreviations and pet forms, those of the table in ``names`` being evidence
+beside that; a bare initial joins a full name only where the block knows a single one with it, and a person without middle
+initial joins one with it only where that name has a single one. Rounds go on, over the blocks of what has changed, until
+nothing merges.
 
 Defined results: null, empty and placeholder strings mean no one and belong to no entity; repeated rows count once;
 people and houses are resolved apart; ties go to the smaller profile number; extra columns are ignored.
@@ -27,7 +31,7 @@ from pyspark.sql import types as T
 from codexmill.llm.names import GIVEN_FORMS, called, parse_house, parse_person
 from codexmill.session import Scratch
 
-_PARSED = "class string, name string, family string, given string, initial string, middle string"
+_PARSED = "class string, name string, family string, given string, middle string, family2 string, given2 string"
 
 
 def _parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -36,13 +40,13 @@ def _parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for kind, name in zip(pdf["class"], pdf["name"], strict=True):
             if kind == "house":
                 p = parse_house(name)
-                row = p and (p["stem"], p["form"], "", "")
+                row = p and (p["stem"], p["form"], "", None, None)
             else:
                 p = parse_person(name)
-                row = p and (p["surname"], p["given"], p["initial"], p["middle"])
+                row = p and (p["surname"], p["given"] or p["initial"], p["middle"], *(p["other"] or (None, None)))
             if row:
                 rows.append((kind, name, *row))
-        yield pd.DataFrame(rows, columns=["class", "name", "family", "given", "initial", "middle"])
+        yield pd.DataFrame(rows, columns=["class", "name", "family", "given", "middle", "family2", "given2"])
 
 
 def name_strings(elements: DataFrame) -> DataFrame:
@@ -52,6 +56,18 @@ def name_strings(elements: DataFrame) -> DataFrame:
     return rows.select(kinds.alias("class"), F.explode(F.array_distinct(F.array("content", "opf2_file_as"))).alias("name")).where(F.col("name").isNotNull()).distinct()
 
 
+def _ordered(parsed: DataFrame) -> DataFrame:
+    """``parsed`` with one reading: strings open in their order take the reading that more other strings share, certain ones counting four times."""
+    weight = F.sum(F.when(F.col("family2").isNull(), 4).otherwise(1))
+    of = lambda c, n: parsed.where(F.col("class") == "person").groupBy(F.col(c).alias(f"k_{n}")).agg(weight.alias(n))
+    told = parsed
+    for column, count, name in (("family", "family", "f1"), ("given", "given", "g1"), ("family2", "family", "f2"), ("given2", "given", "g2")):
+        told = told.join(of(count, name), F.when(F.col("family2").isNotNull(), F.col(column)) == F.col(f"k_{name}"), "left").drop(f"k_{name}")
+    n = lambda c: F.coalesce(c, F.lit(0))
+    turned = F.coalesce(F.col("family2").isNotNull() & (n("f2") + n("g2") > n("f1") + n("g1") - 2), F.lit(False))  # without itself
+    return told.select("class", "name", F.when(turned, F.col("family2")).otherwise(F.col("family")).alias("family"), F.when(turned, F.col("given2")).otherwise(F.col("given")).alias("given"), "middle")
+
+
 def _block_keys(profiles: DataFrame) -> DataFrame:
     """(pid, key, whole): the keys under which a family name meets all names one slip apart; whole marks the name itself."""
     n = F.length("family")
@@ -65,47 +81,61 @@ def _block_keys(profiles: DataFrame) -> DataFrame:
         lambda i: F.struct(F.concat(sub(f, F.lit(1), i - 1), F.lit("~"), F.array_join(F.array_sort(F.array(sub(f, i, F.lit(1)), sub(f, i + 1, F.lit(1)))), ""), sub(f, i + 2, n)).alias("key"), F.lit(False).alias("whole")),
     )
     own = F.array(F.struct(F.concat(F.lit("-"), f).alias("key"), F.lit(True).alias("whole")))
-    keys = F.when(n >= 5, F.concat(own, masked, without, swapped)).otherwise(own)
-    return profiles.select("pid", "class", "initial", F.explode(F.array_distinct(keys)).alias("k")).select("pid", F.concat_ws("\u0001", "class", "initial", "k.key").alias("key"), "k.whole")
+    keys = F.when(n >= 5, F.concat(own, masked, without, swapped)).otherwise(F.concat(own, swapped))
+    return profiles.select("pid", "class", F.explode(F.array_distinct(keys)).alias("k")).select("pid", F.concat_ws("\u0001", "class", "k.key").alias("key"), "k.whole")
 
 
 _called = F.udf(called, T.MapType(T.StringType(), T.StringType()), useArrow=False)
 
 
+def _fits(met: DataFrame) -> DataFrame:
+    """(entity, key, g, m): what each entity of a block is called there. ``met``: key, entity, givens, middles."""
+    told = met.select("key", F.explode("givens").alias("t")).where(F.col("t") != "").groupBy("key").agg(F.collect_set("t").alias("names"))  # one a given name of a family
+    person = ~F.col("key").startswith("house\u0001")
+    # names of the table need no comparison with each other
+    other = person & (F.size("names") > 1) & F.exists("names", lambda g: (F.length(g) > 1) & ~g.isin(*GIVEN_FORMS))
+    forms = told.where(other).select("key", _called("names").alias("called"))
+    each = met.select("entity", "key", F.explode("givens").alias("t"), "middles").join(told.join(forms, "key", "left"), "key", "left")
+    t, names = F.col("t"), F.col("names")
+    begun = F.filter(names, lambda g: (F.length(g) > 1) & g.startswith(t))
+    plain = F.when((F.length(t) == 1) & (F.size(begun) == 1), begun[0]).otherwise(t)
+    g = F.when(t == "", F.when(~person & (F.size(names) == 1), names[0]).otherwise("")).when(person, F.coalesce(F.try_element_at("called", t), plain)).otherwise(t)
+    fit = each.select("entity", "key", g.alias("g"), F.explode(F.when(F.size("middles") > 0, F.col("middles")).otherwise(F.array(F.lit("")))).alias("m")).distinct()
+    several = fit.where(F.col("m") != "").groupBy("key", "g").agg(F.min("m").alias("m1"), F.max("m").alias("m2")).where(F.col("m1") != F.col("m2")).select("key", "g", F.lit(True).alias("several"))
+    return fit.join(several, ["key", "g"], "left").select("entity", "key", "g", F.when(F.col("several"), F.col("m")).otherwise("").alias("m"))
+
+
 def resolve(strings: DataFrame) -> DataFrame:
     """Entities of distinct (class, name) strings: class, name, entity. Placeholders are left out."""
-    scratch = Scratch(strings.sparkSession, "entities")
+    spark = strings.sparkSession
+    scratch = Scratch(spark, "entities")
     parsed = scratch.cut(strings.select("class", "name").mapInPandas(_parse, _PARSED))
-    identity = ["class", "family", "given", "initial", "middle"]
+    parsed = parsed.drop("family2", "given2") if parsed.where(F.col("family2").isNotNull()).isEmpty() else scratch.cut(_ordered(parsed))
+    identity = ["class", "family", "given", "middle"]
     profiles = parsed.groupBy(*identity).agg(F.min("name").alias("first"))
     profiles = scratch.cut(profiles.withColumn("pid", F.xxhash64(*identity)))
-    keys = _block_keys(profiles)
+    keys = _block_keys(profiles.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "pid"))
     # only keys that two profiles share can merge anything; a left-out key links nothing unless a profile is called so
-    shared = keys.groupBy("key").agg(F.min("pid").alias("a"), F.max("pid").alias("b"), F.bool_or("whole").alias("real")).where((F.col("a") != F.col("b")) & (F.col("real") | ~F.split("key", "\u0001")[2].startswith("-")))
+    shared = keys.groupBy("key").agg(F.min("pid").alias("a"), F.max("pid").alias("b"), F.bool_or("whole").alias("real")).where((F.col("a") != F.col("b")) & (F.col("real") | ~F.split("key", "\u0001")[1].startswith("-")))
     blocks = scratch.cut(keys.join(shared.select("key"), "key", "left_semi").select("pid", "key"))
     state = scratch.cut(profiles.select("pid", F.col("pid").alias("entity"), "given", "middle"))
+    active = blocks
     while True:
-        known = state.groupBy("entity").agg(F.max("given").alias("given"), F.max("middle").alias("middle"))
-        now = state.select("pid", "entity").join(known, "entity")
-        met = blocks.join(now, "pid").groupBy("key", "entity", "given", "middle").agg(F.lit(1).alias("one")).drop("one")
-        told = met.groupBy("key").agg(F.collect_set(F.nullif("given", F.lit(""))).alias("givens"), F.count_distinct(F.nullif("middle", F.lit(""))).alias("n_middle"))
-        # only blocks with a name outside the table need a comparison
-        other = (F.size("givens") > 1) & F.exists("givens", lambda g: ~g.isin(*GIVEN_FORMS))
-        forms = told.where(other).select("key", _called("givens").alias("called"))
-        told = told.join(forms, "key", "left").withColumn("n_given", F.size(F.coalesce(F.array_distinct(F.map_values("called")), F.col("givens"))))
-        # with one full name in the block all may merge; with several, each only with its like, and bare initials apart
-        fit = met.join(told, "key").select(
-            "entity",
-            "key",
-            F.when(F.col("n_given") > 1, F.coalesce(F.try_element_at("called", F.col("given")), F.col("given"))).otherwise("").alias("g"),
-            F.when(F.col("n_middle") > 1, F.col("middle")).otherwise("").alias("m"),
-        )
+        # what an entity is called: all its given names but those that only begin another one, and all its middle initials
+        sets = state.groupBy("entity").agg(F.collect_set("given").alias("all"), F.array_remove(F.collect_set("middle"), "").alias("middles"))
+        known = sets.select("entity", F.filter("all", lambda a: ~F.exists("all", lambda b: (a != b) & b.startswith(a))).alias("givens"), "middles")
+        met = active.join(state.select("pid", "entity"), "pid").select("key", "entity").distinct().join(known, "entity")
+        fit = _fits(met)
         hubs = fit.groupBy("key", "g", "m").agg(F.min("entity").alias("hub"), F.max("entity").alias("top")).where(F.col("hub") != F.col("top"))
         moves = fit.join(hubs, ["key", "g", "m"]).where(F.col("hub") < F.col("entity")).groupBy("entity").agg(F.min("hub").alias("hub"))
         moves = scratch.cut(moves)
         if moves.isEmpty():
             break
-        new = scratch.cut(state.join(moves, "entity", "left").select("pid", F.coalesce("hub", "entity").alias("entity"), "given", "middle"))
+        ahead = moves.select(F.col("entity").alias("hub"), F.col("hub").alias("further"))  # a hub that moves takes its followers along
+        moved = scratch.cut(moves.join(ahead, "hub", "left").select("entity", F.coalesce("further", "hub").alias("hub")))
+        new = scratch.cut(state.join(moved, "entity", "left").select("pid", F.coalesce("hub", "entity").alias("entity"), "given", "middle"))
+        richer = new.join(moved.select(F.col("hub").alias("entity")).distinct(), "entity", "left_semi").select("pid")
+        active = scratch.cut(blocks.join(blocks.join(richer, "pid", "left_semi").select("key").distinct(), "key", "left_semi"))
         scratch.drop(state)
         scratch.drop(moves)
         state = new

@@ -18,6 +18,11 @@ def p2_entities(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("class", "entity").agg(F.count(F.lit(1)).alias("n_spellings"), F.min("name").alias("first_spelling"))
 
 
+def p2_members(spark: SparkSession, d: str) -> DataFrame:
+    """The entity of each string that names someone."""
+    return entities.resolve(entities.name_strings(table(spark, d, "metadata_elements")))
+
+
 def _passages(spark: SparkSession, d: str) -> DataFrame:
     documents = table(spark, d, "documents")
     labelled = documents.select(F.col("doc_id").alias("key"), languages.label_code(F.col("lang")).alias("code"), "text")
@@ -69,5 +74,5 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation.cut_rates(truncation.score(table(spark, d, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_entities, p6_found, p6_passages, p7_members, p7_fill, p8_mix, p8_repeats, p8_shares, p9_found, p9_rates)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_entities, p2_members, p6_found, p6_passages, p7_members, p7_fill, p8_mix, p8_repeats, p8_shares, p9_found, p9_rates)}
 ORACLE: dict[str, str] = {}

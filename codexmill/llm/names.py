@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
+from collections.abc import Iterator
 from functools import lru_cache
 
 # Given names with their short and pet forms.
@@ -109,39 +111,103 @@ def given_names(token: str) -> tuple[str, ...]:
     return tuple(sorted(same or set(hits.values())))
 
 
+def _stem(name: str) -> str:
+    """What a pet form keeps of its name (Jenny: jenn, Danny: dan), the empty string where it keeps too little."""
+    bare = re.sub(r"(?:ie|ey|ee|y|i)$", "", name)
+    if bare == name:
+        return ""
+    if len(bare) >= 3 and bare[-1] == bare[-2] and bare[-1] not in "aeiou" and name[-1] != "i":
+        return bare[:-1] if len(bare) == 4 else bare
+    return bare if len(bare) >= 4 else ""
+
+
+def shortens(short: str, long: str) -> bool:
+    """Whether a given name may be an abbreviation or a pet form of a longer one.
+
+    A vowel more at the end makes another name (Martin, Martina).
+    """
+    if short == long or len(short) >= len(long) + 2:
+        return False
+    if long.startswith(short):
+        return len(short) >= 2 and (len(long) - len(short) > 1 or long[-1] not in "aeio")
+    stem = _stem(short)
+    return bool(stem) and long.startswith(stem) and len(long) >= len(stem) + 3
+
+
 def one_given(a: str, b: str) -> bool:
-    """Whether two given names, not both of the table, may be one: a slip of the pen or an abbreviation.
+    """Whether two given names, not both of the table, may be one: a slip of the pen, an abbreviation or a pet form.
 
-    A last letter that differs, or a vowel more at the end, makes another name (Martin, Martina); so does one other letter
-    in a short name (Maria, Marta).
+    A last letter that differs makes another name; so does one other letter in a short name (Maria, Marta) or at the front
+    of one that is not long (Darlene, Marlene).
     """
     if a in GIVEN_FORMS and b in GIVEN_FORMS:
         return False
     short, long = sorted((a, b), key=len)
     if long.startswith(short):
-        return len(short) >= 2 and (len(long) - len(short) > 1 or long[-1] not in "aeio")
+        return shortens(short, long)
+    if shortens(short, long) or shortens(long, short):
+        return True
     if not near(a, b):
         return False
-    return (sorted(a) == sorted(b) and len(a) >= 4) or (len(short) >= 6 and a[-1] == b[-1])
+    if sorted(a) == sorted(b):
+        return len(a) >= 4
+    return len(short) >= (6 if a[0] == b[0] else 8) and a[-1] == b[-1]
+
+
+def slip_keys(name: str) -> set[str]:
+    """Keys of which two names one slip of the pen apart share at least one."""
+    keys = {"-" + name}
+    for i in range(len(name)):
+        keys |= {name[:i] + "?" + name[i + 1 :], "-" + name[:i] + name[i + 1 :]}
+        if i + 1 < len(name):
+            keys.add(name[:i] + "~" + "".join(sorted(name[i : i + 2])) + name[i + 2 :])
+    return keys
 
 
 def called(names: list[str]) -> dict[str, str]:
-    """What each given name of a block is called: slips and abbreviations by the name they mean, if they mean only one."""
-    order = sorted(names, key=lambda n: (-len(n), n))
+    """What each given name or initial of a block is called: slips, pet forms and abbreviations by the name they mean, if they mean only one.
+
+    Names are looked up by their slip keys and beginnings, so that a block of many names takes a time in proportion.
+    """
+    order = sorted(set(names), key=lambda n: (-len(n), n))
+    ranked = sorted(order)
+
+    def meanings(n: str) -> Iterator[str]:
+        """Names that n may shorten."""
+        for head in {n, _stem(n)} - {""}:
+            at = bisect_left(ranked, head)
+            while at < len(ranked) and ranked[at].startswith(head):
+                m = ranked[at]
+                if m != n and (shortens(n, m) if len(n) > 1 else len(m) > 1) and not (n in GIVEN_FORMS and m in GIVEN_FORMS):
+                    yield m
+                at += 1
+
     of: dict[str, str] = {}
-    whole = [n for n in order if not any(m != n and m.startswith(n) and one_given(n, m) for m in order)]
-    for n in whole:
-        likes = {of[m] for m in of if one_given(n, m)}
-        listed = [x for x in likes if x in GIVEN_FORMS]
-        if len(listed) > 1 or (listed and n in GIVEN_FORMS):  # names of the table stay apart
-            of[n] = n
+    held: dict[str, list[str]] = {}  # members of each name
+    by_key: dict[str, list[str]] = {}
+    shorts = {n for n in order if next(meanings(n), None) is not None}
+    for n in order:
+        if n in shorts:
             continue
+        keys = slip_keys(n)
+        likes = {of[m] for k in keys for m in by_key.get(k, ()) if one_given(n, m)}
+        for k in keys:
+            by_key.setdefault(k, []).append(n)
+        listed = sorted(x for x in likes if x in GIVEN_FORMS)
+        if len(listed) > 1 or (listed and n in GIVEN_FORMS):  # names of the table stay apart
+            likes = set()
         head = n if n in GIVEN_FORMS else (listed or sorted(likes) or [n])[0]
-        of |= {m: head for m in of if of[m] in likes} | {n: head}
-    for n in order:
-        if n not in of:
-            meant = {of[m] for m in whole if m.startswith(n) and one_given(n, m)}
-            of[n] = meant.pop() if len(meant) == 1 else n
+        group = [n, *(m for x in likes for m in held.pop(x, ()))]
+        held.setdefault(head, []).extend(group)
+        of |= dict.fromkeys(group, head)
+    for n in sorted(shorts, key=lambda n: (-len(n), n)):
+        meant: set[str] = set()
+        for m in meanings(n):
+            if m in of:
+                meant.add(of[m])
+            if len(meant) > 1:
+                break
+        of[n] = meant.pop() if len(meant) == 1 else n
     return of
 
 
@@ -161,7 +227,11 @@ def is_placeholder(text: str) -> bool:
 
 
 def parse_person(text: str) -> dict | None:
-    """surname (with particles first), given (full, if known), initial, middle; None for placeholders."""
+    """surname (with particles first), given (full, if known), initial, middle; None for placeholders.
+
+    Of two or more words without a comma, an initial or a given name of the table either end may be the family name: other
+    is then the second reading (surname, given), else None.
+    """
     if is_placeholder(text):
         return None
     bare = folded(_NOTE.sub(" ", text))
@@ -171,6 +241,7 @@ def parse_person(text: str) -> dict | None:
     a, b = words(left), words(right)
     particles = [w for w in a + b if w in PARTICLES]
     a, b = [w for w in a if w not in PARTICLES], [w for w in b if w not in PARTICLES]
+    other = None
     if comma and a and b:
         surname, given = a, b
     else:
@@ -194,6 +265,8 @@ def parse_person(text: str) -> dict | None:
                 given, surname = t[:1], t[1:]
                 while len(surname) > 1 and len(surname[0]) == 1:
                     given.append(surname.pop(0))
+                if not particles and all(len(w) > 1 for w in t):
+                    other = (" ".join(t[:-1]), t[-1])
     full = [w for w in given if len(w) > 1]
     meant = given_names(full[0]) if full else ()
     name = meant[0] if len(meant) == 1 else "" if meant or not full else full[0]
@@ -203,7 +276,7 @@ def parse_person(text: str) -> dict | None:
         middle = next((w[0] for w in given if w is not full[0]), "")
     elif len(initials) > 1:
         middle = initials[1]
-    return {"surname": " ".join([*particles, " ".join(surname)]).strip(), "given": name, "initial": name[:1] or (meant or full or initials or [""])[0][:1], "middle": middle}
+    return {"surname": " ".join([*particles, " ".join(surname)]).strip(), "given": name, "initial": name[:1] or (meant or full or initials or [""])[0][:1], "middle": middle, "other": other}
 
 
 def parse_house(text: str) -> dict | None:

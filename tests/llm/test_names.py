@@ -1,3 +1,4 @@
+import random
 from itertools import combinations
 
 import pytest
@@ -5,7 +6,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 
 from codexmill.llm import entities
-from codexmill.llm.names import called, is_placeholder, near, parse_house, parse_person
+from codexmill.llm.names import called, is_placeholder, near, parse_house, parse_person, slip_keys
 
 SCHEMA = "kind string, content string, opf2_file_as string, name string"
 
@@ -42,7 +43,8 @@ def test_near(a, b):
     ],
 )
 def test_person(text, family, given, initial, middle):
-    assert parse_person(text) == {"surname": family, "given": given, "initial": initial, "middle": middle}
+    got = parse_person(text)
+    assert (got["surname"], got["given"], got["initial"], got["middle"]) == (family, given, initial, middle)
 
 
 def test_houses_and_placeholders():
@@ -83,3 +85,45 @@ def test_called():
     assert len(set(called(["samuel", "stephanie", "s"]).values())) == 3
     assert called(["mar", "marek", "marta"])["mar"] == "mar"
     assert called(["christop", "christopher"])["christop"] == "christopher"
+
+
+def test_names_outside_the_table_in_either_order(spark):
+    groups = [["Jennifer Okonkwo", "Jenifer Okonkwo", "Jenny Okonkwo", "Okonkwo Jennifer"], ["Mohammed Rahman", "Mohamed Rahman"], ["Robert Lang", "Robert Lagn"]]
+    apart = ["Robert Land", "Darlene Okafor", "Marlene Okafor"]
+    rows = [("creator", n, None, "x") for n in [*apart, *(n for g in groups for n in g)]]
+    assert {tuple(r) for r in run(spark, rows).collect()} == {tuple(sorted(p)) for g in groups for p in combinations(g, 2)}
+
+
+def test_middle_initials_count_per_given_name(spark):
+    rows = [("creator", n, None, "x") for n in ("John A. Smithson", "James B. Smithson", "John Smithson", "James C. Smithson", "James Smithson")]
+    assert {tuple(r) for r in run(spark, rows).collect()} == {("John A. Smithson", "John Smithson")}
+
+
+def _slip(rng, word):
+    i = rng.randrange(1, len(word) - 2)
+    return word[:i] + word[i + 1] + word[i] + word[i + 2 :] if rng.random() < 0.5 and word[i] != word[i + 1] else word[:i] + word[i + 1 :]
+
+
+def test_recall_on_names_outside_the_table(spark):
+    """Invented people, each under several spellings: recall and precision of the pairs."""
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(n)) + rng.choice("lnrst")
+    groups = []
+    for _ in range(150):
+        g, f = word(rng.choice((3, 4))).title(), word(rng.choice((3, 4))).title()
+        forms = [f"{g} {f}", f"{f}, {g}", f"{f} {g}", f"{_slip(rng, g)} {f}", f"{g} {_slip(rng, f)}", f"{f}, {g[:4]}.", f"{g[0]}. {f}", f"{g.upper()} {f.upper()}"]
+        groups.append(sorted(set(rng.sample(forms, rng.randrange(3, 7)))))
+    want = {tuple(sorted(p)) for g in groups for p in combinations(g, 2)}
+    got = {tuple(r) for r in run(spark, [("creator", n, None, "x") for g in groups for n in g]).collect()}
+    both = len(want & got)
+    assert both / len(want) >= 0.9, both / len(want)
+    assert both / len(got) >= 0.95, both / len(got)
+
+
+def test_called_is_fast_and_exact():
+    """A block of many names: the look-up finds what comparing all pairs finds."""
+    rng = random.Random(3)
+    names = sorted({"".join(rng.choice("abl") for _ in range(rng.randrange(5, 9))) for _ in range(300)})
+    shares = lambda a, b: bool(slip_keys(a) & slip_keys(b))
+    assert all(shares(a, b) for a in names[:80] for b in names if near(a, b))
+    assert len(called([f"{rng.getrandbits(64):x}" for _ in range(50_000)])) == 50_000
