@@ -24,7 +24,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -88,21 +88,29 @@ def _block_keys(profiles: DataFrame) -> DataFrame:
 _called = F.udf(called, T.MapType(T.StringType(), T.StringType()), useArrow=False)
 
 
-def _fits(met: DataFrame) -> DataFrame:
-    """(entity, key, g, m): what each entity of a block is called there. ``met``: key, entity, givens, middles."""
-    told = met.select("key", F.explode("givens").alias("t")).where(F.col("t") != "").groupBy("key").agg(F.collect_set("t").alias("names"))  # one a given name of a family
+def _moves(met: DataFrame) -> DataFrame:
+    """(entity, hub): entities that are called as a smaller one in some block. ``met``: key, entity, givens, middles."""
+    terms = met.select("key", "entity", F.explode("givens").alias("t"))
+    # blocks of several entities, with one name each for the given names of a family
+    told = terms.groupBy("key").agg(F.array_remove(F.collect_set("t"), "").alias("names"), F.min("entity").alias("lo"), F.max("entity").alias("hi")).where(F.col("lo") != F.col("hi"))
     person = ~F.col("key").startswith("house\u0001")
     # names of the table need no comparison with each other
     other = person & (F.size("names") > 1) & F.exists("names", lambda g: (F.length(g) > 1) & ~g.isin(*GIVEN_FORMS))
-    forms = told.where(other).select("key", _called("names").alias("called"))
-    each = met.select("entity", "key", F.explode("givens").alias("t"), "middles").join(told.join(forms, "key", "left"), "key", "left")
+    told = told.select("key", "names", F.when(other, _called(F.when(other, F.col("names")).otherwise(F.array().cast("array<string>")))).alias("called"))
+    each = met.select("entity", "key", F.explode("givens").alias("t"), "middles").join(told, "key")
     t, names = F.col("t"), F.col("names")
     begun = F.filter(names, lambda g: (F.length(g) > 1) & g.startswith(t))
     plain = F.when((F.length(t) == 1) & (F.size(begun) == 1), begun[0]).otherwise(t)
     g = F.when(t == "", F.when(~person & (F.size(names) == 1), names[0]).otherwise("")).when(person, F.coalesce(F.try_element_at("called", t), plain)).otherwise(t)
-    fit = each.select("entity", "key", g.alias("g"), F.explode(F.when(F.size("middles") > 0, F.col("middles")).otherwise(F.array(F.lit("")))).alias("m")).distinct()
-    several = fit.where(F.col("m") != "").groupBy("key", "g").agg(F.min("m").alias("m1"), F.max("m").alias("m2")).where(F.col("m1") != F.col("m2")).select("key", "g", F.lit(True).alias("several"))
-    return fit.join(several, ["key", "g"], "left").select("entity", "key", "g", F.when(F.col("several"), F.col("m")).otherwise("").alias("m"))
+    fit = each.select("entity", "key", g.alias("g"), F.explode(F.when(F.size("middles") > 0, F.col("middles")).otherwise(F.array(F.lit("")))).alias("m"))
+    groups = fit.groupBy("key", "g", "m").agg(F.min("entity").alias("lo"), F.max("entity").alias("hi"))
+    # with one middle initial at most, all of a name may be one; with several, each only with its like
+    name = Window.partitionBy("key", "g")  # of middle initials, already counted
+    m = F.nullif("m", F.lit(""))
+    several = F.min(m).over(name) != F.max(m).over(name)
+    own = F.coalesce(several, F.lit(False))
+    hubs = groups.select("key", "g", "m", F.when(own, F.col("lo")).otherwise(F.min("lo").over(name)).alias("hub"), F.when(own, F.col("hi")).otherwise(F.max("hi").over(name)).alias("top")).where(F.col("hub") != F.col("top"))
+    return fit.join(hubs, ["key", "g", "m"]).where(F.col("hub") < F.col("entity")).groupBy("entity").agg(F.min("hub").alias("hub"))
 
 
 def resolve(strings: DataFrame) -> DataFrame:
@@ -124,11 +132,9 @@ def resolve(strings: DataFrame) -> DataFrame:
         # what an entity is called: all its given names but those that only begin another one, and all its middle initials
         sets = state.groupBy("entity").agg(F.collect_set("given").alias("all"), F.array_remove(F.collect_set("middle"), "").alias("middles"))
         known = sets.select("entity", F.filter("all", lambda a: ~F.exists("all", lambda b: (a != b) & b.startswith(a))).alias("givens"), "middles")
-        met = active.join(state.select("pid", "entity"), "pid").select("key", "entity").distinct().join(known, "entity")
-        fit = _fits(met)
-        hubs = fit.groupBy("key", "g", "m").agg(F.min("entity").alias("hub"), F.max("entity").alias("top")).where(F.col("hub") != F.col("top"))
-        moves = fit.join(hubs, ["key", "g", "m"]).where(F.col("hub") < F.col("entity")).groupBy("entity").agg(F.min("hub").alias("hub"))
-        moves = scratch.cut(moves)
+        met = scratch.cut(active.join(state.select("pid", "entity"), "pid").select("key", "entity").distinct().join(known, "entity"))
+        moves = scratch.cut(_moves(met))
+        scratch.drop(met)
         if moves.isEmpty():
             break
         ahead = moves.select(F.col("entity").alias("hub"), F.col("hub").alias("further"))  # a hub that moves takes its followers along
