@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from codexmill.llm import truncation
 
@@ -34,9 +35,22 @@ def test_held_out_cuts(spark):
 
 
 def test_limits(spark):
+    """Piles are limits wherever they lie: under a longer value, two of one source, of few rows; lengths that repeat by chance or texts that do are none."""
     rng = np.random.default_rng(3)
-    rows = [(i, "blurb", "f", "", int(n), "") for i, n in enumerate(rng.integers(100, 280, 300))] + [(1000 + i, "blurb", "f", "", 280, "") for i in range(30)] + [(2000, None, None, "", None, "")]
-    assert [tuple(r) for r in truncation.field_limits(frame(spark, rows)).collect()] == [("blurb", "f", 280)]
+    piles = [("blurb", "f", 280, 30), ("raised", "f", 280, 40), ("raised", "f", 320, 40), ("small", "f", 125, 5), ("one", "f", 280, 60), ("one", "f", 321, 1)]
+    rows = [("blurb", "f", int(n), i) for i, n in enumerate(rng.integers(100, 280, 300))] + [("raised", "f", int(n), i) for i, n in enumerate(rng.integers(100, 320, 300))]
+    rows += [("small", "f", 20 + 9 * i, i) for i in range(8)] + [("free", "f", int(n), i) for i, n in enumerate(rng.integers(100, 2000, 3000))]
+    rows += [(s, f, n, 10_000 + i) for s, f, n, k in piles for i in range(k)] + [("same", "f", 90, 7) for _ in range(50)] + [(None, None, None, 1)]
+    rows = [(*r[:3], r[2], r[3]) for r in rows] + [("octets", "f", int(n), 250, 20_000 + i) for i, n in enumerate(rng.integers(180, 240, 60))]
+    df = spark.createDataFrame(rows, "source string, feed string, n int, bytes int, digest long")
+    assert {r.source: r.limits for r in truncation.field_limits(df).collect()} == {"blurb": [280], "raised": [280, 320], "small": [125], "one": [280], "octets": [250]}
+
+
+def test_signs_read_whole_endings(spark):
+    close = "</p>\n" * 300  # closing markup longer than any window
+    rows = [(1, "He left." + close), (2, "He left..." + close), (3, "He le" + close), (4, "Chapter One"), (5, "»Er ging. »"), (6, "x" * 1000 + ">")]
+    got = {r.k: (r.ended, r.marked, r.label) for r in spark.createDataFrame(rows, "k int, text string").select("k", *truncation._signs(F.col("text"))).collect()}
+    assert got == {1: (True, False, False), 2: (False, True, False), 3: (False, False, False), 4: (False, False, True), 5: (True, False, False), 6: (False, False, False)}
 
 
 def test_empty(spark):
