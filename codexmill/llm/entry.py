@@ -38,6 +38,11 @@ def p6_passages(spark: SparkSession, d: str) -> DataFrame:
     return _passages(spark, d)
 
 
+def p6_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The language of each text as a whole, with its confidence."""
+    return languages.text_languages(_passages(spark, d))
+
+
 def _containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(tokens.token_sizes(table(spark, d, "documents")), table(spark, d, "pack_limits"))
 
@@ -74,5 +79,5 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation.cut_rates(truncation.score(table(spark, d, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_entities, p2_members, p6_found, p6_passages, p7_members, p7_fill, p8_mix, p8_repeats, p8_shares, p9_found, p9_rates)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_entities, p2_members, p6_found, p6_passages, p6_documents, p7_members, p7_fill, p8_mix, p8_repeats, p8_shares, p9_found, p9_rates)}
 ORACLE: dict[str, str] = {}

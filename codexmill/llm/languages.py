@@ -165,7 +165,7 @@ def fit_on_sample(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE)
         return np.zeros((1 << BITS, len(LANGUAGES)), np.float32)
     share = F.create_map(*(F.lit(x) for c, n in sizes.items() for x in (c, min(1.0, per_language / n))))
     unit = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / float(1 << 30)
-    rows = known.where(unit < share[F.col("code")]).select("code", F.lower("text").alias("text")).collect()
+    rows = known.where(unit < share[F.col("code")]).select("code", lowered(F.col("text")).alias("text")).collect()
     return fit(sorted((r["code"], r["text"]) for r in rows))
 
 
@@ -195,9 +195,14 @@ def _score_batches(table: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], It
     return run
 
 
+def lowered(text: Column) -> Column:
+    """The text in lower case with as many characters as it has (the capital I with a dot alone would become two)."""
+    return F.lower(F.translate(text, "\u0130", "i"))
+
+
 def passages(rows: DataFrame, table: np.ndarray) -> DataFrame:
     """Passages of ``rows`` (tab, row_key, pub_id, feed, label, text): those columns but text, and i, first, chars, ll."""
-    source = rows.select("tab", "row_key", "pub_id", "feed", "label", F.lower("text").alias("text")).where(F.col("text").isNotNull())
+    source = rows.select("tab", "row_key", "pub_id", "feed", "label", lowered(F.col("text")).alias("text")).where(F.col("text").isNotNull())
     return source.mapInArrow(_score_batches(table), f"tab string, row_key bigint, pub_id string, feed string, label string, {_PASSAGE}")
 
 
@@ -254,6 +259,13 @@ def detect(rows: DataFrame, labelled: DataFrame, name: str = "languages") -> Dat
     return merged(fuse(scratch.cut(passages(rows, fit_on_sample(labelled)))))
 
 
+def text_languages(merged_: DataFrame) -> DataFrame:
+    """The language of each text as a whole: that of most of its characters, its share of them and its confidence (ties: by name), beside all its languages."""
+    per = merged_.groupBy("tab", "row_key", "lang").agg(F.sum("chars").alias("chars"), (F.sum(F.col("confidence") * F.col("chars")) / F.sum("chars")).alias("confidence"), F.min("code").alias("code"))
+    best = per.groupBy("tab", "row_key").agg(F.min(F.struct(-F.col("chars"), "lang", "confidence", "code")).alias("b"), F.sum("chars").alias("n"), F.sort_array(F.collect_list("lang")).alias("languages"))
+    return best.select("tab", "row_key", F.col("b.lang").alias("lang"), F.col("b.confidence").alias("confidence"), (-F.col("b.col1") / F.col("n")).alias("share"), F.nullif("b.code", F.lit("")).alias("label"), "languages")
+
+
 def corpus_texts(documents: DataFrame, elements: DataFrame) -> DataFrame:
     """All non-empty texts, however short, with their label: tab, row_key, pub_id, feed, label, text."""
     docs = documents.select(F.lit("documents").alias("tab"), F.col("doc_id").alias("row_key"), "pub_id", "feed", F.col("lang").alias("label"), "text")

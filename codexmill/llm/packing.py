@@ -1,13 +1,15 @@
 """Filling fixed-capacity containers with items (problem 7).
 
 Hierarchical residual packing: items are dealt by hash to groups of bounded size, each group is packed best-fit (largest
-first), and containers that are nearly full leave. The others go on as items of their own size into fewer groups, level
-by level, until one group holds them all or a level gains nothing. Groups never exceed their bound, however many items
-there are, and the last level is bounded as well.
+first), and containers that are nearly full leave. The others go on as items of their own size: once more together, so
+that what is small finds room in what is open, and then by a tree. Best fit leaves at most one container that is half full
+or less in a group, and of two fuller ones none fits into the other; so only those small ones go on, one a group, and are
+merged group by group until a pack has a single one. Groups never exceed their bound, however many items there are.
 
 Defined results: an item above the capacity is cut into whole containers and one rest, nothing else is cut; items
 without size need no room and are in no container; null sizes and null or non-positive capacities are left out; ties go
-to the smaller identifier, so that the result is the same on every run.
+to the smaller identifier, so that the result is the same on every run. At the end at most one container of a pack is half
+full or less, so that no two others could be one.
 """
 
 from __future__ import annotations
@@ -25,8 +27,6 @@ from codexmill.session import Scratch
 GROUP = 4000
 #: A container of at least this fill is done.
 FULL = 0.98
-#: A level that lessens the open containers by less than this share is the last one.
-GAIN = 0.01
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
@@ -110,21 +110,22 @@ def pack(items: DataFrame, packs: DataFrame, group: int = GROUP, full: float = F
     now = scratch.cut(pieces(items, packs))
     done = [now.where(F.col("used") == F.col("capacity"))]
     rest = now.where(F.col("used") < F.col("capacity"))
-    counts = {r["pack_name"]: r["count"] for r in rest.groupBy("pack_name").count().collect()}  # one row a pack
-    level = 0
+    tally = lambda df: {r["pack_name"]: r["count"] for r in df.groupBy("pack_name").count().collect()}  # noqa: E731, one row a pack
+    counts, level = tally(rest), 0
     while counts:
         groups = F.create_map(*(F.lit(x) for p, n in counts.items() for x in (p, max(1, -(-n // group)))))
         dealt = rest.withColumn("g", F.pmod(F.xxhash64("id", F.lit(level)), groups[F.col("pack_name")]))
         now = scratch.cut(dealt.groupBy("pack_name", "g").applyInPandas(_pack_group(), _OPEN))
-        ready = F.col("used") >= full * F.col("capacity")
-        left = {r["pack_name"]: r["count"] for r in now.where(~ready).groupBy("pack_name").count().collect()}
-        # a pack goes on while it has several groups and the level gained something
-        more = {p: n for p, n in left.items() if counts[p] > group and n <= counts[p] * (1 - GAIN)}
-        goes_on = F.col("pack_name").isin(list(more)) & ~ready
+        # a pack goes on while it had several groups: first all its open containers, then the small ones alone
+        open_ = F.col("used") < full * F.col("capacity") if level == 0 else F.col("used") * 2 <= F.col("capacity")
+        goes_on = F.col("pack_name").isin([p for p, n in counts.items() if n > group]) & open_
         done.append(now.where(~goes_on))
         rest = now.where(goes_on)
-        counts = more
-        level += 1
+        counts, level = tally(rest), level + 1
+        single = [p for p, n in counts.items() if n == 1]
+        done.append(rest.where(F.col("pack_name").isin(single)))
+        rest = rest.where(~F.col("pack_name").isin(single))
+        counts = {p: n for p, n in counts.items() if n > 1}
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)

@@ -67,3 +67,22 @@ def test_short_texts_have_a_language(spark):
     assert set(rows) == {("documents", 1), ("documents", 4), ("metadata_elements", 7), ("metadata_elements", 8)}
     assert rows["documents", 1].lang == rows["metadata_elements", 8].lang == "de"
     assert all(0 < r.confidence <= 1.0000001 for r in rows.values())
+
+
+def test_language_of_the_whole_text(spark):
+    mixed = TEXT["en"] * 2 + TEXT["de"] * 5
+    rows = [("documents", 1, None, None, "en", mixed), ("documents", 2, None, None, None, TEXT["ru"]), ("documents", 3, None, None, "de", None)]
+    df = spark.createDataFrame(rows, "tab string, row_key long, pub_id string, feed string, label string, text string")
+    train = spark.createDataFrame([(i, c, t * 6) for i, (c, t) in enumerate(TEXT.items())], "key long, code string, text string")
+    got = {r.row_key: r for r in languages.text_languages(languages.detect(df, train)).collect()}
+    assert set(got) == {1, 2}
+    assert (got[1].lang, got[1].label, got[1].languages) == ("de", "en", ["de", "en"])
+    assert 0.6 < got[1].share < 0.8
+    assert (got[2].lang, got[2].label, got[2].share) == ("ru", None, 1.0)
+
+
+def test_positions_fit_the_stored_text(spark):
+    """Capitals whose lower case has more characters do not shift what follows."""
+    head = "\u0130" * 40 + " "
+    got = found(spark, [(1, "de", head + TEXT["fr"] * 2 + TEXT["ru"] * 2)])
+    assert any(k[1] == "ru" and k[2] == len(head) + 2 * len(TEXT["fr"]) for k in got)

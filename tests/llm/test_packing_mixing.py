@@ -39,10 +39,20 @@ def test_pack_levels(spark):
         assert not got
         assert max(fill.values()) <= capacity
         assert len(fill) <= 1.02 * sum(sizes) / capacity + 2
+        assert sum(2 * v <= capacity for v in fill.values()) <= 1  # merged to the root
     assert {r.pack_name for r in rows} == {"a", "b"}
     assert packing.pack(items.limit(0), packs).count() == 0
 
 
+def test_nothing_that_fits_stays_apart(spark):
+    """Items that fill poorly in every group are merged to the root, however little a level gains."""
+    items = spark.createDataFrame([(i, 60 if i % 40 else 3) for i in range(4000)], "doc_id long, n_tokens long")
+    out = packing.pack(items, spark.createDataFrame([("a", 100)], "pack_name string, capacity_tokens int"), group=50).collect()
+    assert sum(r.used for r in out) == 3900 * 60 + 100 * 3
+    assert sum(2 * r.used <= 100 for r in out) <= 1
+    assert len(out) == 3900
+
+
 def test_sizes(spark):
     df = spark.createDataFrame([(1, "hello world", 5), (2, "", 6), (3, None, 7), (4, "é☃ " * 1000, 8)], "doc_id long, text string, n_tokens2 long")
     got = {r.doc_id: r.n_tokens for r in tokens.token_sizes(df).collect()}
