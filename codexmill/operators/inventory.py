@@ -10,10 +10,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from codexmill.functions import values as V
-from codexmill.parsers.hrefs import below_bases
 from codexmill.session import Scratch
 
 
@@ -52,6 +50,21 @@ def resolve_idrefs(refs: DataFrame, typed: DataFrame, ref: str) -> DataFrame:
     return j.select(*refs.columns, state.alias("target_state"), sure("decl").alias("target_decl"), sure("decl_address").alias("target_address"), F.coalesce("candidates", F.lit(0).cast("bigint")).alias("candidates"))
 
 
+def numbered(rows: DataFrame, key: str, order: list[str], name: str, scratch: Scratch) -> DataFrame:
+    """``rows`` with their place from 0 on inside ``key``, in ``order``.
+
+    The rows are ranged over all tasks by key and order, numbered where they lie and moved by what the ranges before hold of
+    their key, so that no task sorts a whole book. Of equal rows any may come first.
+    """
+    ranged = rows.repartitionByRange(key, *order).sortWithinPartitions(key, *order)
+    held = scratch.cut(ranged.withColumn("_row", F.monotonically_increasing_id()))
+    part = F.shiftright("_row", 33)
+    parts = held.groupBy(key, part.alias("_part")).agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a task and key
+    starts = parts.select(F.col(key).alias("_key"), "_part", (before - F.col("_first")).alias("_shift"))
+    return held.withColumn("_p", part).join(starts, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_p") == F.col("_part"))).withColumn(name, (F.col("_row") + F.col("_shift")).cast("bigint")).drop("_row", "_p", "_key", "_part", "_shift")
+
+
 def resources(publications: DataFrame, typed: DataFrame, entries: DataFrame | None = None) -> DataFrame:
     """Distinct resources with ordinals by first appearance: the package, then declarations, then container entries.
 
@@ -62,13 +75,13 @@ def resources(publications: DataFrame, typed: DataFrame, entries: DataFrame | No
     parts = [package, declared]
     if entries is not None:
         kept = entries.where(~V.is_control_path(F.col("path")))
-        parts.append(kept.select("pub_id", F.lit(2), F.row_number().over(Window.partitionBy("pub_id").orderBy("path")).cast("bigint"), F.lit("local"), "path", F.lit(None).cast("bigint")))
+        parts.append(kept.select("pub_id", F.lit(2), F.lit(0).cast("bigint"), F.lit("local"), "path", F.lit(None).cast("bigint")))  # by their path
     seen = reduce(DataFrame.union, parts).groupBy("pub_id", "address_kind", "address").agg(F.min(F.struct("rank", "seq", F.coalesce("decl", F.lit(-1).cast("bigint")))).alias("at"), F.count("decl").alias("n_declarations"))
-    numbered = seen.withColumn("resource_ord", (F.row_number().over(Window.partitionBy("pub_id").orderBy("at", "address_kind", "address")) - 1).cast("bigint")).drop("at")
+    placed = numbered(seen, "pub_id", ["at", "address_kind", "address"], "resource_ord", Scratch(typed.sparkSession, "resources")).drop("at")
     if entries is None:
-        return numbered.withColumn("presence", F.when(F.col("address_kind") != "local", "not-applicable"))
+        return placed.withColumn("presence", F.when(F.col("address_kind") != "local", "not-applicable"))
     have = entries.groupBy(F.col("pub_id").alias("e_pub"), F.col("path").alias("e_path")).agg(F.max("size_bytes").alias("size_bytes"))
-    joined = numbered.join(have, (F.col("pub_id") == F.col("e_pub")) & (F.col("address") == F.col("e_path")) & (F.col("address_kind") == "local"), "left")
+    joined = placed.join(have, (F.col("pub_id") == F.col("e_pub")) & (F.col("address") == F.col("e_path")) & (F.col("address_kind") == "local"), "left")
     return joined.withColumn("presence", F.when(F.col("address_kind") != "local", "not-applicable").when(F.col("e_path").isNotNull(), "present").otherwise("missing")).drop("e_pub", "e_path")
 
 
@@ -89,29 +102,6 @@ def navigation_references(points: DataFrame, publications: DataFrame, typed: Dat
     return j.select("pub_id", "nav_key", "list_index", "point_path", F.col("semantic").alias("role"), F.col("authored_href").alias("declared"), kind.alias("target_kind"), F.col("t_address").alias("target_address"), F.col("t_fragment").alias("fragment"))
 
 
-_below = F.udf(below_bases, T.StringType(), useArrow=False)
-
-
-def content_references(tables: dict[str, DataFrame], typed: DataFrame) -> DataFrame:
-    """Edges of XHTML, CSS, SVG, guide and SMIL of ``books.book_tables``, resolved like navigation: source_address tells the document.
-
-    What stands below a base that is not local has the target_kind unsupported-base.
-    """
-    none, publications = F.array().cast("array<string>"), tables["publications"]
-    links = tables["links"].select("pub_id", F.col("path").alias("source_address"), F.coalesce("bases", none).alias("bases"), "role", "declared")
-    guide = tables["guide"].join(publications.select("pub_id", "package_path"), "pub_id").select("pub_id", F.col("package_path").alias("source_address"), none.alias("bases"), F.lit("guide").alias("role"), F.col("href").alias("declared"))
-    sounds = [tables["smil"].select("pub_id", F.col("path").alias("source_address"), none.alias("bases"), F.lit(r).alias("role"), F.col(c).alias("declared")) for r, c in (("smil-text", "text_ref"), ("smil-audio", "audio_src"))]
-    rows = reduce(DataFrame.unionByName, [links, guide, *sounds]).where(F.col("declared").isNotNull())
-    plain = rows.where(F.size("bases") == 0).withColumn("below", F.col("source_address"))
-    based = rows.where(F.size("bases") > 0).withColumn("below", _below("source_address", "bases"))
-    p = Scratch(typed.sparkSession, "content").cut(V.with_target(plain.unionByName(based), "declared", "below"))
-    known = typed.where(F.col("address_kind") == "local").select(F.col("pub_id").alias("k_pub"), F.col("address").alias("k_address")).union(publications.select("pub_id", "package_path")).union(tables["resources"].select("pub_id", "path")).distinct()
-    j = p.join(known, (F.col("pub_id") == F.col("k_pub")) & (F.col("t_address") == F.col("k_address")), "left")
-    lost = F.col("below").isNull() & V.href_class(F.col("declared")).isin("local", "same-document")
-    kind = F.when(lost, "unsupported-base").when(F.col("t_kind") != "local", F.col("t_kind")).when(F.col("k_pub").isNull(), "missing-local").when(F.col("t_fragment").isNotNull(), "fragment").otherwise("resource")
-    return j.select("pub_id", "source_address", "role", "declared", kind.alias("target_kind"), F.col("t_address").alias("target_address"), F.col("t_fragment").alias("fragment"))
-
-
 def broken_references(manifest: DataFrame, navigation: DataFrame, resources_: DataFrame | None = None, content: DataFrame | None = None) -> DataFrame:
     """References known to be broken; remote, data and external ones never are, and what is unknown is not.
 

@@ -89,8 +89,8 @@ def _descriptors_ok(words: list[str]) -> bool:
 
 
 def viewport(content: str) -> list[tuple[str, str]]:
-    """Directives (name, value) of a viewport meta."""
-    return [(k.strip().lower(), v.strip()) for k, _, v in (part.partition("=") for part in re.split(r"[,;]", content)) if k.strip()]
+    """Directives (name, value) of a viewport meta as authored; white space, commas and semicolons part them, and an equals sign takes space around it."""
+    return [(m[1], m[2] or "") for m in re.finditer(r"([^\s,;=]+)(?:\s*=\s*([^\s,;=]*))?", content)]
 
 
 @dataclass
@@ -165,11 +165,16 @@ class Scanner(HTMLParser):
             f.base = a["href"]
         if tag == "meta" and (a.get("name") or "").strip().lower() == "viewport" and any(o.name == "head" for o in self.open):
             f.viewports += [{"ord": len(f.viewports) + i, "name": k, "value": v} for i, (k, v) in enumerate(viewport(a.get("content", "")))]
+        lists = (f.links, f.media, f.forms, f.scripts)
+        had = [len(x) for x in lists]
         self._activity(tag, a, in_svg)
         self._structure(me, tag, a, semantics, roles, pagebreak, fragment)
         self._links(me, tag, a, in_svg, parent.name if parent else None)
         self._media_and_forms(tag, a, parent.name if parent else None)
         self._scripts(me, tag, a)
+        for x, n in zip(lists, had, strict=True):  # facts of one element share its ordinal
+            for fact in x[n:]:
+                fact["element_ord"] = here
         self._accessibility(tag, a, fragment)
         if pagebreak and not self._suppressed():
             label = " ".join((a.get("title") or a.get("aria-label") or "").split())

@@ -106,7 +106,7 @@ def parse_package(data: bytes) -> dict:
         e, path = stack.pop()
         if len(path) > DEPTH:
             raise FormatError("collection-depth")
-        collections.append({"path": list(path), "role": e.get("role"), "links": [x.get("href") for x in e.findall(f"{OPF}link")]})
+        collections.append({"path": list(path), "role": e.get("role"), "links": [x.get("href") for x in [*e.findall(f"{OPF}link"), *e.findall(f"{OPF}metadata/{OPF}link")]]})
         stack += [(c, (*path, i)) for i, c in reversed(list(enumerate(e.findall(f"{OPF}collection"))))]
     return {
         "version": root.get("version"),

@@ -1,6 +1,6 @@
-"""Incremental ingest: newly arrived books run through the batch analysis and are appended to the tables.
+"""Incremental ingest: newly arrived books run through the batch analysis and are appended to the fact tables.
 
-Each micro-batch overwrites its own partition (``batch``), so a replayed batch leaves the same rows.
+Each micro-batch overwrites its own partition (``batch``) of every table, so a replayed batch leaves the same rows.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from codexmill.sources.books import analyse
+from codexmill.sources.books import analyse, book_tables
 
 SOURCE = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -24,6 +24,7 @@ def ingest(spark: SparkSession, directory: str, output: str, checkpoint: str) ->
     """Starts the ingest of all books that are there and ends when they are done."""
 
     def write(batch: DataFrame, number: int) -> None:
-        analyse(batch).write.mode("overwrite").parquet(f"{output}/batch={number}")
+        for name, table in book_tables(analyse(batch)).items():
+            table.write.mode("overwrite").parquet(f"{output}/{name}/batch={number}")
 
     return arriving_books(spark, directory).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

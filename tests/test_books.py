@@ -3,7 +3,6 @@ import zipfile
 
 import pytest
 
-from codexmill.operators import catalog, inventory
 from codexmill.operators.edit import CHANGES, EditError, PackageEdit, apply_changes, edit_packages, preview
 from codexmill.parsers import xmlparts
 from codexmill.sources import books
@@ -64,7 +63,8 @@ def test_round_trip_and_source(spark, frame, tmp_path):
     assert [r.pub_id for r in books.discover(spark, str(tmp_path / "in")).collect()] == ["Good"]
     query = ingest(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp"))
     assert query.awaitTermination(120)
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+    assert [r.status for r in spark.read.parquet(str(tmp_path / "out" / "publications")).collect()] == ["ok"]
+    assert spark.read.parquet(str(tmp_path / "out" / "links")).count() == 6
 
 
 def test_staged_changes(spark, frame):
@@ -99,25 +99,3 @@ def test_obfuscation_is_its_own_inverse():
         hidden = xmlparts.deobfuscate(data, algorithm, identifier)
         assert hidden != data
         assert xmlparts.deobfuscate(hidden, algorithm, identifier) == data
-
-
-def test_content_references(spark):
-    e = sample()
-    based = CHAPTER.replace(b"<head>", b'<head><base href="../img/"/>').replace(b"b.xhtml#c", b"#a")
-    e |= {"EPUB/text/i.png": b"x", "EPUB/img/i.png": b"x", "EPUB/text/c2.xhtml": based}
-    analysed = books.analyse(spark.createDataFrame([("good", archive(e))], "pub_id string, content binary"))
-    tables = books.book_tables(analysed)
-    typed = spark.createDataFrame([("good", "local", "EPUB/text/i.png")], "pub_id string, address_kind string, address string")
-    refs = inventory.content_references(tables, typed).localCheckpoint()
-    got = {(r.source_address, r.role, r.declared): (r.target_kind, r.target_address) for r in refs.collect()}
-    assert got["EPUB/text/c1.xhtml", "image", "i.png"] == ("resource", "EPUB/text/i.png")
-    assert got["EPUB/text/c2.xhtml", "image", "i.png"] == ("resource", "EPUB/img/i.png")
-    assert got["EPUB/text/c1.xhtml", "hyperlink", "b.xhtml#c"] == ("missing-local", "EPUB/text/b.xhtml")
-    assert got["EPUB/s.css", "css", "i.png"] == ("missing-local", "EPUB/i.png")
-    manifest = spark.createDataFrame([], "pub_id string, role string, decl_key long, idref string, target_state string")
-    points = spark.createDataFrame([], "pub_id string, nav_key long, role string, declared string, target_kind string, target_address string")
-    broken = {(r.source_address, r.declared) for r in inventory.broken_references(manifest, points, content=refs).collect()}
-    assert ("EPUB/text/c1.xhtml", "b.xhtml#c") in broken
-    assert ("EPUB/text/c1.xhtml", "i.png") not in broken
-    inventory_ = spark.createDataFrame([("good", "EPUB/text/i.png", 1)], "pub_id string, address string, resource_ord long")
-    assert catalog.incoming_references(refs, inventory_).count() == 1
