@@ -341,3 +341,33 @@ def utf8_text(c: Column) -> Column:
 def sample(items: Column, most: int = 8) -> Column:
     """The first of many and how many more there are."""
     return F.struct(F.slice(items, 1, most).alias("first"), F.greatest(F.size(items) - most, F.lit(0)).alias("more"))
+
+
+def href_scheme(c: Column) -> Column:
+    """The scheme that an href begins with, in lower case, null where it has none."""
+    return F.nullif(F.lower(F.regexp_extract(c, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)), F.lit(""))
+
+
+def href_syntax_ok(c: Column) -> Column:
+    """Whether an href has neither space, control character nor backslash, and only whole percent escapes."""
+    return _syntax_ok(_repaired(c))
+
+
+def has_encoded_separator(c: Column) -> Column:
+    return F.substring_index(F.substring_index(c, "#", 1), "?", 1).rlike(r"(?i)%2f|%5c")
+
+
+def is_relative_href(c: Column) -> Column:
+    """An href whose meaning depends on the document it stands in."""
+    return href_class(c).isin("local", "same-document", "empty")
+
+
+def clock_kind(c: Column) -> Column:
+    """How a media clock value is written: full (h:mm:ss), partial (mm:ss), count (with or without a unit) or invalid."""
+    v = F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.when(clock_ms(c).isNull(), "invalid").when(v.rlike(r"^\d+:\d+:"), "full").when(v.contains(":"), "partial").otherwise("count")
+
+
+def text_range(c: Column, start: int, end: int) -> Column:
+    """The code points from ``start`` to before ``end``, null where the text does not reach that far."""
+    return F.when(F.length(c) >= end, F.substring(c, start + 1, end - start))

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codexmill.functions import values as V
+from codexmill.operators.inventory import numbered
+from codexmill.session import Scratch
 
 
 def resource_at(resources: DataFrame, kind: str, address: str) -> DataFrame:
@@ -38,8 +40,8 @@ def manifest_resources(resources: DataFrame) -> DataFrame:
 
 
 def elements_of(elements: DataFrame, kind: str) -> DataFrame:
-    """Dublin Core elements of one kind in source order."""
-    return elements.where(F.col("kind") == kind).orderBy("pub_id", "ord")
+    """Dublin Core elements of one kind; ``ord`` tells their order."""
+    return elements.where(F.col("kind") == kind)
 
 
 def legacy_cover_ids(opf2_metas: DataFrame) -> DataFrame:
@@ -48,9 +50,9 @@ def legacy_cover_ids(opf2_metas: DataFrame) -> DataFrame:
 
 
 def list_of(points: DataFrame, semantic: str) -> DataFrame:
-    """Points of the first list with the semantic, in document order."""
+    """Points of the first list with the semantic; list_index and point_path tell their order."""
     first = points.where(F.col("semantic") == semantic).groupBy("pub_id").agg(F.min("list_index").alias("list_index"))
-    return points.join(first, ["pub_id", "list_index"], "left_semi").orderBy("pub_id", "list_index", "point_path")
+    return points.join(first, ["pub_id", "list_index"], "left_semi")
 
 
 def auxiliary_lists(points: DataFrame) -> DataFrame:
@@ -105,11 +107,45 @@ def outcome(value: Column, state: Column) -> Column:
 
 
 def running_budget(resources: DataFrame, most_bytes: int, most_resources: int) -> DataFrame:
-    """Resources in order with the state that their turn leaves them: complete, or unavailable by the limit on bytes or number."""
-    w = Window.partitionBy("pub_id").orderBy("resource_ord")
-    spent = F.coalesce(F.sum("size_bytes").over(w), F.lit(0))
-    cut = (spent > most_bytes) | (F.row_number().over(w) > most_resources)
-    return resources.withColumns({"state": F.when(cut, "unavailable").otherwise("complete"), "issue": F.when(cut, "limit")})
+    """Resources in order with the state that their turn leaves them: complete, or unavailable by the limit on bytes or number. Null sizes take nothing."""
+    placed = numbered(resources, "pub_id", ["resource_ord"], "_nth", Scratch(resources.sparkSession, "budget"), "size_bytes")
+    cut = (F.col("_nth_sum") > most_bytes) | (F.col("_nth") >= most_resources)
+    return placed.withColumns({"state": F.when(cut, "unavailable").otherwise("complete"), "issue": F.when(cut, "limit")}).drop("_nth", "_nth_sum")
+
+
+def neighbours(order: DataFrame) -> DataFrame:
+    """Occurrences with the ones before and behind them in the reading order of their book (by ro_ord, then key)."""
+    placed = numbered(order.select("pub_id", "ro_ord", "itemref_key"), "pub_id", ["ro_ord", "itemref_key"], "n", Scratch(order.sparkSession, "neighbours")).select("pub_id", "itemref_key", "n")
+    of = lambda step, name: placed.select("pub_id", (F.col("n") + step).alias("n"), F.col("itemref_key").alias(name))
+    return placed.join(of(1, "previous"), ["pub_id", "n"], "left").join(of(-1, "following"), ["pub_id", "n"], "left").select("pub_id", "itemref_key", F.col("n").alias("place"), "previous", "following")
+
+
+def candidates(refs: DataFrame, typed: DataFrame, ref: str, key: str) -> DataFrame:
+    """(key, decl_key) of every declaration that an id reference may mean, ambiguous ones included."""
+    ids = typed.where(F.col("manifest_id").isNotNull()).select(F.col("pub_id").alias("i_pub"), F.col("manifest_id").alias("i_id"), "decl_key")
+    r = refs.select("pub_id", key, V.manifest_id(F.col(ref)).alias("norm"))
+    return r.join(ids, (F.col("pub_id") == F.col("i_pub")) & (F.col("norm") == F.col("i_id"))).select(key, "decl_key")
+
+
+def repeated_ids(typed: DataFrame) -> DataFrame:
+    """Manifest ids that several declarations of a book carry."""
+    return typed.where(F.col("manifest_id").isNotNull()).groupBy("pub_id", "manifest_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+
+
+def shared_files(typed: DataFrame) -> DataFrame:
+    """Local files that several declarations name: none of these may take the file along when it goes."""
+    local = typed.where(F.col("address_kind") == "local")
+    return local.groupBy("pub_id", "address").agg(F.count(F.lit(1)).alias("n_declarations")).where(F.col("n_declarations") > 1)
+
+
+def merged_coverage(parts: DataFrame) -> DataFrame:
+    """Coverage records of parts of a corpus as one; any order and grouping of parts gives the same."""
+    return parts.groupBy("family").agg(*(F.sum(c).alias(c) for c in ("expected", "complete", "partial", "unavailable")))
+
+
+def completeness(coverage_: DataFrame) -> DataFrame:
+    """Whether all of a family that is expected is complete; a family without anything expected is."""
+    return coverage_.select("family", (F.col("complete") == F.col("expected")).alias("is_complete"))
 
 
 def same_rows(left: DataFrame, right: DataFrame) -> bool:

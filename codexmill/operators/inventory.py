@@ -50,19 +50,25 @@ def resolve_idrefs(refs: DataFrame, typed: DataFrame, ref: str) -> DataFrame:
     return j.select(*refs.columns, state.alias("target_state"), sure("decl").alias("target_decl"), sure("decl_address").alias("target_address"), F.coalesce("candidates", F.lit(0).cast("bigint")).alias("candidates"))
 
 
-def numbered(rows: DataFrame, key: str, order: list[str], name: str, scratch: Scratch) -> DataFrame:
-    """``rows`` with their place from 0 on inside ``key``, in ``order``.
+def numbered(rows: DataFrame, key: str, order: list[str], name: str, scratch: Scratch, amount: str | None = None) -> DataFrame:
+    """``rows`` with their place from 0 on inside ``key``, in ``order``; with ``amount`` also its running sum as ``<name>_sum``.
 
     The rows are ranged over all tasks by key and order, numbered where they lie and moved by what the ranges before hold of
     their key, so that no task sorts a whole book. Of equal rows any may come first.
     """
     ranged = rows.repartitionByRange(key, *order).sortWithinPartitions(key, *order)
-    held = scratch.cut(ranged.withColumn("_row", F.monotonically_increasing_id()))
-    part = F.shiftright("_row", 33)
-    parts = held.groupBy(key, part.alias("_part")).agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a task and key
-    starts = parts.select(F.col(key).alias("_key"), "_part", (before - F.col("_first")).alias("_shift"))
-    return held.withColumn("_p", part).join(starts, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_p") == F.col("_part"))).withColumn(name, (F.col("_row") + F.col("_shift")).cast("bigint")).drop("_row", "_p", "_key", "_part", "_shift")
+    held = scratch.cut(ranged.withColumn("_row", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_row", 33))
+    # one row a task and key: what stands before each of them
+    parts = held.groupBy(key, "_part").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"), F.coalesce(F.sum(amount) if amount else F.lit(None), F.lit(0)).alias("_a"))
+    ahead = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.select(F.col(key).alias("_key"), F.col("_part").alias("_p"), (F.coalesce(F.sum("_n").over(ahead), F.lit(0)) - F.col("_first")).alias("_shift"), F.coalesce(F.sum("_a").over(ahead), F.lit(0)).alias("_base"))
+    if amount:
+        own = Window.partitionBy(key, "_part").orderBy("_row")  # inside one range
+        held = held.withColumn("_run", F.coalesce(F.sum(amount).over(own), F.lit(0)))
+    out = held.join(starts, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_p"))).withColumn(name, (F.col("_row") + F.col("_shift")).cast("bigint"))
+    if amount:
+        out = out.withColumn(f"{name}_sum", F.col("_run") + F.col("_base")).drop("_run")
+    return out.drop("_row", "_p", "_key", "_part", "_shift", "_base")
 
 
 def resources(publications: DataFrame, typed: DataFrame, entries: DataFrame | None = None) -> DataFrame:
@@ -174,29 +180,31 @@ def corpus_totals(summary: DataFrame) -> DataFrame:
     return summary.agg(F.count(F.lit(1)).alias("books"), F.count_if(F.col("status") == "failed").alias("failed"), known.alias("archive_size_bytes"), *sums)
 
 
-def dependency_closure(manifest: DataFrame, levels_per_job: int = 6) -> DataFrame:
-    """Declarations that each declaration needs through fallbacks and overlays, with the least distance.
+def reach(edges: DataFrame, scratch: Scratch, *keys: str) -> DataFrame:
+    """All (keys, start, reached, distance) along ``edges`` (keys, at, to), with the least distance; nothing reaches itself.
 
-    Breadth-first with an anti-join on what was reached: (root, reached, distance). Several levels make one job; cycles
-    end by themselves, as only what is new is followed.
+    Breadth-first in doubling steps: what is 2^k to 2^(k+1) levels away is reached over what is exactly 2^k away, so that a
+    chain of d levels takes log2(d) joins. Only what is new is followed, so that cycles end by themselves.
     """
-    scratch = Scratch(manifest.sparkSession, "closure")
-    edges = scratch.cut(manifest.where(F.col("target_state") == "declaration").select(F.col("decl_key").alias("at"), F.col("target_decl").alias("to")).distinct())
-    frontier, parts, depth = edges.select(F.col("at").alias("root"), F.col("at").alias("reached")).distinct(), [], 0
+    parts = [scratch.cut(edges.where(F.col("at") != F.col("to")).select(*keys, F.col("at").alias("start"), F.col("to").alias("reached"), F.lit(1).cast("bigint").alias("distance")).distinct())]
+    step = 1
     while True:
-        levels, now = [], frontier
-        for _ in range(levels_per_job):
-            depth += 1
-            now = now.join(edges, F.col("reached") == F.col("at")).select("root", F.col("to").alias("reached")).where(F.col("root") != F.col("reached")).distinct()
-            levels.append(now.withColumn("distance", F.lit(depth).cast("bigint")))
-        found = reduce(DataFrame.unionByName, levels).groupBy("root", "reached").agg(F.min("distance").alias("distance"))
-        if parts:
-            found = found.join(reduce(DataFrame.unionByName, parts).select("root", "reached"), ["root", "reached"], "left_anti")
-        new = scratch.cut(found)
+        known = reduce(DataFrame.unionByName, parts)
+        front = parts[-1].where(F.col("distance") == step).select(*keys, "start", F.col("reached").alias("via"))
+        beyond = known.select(*keys, F.col("start").alias("via"), "reached", "distance")
+        found = front.join(beyond, [*keys, "via"]).where(F.col("start") != F.col("reached")).groupBy(*keys, "start", "reached").agg((F.min("distance") + step).alias("distance"))
+        new = scratch.cut(found.join(known.select(*keys, "start", "reached"), [*keys, "start", "reached"], "left_anti"))
         if new.isEmpty():
-            return reduce(DataFrame.unionByName, [*parts, new])
+            return known
         parts.append(new)
-        frontier = new.where(F.col("distance") == depth).select("root", "reached")
+        step *= 2
+
+
+def dependency_closure(manifest: DataFrame) -> DataFrame:
+    """Declarations that each declaration needs through fallbacks and overlays, with the least distance: (root, reached, distance)."""
+    scratch = Scratch(manifest.sparkSession, "closure")
+    edges = manifest.where(F.col("target_state") == "declaration").select(F.col("decl_key").alias("at"), F.col("target_decl").alias("to"))
+    return reach(edges, scratch).withColumnRenamed("start", "root")
 
 
 def removal_impact(typed: DataFrame, order: DataFrame, manifest: DataFrame, navigation: DataFrame, content: DataFrame | None = None) -> DataFrame:

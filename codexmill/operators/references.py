@@ -143,35 +143,19 @@ def broken(references: DataFrame) -> DataFrame:
     return references.where(~F.col("shared")).withColumn("reason", why).where(F.col("reason").isNotNull())
 
 
-def closure(references: DataFrame, root: str, levels_per_job: int = 4) -> DataFrame:
-    """What each resource or declaration needs: (pub_id, start, reached, distance), addresses reached through dependency references.
+def closure(references: DataFrame, root: str) -> DataFrame:
+    """What each resource or declaration needs: (pub_id, start, reached, distance, unresolved), addresses reached through dependency references.
 
     ``root`` is ``resource`` (each source address) or ``declaration`` (each declared address, fallbacks and overlays included).
-    Missing local targets are reached and told by ``unresolved``; what is reached is followed once, so that cycles end.
+    Missing local targets are reached and told by ``unresolved``.
     """
     scratch = Scratch(references.sparkSession, "references-closure")
     deps = references.where(~F.col("shared") & is_dependency(F.col("role")) & F.col("source_address").isNotNull() & F.col("target_address").isNotNull())
     local = deps.where(F.col("target_kind").isin("resource", "fragment", "missing-local", "id-declaration"))
     local = local if root == "declaration" else local.where(F.col("producer") != 0)
     edges = scratch.cut(local.select("pub_id", F.col("source_address").alias("at"), F.col("target_address").alias("to"), (F.col("target_kind") == "missing-local").alias("unresolved")).distinct())
-    start = edges.select("pub_id", F.col("at").alias("start")).distinct()
-    frontier, parts, depth = start.withColumn("reached", F.col("start")), [], 0
-    while True:
-        levels, now = [], frontier
-        for _ in range(levels_per_job):
-            depth += 1
-            step = now.join(edges.withColumnRenamed("at", "reached"), ["pub_id", "reached"]).where(F.col("to") != F.col("start"))
-            now = step.groupBy("pub_id", "start", F.col("to").alias("reached")).agg(F.bool_or("unresolved").alias("unresolved"))
-            levels.append(now.withColumn("distance", F.lit(depth).cast("bigint")))
-            now = now.drop("unresolved")
-        found = reduce(DataFrame.unionByName, levels).groupBy("pub_id", "start", "reached").agg(F.min("distance").alias("distance"), F.bool_or("unresolved").alias("unresolved"))
-        if parts:
-            found = found.join(reduce(DataFrame.unionByName, parts).select("pub_id", "start", "reached"), ["pub_id", "start", "reached"], "left_anti")
-        new = scratch.cut(found)
-        parts.append(new)
-        if new.isEmpty():
-            return reduce(DataFrame.unionByName, parts)
-        frontier = new.where(F.col("distance") == depth).select("pub_id", "start", "reached")
+    missing = edges.groupBy("pub_id", F.col("to").alias("reached")).agg(F.bool_or("unresolved").alias("unresolved"))
+    return I.reach(edges, scratch, "pub_id").join(missing, ["pub_id", "reached"])
 
 
 def incomplete_sources(closed: DataFrame, contents: DataFrame) -> DataFrame:

@@ -51,6 +51,6 @@ def test_move_impact_and_closure(spark):
     assert {(r.address, r.incoming, r.outgoing) for r in catalog.move_impact(refs, typed).collect()} == {("a", 0, 1), ("b", 1, 1)}
     edges = [(i, i + 1) for i in range(1, 15)] + [(15, 1), (3, 20), (21, 21)]
     manifest = spark.createDataFrame([("p", a, "declaration", b) for a, b in edges], "pub_id string, decl_key long, target_state string, target_decl long")
-    got = {(r.root, r.reached): r.distance for r in inventory.dependency_closure(manifest, 3).collect()}
+    got = {(r.root, r.reached): r.distance for r in inventory.dependency_closure(manifest).collect()}
     cycle = {(a, b): (b - a) % 15 for a in range(1, 16) for b in range(1, 16) if a != b}
     assert got == cycle | {(a, 20): (3 - a) % 15 + 1 for a in range(1, 16)}
