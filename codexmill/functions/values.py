@@ -293,10 +293,8 @@ def conformance(c: Column) -> Column:
 
 
 # Structural semantics that name the document role of the same name, and deprecated semantics.
-ROLE_SEMANTICS = (
-    "abstract acknowledgments afterword appendix backlink biblioentry bibliography biblioref chapter colophon conclusion cover credit credits dedication endnote endnotes epigraph epilogue errata footnote foreword glossary glossref index introduction noteref notice pagebreak part preface prologue pullquote qna subtitle tip toc"
-).split()
-DEPRECATED_SEMANTICS = "annoref annotation biblioentry bridgehead endnote help marginalia note rearnote rearnotes sidebar subchapter warning".split()
+ROLE_SEMANTICS = ("abstract", "acknowledgments", "afterword", "appendix", "backlink", "biblioentry", "bibliography", "biblioref", "chapter", "colophon", "conclusion", "cover", "credit", "credits", "dedication", "endnote", "endnotes", "epigraph", "epilogue", "errata", "footnote", "foreword", "glossary", "glossref", "index", "introduction", "noteref", "notice", "pagebreak", "part", "preface", "prologue", "pullquote", "qna", "subtitle", "tip", "toc")
+DEPRECATED_SEMANTICS = ("annoref", "annotation", "biblioentry", "bridgehead", "endnote", "help", "marginalia", "note", "rearnote", "rearnotes", "sidebar", "subchapter", "warning")
 # Container files that embedded annotations must not touch.
 PROTECTED_ANNOTATION_PATHS = ("annotations.json", "container.xml", "encryption.xml", "manifest.xml", "metadata.xml", "rights.xml", "signatures.xml")
 

@@ -6,16 +6,19 @@ is not there is no change; control files and the package document are refused.
 
 from __future__ import annotations
 
+import json
 import posixpath
 import re
 from collections.abc import Callable, Iterator
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codexmill.functions.values import is_control_path, path_error
-from codexmill.parsers.xmlparts import FormatError, package_to_xml, parse_package
+from codexmill.functions.values import PROTECTED_ANNOTATION_PATHS, is_control_path, path_error
+from codexmill.parsers import annotations
+from codexmill.parsers.xmlparts import FormatError, default_rootfile, nav_to_xhtml, package_to_xml, parse_nav, parse_ncx, parse_package, rootfiles
 
 CHANGES = "pub_id string, seq bigint, op string, path string, bytes binary"
 
@@ -127,6 +130,29 @@ class PackageEdit:
         del self.p["metas"][self._one(self.p["metas"], "meta", **selector)]
         return self
 
+    def replace_meta(self, content: str, /, **selector) -> PackageEdit:
+        self.p["metas"][self._one(self.p["metas"], "meta", **selector)]["content"] = content
+        return self
+
+    def replace_itemref(self, idref: str, /, **new) -> PackageEdit:
+        at = self._one(self.p["itemrefs"], "itemref", idref=idref)
+        if new.get("idref", idref) != idref:
+            self._one(self.p["items"], "item", id=new["idref"])
+        self.p["itemrefs"][at] |= new
+        return self
+
+    def add_link(self, href: str, rel: str | None = None, **more) -> PackageEdit:
+        self.p["links"].append({"id": None, "href": href, "rel": rel, "refines": None, "media_type": None, "properties": []} | more)
+        return self
+
+    def remove_link(self, **selector) -> PackageEdit:
+        del self.p["links"][self._one(self.p["links"], "link", **selector)]
+        return self
+
+    def replace_link(self, href: str, /, **selector) -> PackageEdit:
+        self.p["links"][self._one(self.p["links"], "link", **selector)]["href"] = href
+        return self
+
     def migrate(self, modified: str) -> PackageEdit:
         """A version 2 package to version 3: legacy cover, roles and sort names become properties and refinements."""
         if (self.p["version"] or "").startswith("3"):
@@ -261,6 +287,159 @@ def rebase_href(href: str, source: str, output: str) -> str:
     return new + ("/" if m[1].endswith("/") else "") + m[2]
 
 
+class BookEdit:
+    """Edits of one book that touch files and package together; a refused edit leaves both as they were.
+
+    ``changed`` holds what is staged: bytes to write, null to remove.
+    """
+
+    def __init__(self, entries: dict[str, bytes], package_path: str):
+        self.entries, self.path = dict(entries), package_path
+        self.package = PackageEdit(parse_package(entries[package_path]))
+        self.changed: dict[str, bytes | None] = {}
+
+    def file_of(self, href: str | None) -> str | None:
+        """The file that a manifest href names from the package document."""
+        if not href or re.match(r"[A-Za-z][A-Za-z0-9+.-]*:|/", href):
+            return None
+        return posixpath.normpath(posixpath.join(posixpath.dirname(self.path), unquote(re.split(r"[?#]", href)[0])))
+
+    def _write(self, path: str, data: bytes | None) -> None:
+        self.changed[path] = data
+        if data is None:
+            self.entries.pop(path, None)
+        else:
+            self.entries[path] = data
+
+    def _new_file(self, path: str | None) -> str:
+        if path is None or path == "mimetype" or path.startswith(("META-INF/", "../")):
+            raise EditError("path")
+        if path in self.entries:
+            raise EditError("the file exists")
+        return path
+
+    def _own_file(self, id: str) -> str | None:
+        """The file of an item, refused where another item names it too or where the book stands on it."""
+        item = self.package.p["items"][self.package._one(self.package.p["items"], "item", id=id)]
+        path = self.file_of(item["href"])
+        if sum(self.file_of(i["href"]) == path for i in self.package.p["items"]) > 1:
+            raise EditError("the file is shared")
+        if path == self.path or "nav" in item["properties"] or (item["id"] and item["id"] == self.package.p["toc"]):
+            raise EditError("structural file")
+        return path
+
+    def add_resource(self, data: bytes, id: str, href: str, media_type: str, **more) -> BookEdit:
+        path = self._new_file(self.file_of(href))
+        self.package.add_item(id, href, media_type, **more)
+        self._write(path, data)
+        return self
+
+    def remove_resource(self, id: str) -> BookEdit:
+        path = self._own_file(id)
+        self.package.remove_item(id)
+        if path in self.entries:
+            self._write(path, None)
+        return self
+
+    def add_spine_resource(self, data: bytes, id: str, href: str, media_type: str, linear: str | None = None) -> BookEdit:
+        self.add_resource(data, id, href, media_type)
+        self.package.add_itemref(id, linear)
+        return self
+
+    def remove_spine_resource(self, id: str) -> BookEdit:
+        """Takes the one occurrence, the item and its file out."""
+        path = self._own_file(id)
+        self.package.remove_itemref(id)
+        self.package.remove_item(id)
+        if path in self.entries:
+            self._write(path, None)
+        return self
+
+    def unique_nav_href(self, base: str = "nav", suffix: str = ".xhtml") -> str:
+        """An href for a new navigation document that neither a file nor an item has."""
+        taken, n = {i["href"] for i in self.package.p["items"]}, 1
+        while (href := f"{base}{'' if n == 1 else f'-{n}'}{suffix}") in taken or self.file_of(href) in self.entries:
+            n += 1
+        return href
+
+    def migrate(self, modified: str) -> BookEdit:
+        """A version 2 book to version 3: the package, and a navigation document with the lists of the NCX and landmarks of the guide."""
+        p = self.package.p
+        ncx = next((self.file_of(i["href"]) for i in p["items"] if i["id"] and i["id"] == p["toc"]), None)
+        lists = parse_ncx(self.entries[ncx]) if ncx in self.entries else []
+        self.package.migrate(modified)
+        principal = [{**n, "semantic": n["semantic"] or "toc"} for n in lists if n["semantic"] in ("toc", "page-list")]
+        marks = landmark_points(p["guide"])
+        href = self.unique_nav_href()
+        here = lambda q: dict(q, authored_href=q["authored_href"] and rebase_href(q["authored_href"], ncx, self.file_of(href)) if ncx else q["authored_href"])
+        principal = [{**n, "points": [here(q) for q in n["points"]]} for n in principal]
+        if marks:
+            principal.append({"semantic": "landmarks", "hidden": True, "heading": None, "points": marks})
+        if not any(n["semantic"] == "toc" for n in principal):
+            raise EditError("no table of contents")
+        title = next((e["content"] for e in p["elements"] if e["kind"] == "title"), "") or "Contents"
+        self.add_resource(nav_to_xhtml(principal, title).encode(), self.package.unique_id("nav"), href, "application/xhtml+xml", properties=["nav"])
+        parse_nav(self.entries[self.file_of(href)])  # what was written must read again
+        return self
+
+    # --- annotations inside the book
+
+    def embedded_annotations(self) -> tuple[dict, dict[str, bytes]] | None:
+        """The set in the container and its audiovisual resources that are there."""
+        text = self.entries.get(f"META-INF/{annotations.JSON_NAME}")
+        if text is None:
+            return None
+        s = annotations.parse_set(text)
+        return s, {p: self.entries[f"META-INF/{p}"] for p in sorted(annotations.referenced_paths(s)) if f"META-INF/{p}" in self.entries}
+
+    def set_embedded_annotations(self, s: dict, resources: dict[str, bytes]) -> BookEdit:
+        """Writes the set and its resources; resources of the set before that it does not name go."""
+        annotations.validate_bundle(s, resources)
+        if bad := [p for p in resources if p in PROTECTED_ANNOTATION_PATHS]:
+            raise EditError(f"protected path: {min(bad)}")
+        before = self.embedded_annotations()
+        for path in sorted(set(before[1]) - set(resources)) if before else ():
+            self._write(f"META-INF/{path}", None)
+        self._write(f"META-INF/{annotations.JSON_NAME}", json.dumps(s, ensure_ascii=False).encode())
+        for path, data in sorted(resources.items()):
+            self._write(f"META-INF/{path}", data)
+        return self
+
+    def remove_embedded_annotations(self) -> BookEdit:
+        before = self.embedded_annotations()
+        if before is None:
+            raise EditError("no annotations")
+        for path in (annotations.JSON_NAME, *before[1]):
+            self._write(f"META-INF/{path}", None)
+        return self
+
+    def changes(self) -> dict[str, bytes | None]:
+        """All that is staged, the package document included where it differs."""
+        data = self.package.to_bytes()
+        parse_package(data)
+        return self.changed | ({self.path: data} if parse_package(data) != parse_package(self.entries[self.path]) else {})
+
+
+def edit_books(entries: DataFrame, edit: Callable[[BookEdit], BookEdit]) -> DataFrame:
+    """Entries (pub_id, path, bytes) of books after ``edit``: those columns and refusal; a refused book keeps its entries and tells why on each.
+
+    One task holds one book, which the limits of its analysis bound.
+    """
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        held = {p: bytes(b) for p, b in zip(pdf.path, pdf.bytes, strict=True) if b is not None}
+        refusal = None
+        try:
+            files = rootfiles(held["META-INF/container.xml"])
+            new = edit(BookEdit(held, files[default_rootfile(files)]["full_path"])).changes()
+            held = {p: b for p, b in (held | new).items() if b is not None}
+        except (EditError, FormatError, annotations.AnnotationError, KeyError, TypeError) as e:
+            refusal = str(e)
+        return pd.DataFrame({"pub_id": key[0], "path": list(held), "bytes": list(held.values()), "refusal": refusal})
+
+    return entries.select("pub_id", "path", "bytes").groupBy("pub_id").applyInPandas(run, "pub_id string, path string, bytes binary, refusal string")
+
+
 def edit_packages(packages: DataFrame, edit: Callable[[PackageEdit], PackageEdit]) -> DataFrame:
     """Rewrites (pub_id, path, bytes) package documents; a refused or unreadable one keeps its bytes and tells why."""
 

@@ -135,6 +135,31 @@ def selections(typed: DataFrame) -> DataFrame:
     return each.select("pub_id", "role", state.alias("state"), F.when(F.col("candidates") == 1, F.col("decl")).alias("decl_key"), "candidates")
 
 
+def resource_selections(typed: DataFrame, spine: DataFrame, opf2_metas: DataFrame) -> DataFrame:
+    """Navigation, cover and NCX of each book: absent, selected, ambiguous or unresolved, by what, and the declaration.
+
+    The cover falls back to the id in the first legacy meta named cover only where no item has the property; the NCX is the id
+    that the spine names. ``spine`` (pub_id, toc), ``opf2_metas`` (pub_id, ord, name, content).
+    """
+    marked = selections(typed).withColumn("source", F.when(F.col("role") == "nav", "nav-property").otherwise("cover-image-property"))
+    legacy = opf2_metas.where(F.lower("name") == "cover").groupBy("pub_id").agg(F.min_by("content", "ord").alias("authored"))
+    named = legacy.select("pub_id", F.lit("cover").alias("role"), "authored", F.lit("legacy-cover").alias("source")).unionByName(spine.where(F.col("toc").isNotNull()).select("pub_id", F.lit("ncx").alias("role"), F.col("toc").alias("authored"), F.lit("spine-toc").alias("source")))
+    by_id = resolve_idrefs(named, typed, "authored")
+    state = F.when(F.col("target_state") == "declaration", "selected").when(F.col("target_state") == "ambiguous", "ambiguous").otherwise("unresolved")
+    by_id = by_id.select("pub_id", "role", state.alias("state"), F.col("target_decl").alias("decl_key"), "candidates", "source", "authored")
+    plain = marked.where((F.col("role") == "nav") | (F.col("candidates") > 0))
+    fallback = by_id.join(plain.select("pub_id", "role"), ["pub_id", "role"], "left_anti")
+    found = plain.unionByName(fallback, allowMissingColumns=True)
+    roles = spine.select("pub_id", F.explode(F.array(*(F.lit(r) for r in ("nav", "cover", "ncx")))).alias("role"))
+    return roles.join(found, ["pub_id", "role"], "left").withColumn("state", F.coalesce("state", F.lit("absent")))
+
+
+def overlay_metadata(metas: DataFrame) -> DataFrame:
+    """Playback classes and narrators of the media overlays of each book, in their order: kind active-class, playback-active-class or narrator."""
+    m = metas.where(F.col("property").isin("media:active-class", "media:playback-active-class", "media:narrator") & V.non_empty(F.col("content")).isNotNull())
+    return m.select("pub_id", "ord", F.replace(F.col("property"), F.lit("media:"), F.lit("")).alias("kind"), V.non_empty(F.col("content")).alias("value"))
+
+
 def refinement_targets(metas: DataFrame, elements: DataFrame) -> DataFrame:
     """Metas that refine something: whether their id names none, one or several elements or metas of the book."""
     m = first_copy(metas, "meta_key")
@@ -145,9 +170,10 @@ def refinement_targets(metas: DataFrame, elements: DataFrame) -> DataFrame:
 
 
 def presentation(order: DataFrame, metas: DataFrame) -> DataFrame:
-    """Effective layout, flow, orientation and spread of each occurrence: its own properties replace the package's as a whole.
+    """Effective layout, flow, orientation, spread, page spread and centring of each occurrence: its own properties replace the package's as a whole.
 
-    State absent, set or ambiguous; an unrecognised own property does not override.
+    State absent, set or ambiguous; an unrecognised own property does not override. A column ``progression`` of ``order`` (the
+    direction of the spine) is passed on.
     """
     known = {"layout": ("pre-paginated", "reflowable"), "flow": ("paginated", "scrolled-continuous", "scrolled-doc", "auto"), "orientation": ("landscape", "portrait", "auto"), "spread": ("none", "landscape", "portrait", "both", "auto")}
     m = first_copy(metas, "meta_key").where(F.col("refines").isNull() & F.col("property").isin([f"rendition:{k}" for k in known]))
@@ -160,7 +186,15 @@ def presentation(order: DataFrame, metas: DataFrame) -> DataFrame:
         n = F.when(F.size(own) > 0, F.size(own).cast("bigint")).otherwise(F.coalesce(f"p_{k}", F.lit(0).cast("bigint")))
         value = F.when(F.size(own) > 0, F.replace(own[0], F.lit(f"rendition:{k}-"), F.lit(""))).otherwise(F.when(F.col(f"c_{k}").isin(*values), F.col(f"c_{k}")))
         out += [F.when(n == 0, "absent").when(n == 1, "set").otherwise("ambiguous").alias(f"{k}_state"), F.when(n == 1, value).alias(k)]
-    return o.select("pub_id", "itemref_key", *out)
+    # only its own properties place a page; each token of the family is a candidate
+    props = F.coalesce("item_properties", F.array().cast("array<string>"))
+    pages = F.transform(F.filter(props, lambda p: p.rlike("^(rendition:)?page-spread-")), lambda p: F.regexp_replace(p, "^(rendition:)?page-spread-", ""))
+    page = F.when(F.size(pages) == 1, F.when(pages[0].isin("left", "right", "center"), pages[0]))
+    out += [F.when(F.size(pages) == 0, "absent").when(F.size(pages) == 1, "set").otherwise("ambiguous").alias("page_spread_state"), page.alias("page_spread")]
+    centred = first_copy(metas, "meta_key").where(F.col("refines").isNull() & (F.col("property") == "rendition:align-x-center")).select(F.col("pub_id").alias("c_pub")).distinct()
+    o = o.join(centred, F.col("pub_id") == F.col("c_pub"), "left")
+    out.append((F.array_contains(props, "rendition:align-x-center") | F.col("c_pub").isNotNull()).alias("align_x_center"))
+    return o.select("pub_id", "itemref_key", *out, *(["progression"] if "progression" in order.columns else []))
 
 
 def book_summary(publications: DataFrame, typed: DataFrame, order: DataFrame, manifest: DataFrame, navigation: DataFrame, broken: DataFrame, inventory: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ from codexmill.session import Scratch
 PRODUCERS = ("manifest", "package", "navigation", "ncx", "xhtml", "css", "svg", "smil")
 # Roles that a publication depends on, and those of navigation.
 DEPENDENCY_ROLES = ("audio", "css", "embed", "fallback", "font", "iframe", "image", "import", "media-overlay", "object", "poster", "script", "smil-audio", "smil-text", "source", "stylesheet", "svg", "track", "video")
-NAVIGATION_ROLES = ("landmarks", "ncx", "page-list", "toc")
+NAVIGATION_ROLES = ("landmark", "landmarks", "ncx", "page-list", "toc")
 
 _below = F.udf(below_bases, T.StringType(), useArrow=False)
 

@@ -130,7 +130,8 @@ def _font(b: bytes, at: int = 0) -> dict:
         tables[rec[:4]] = (int.from_bytes(rec[8:12], "big"), int.from_bytes(rec[12:16], "big"))
     ok = all(o + s <= len(b) for o, s in tables.values())
     glyphs = int.from_bytes(b[tables[b"maxp"][0] + 4 : tables[b"maxp"][0] + 6], "big") if b"maxp" in tables and ok else None
-    return {"valid": ok and n > 0, "glyphs": glyphs, "variable": b"fvar" in tables, "faces": 1}
+    names = font_names(b, at) if ok and b"name" in tables else {}
+    return {"valid": ok and n > 0, "glyphs": glyphs, "variable": b"fvar" in tables, "faces": 1, "family": names.get("family"), "style": names.get("style")}
 
 
 def _ttc(b: bytes) -> dict:
@@ -138,7 +139,7 @@ def _ttc(b: bytes) -> dict:
     if n > FONT_FACES or len(b) < 12 + 4 * n:
         return {"valid": False, "faces": n}
     faces = [_font(b, int.from_bytes(b[12 + 4 * i : 16 + 4 * i], "big")) for i in range(n)]
-    return {"valid": n > 0 and all(f["valid"] for f in faces), "faces": n, "glyphs": sum(f.get("glyphs") or 0 for f in faces), "variable": any(f.get("variable") for f in faces)}
+    return {"valid": n > 0 and all(f["valid"] for f in faces), "faces": n, "glyphs": sum(f.get("glyphs") or 0 for f in faces), "variable": any(f.get("variable") for f in faces), "family": faces[0].get("family") if faces else None, "style": faces[0].get("style") if faces else None}
 
 
 def _woff(b: bytes) -> dict:
@@ -194,19 +195,9 @@ def text_encoding(data: bytes) -> str | None:
 
 
 def _mp4(b: bytes) -> dict:
-    """Duration and track kinds from the movie box; other containers are only recognised."""
-
-    def boxes(a: int, z: int):
-        while a + 8 <= z:
-            size, kind, head = int.from_bytes(b[a : a + 4], "big"), b[a + 4 : a + 8], 8
-            if size == 1:
-                size, head = int.from_bytes(b[a + 8 : a + 16], "big"), 16
-            size = size or z - a
-            if size < head:
-                return
-            yield kind, a + head, min(a + size, z)
-            a += size
+    """Duration and track kinds from the movie box."""
 
+    boxes = lambda a, z: _boxes(b, a, z)
     out = {"valid": False, "duration_ms": None, "tracks": []}
     for kind, a, z in boxes(0, len(b)):
         if kind == b"moov":
@@ -223,7 +214,205 @@ def _mp4(b: bytes) -> dict:
     return out
 
 
-_INSPECT = {"raster:jpeg": _jpeg, "raster:png": _png, "raster:gif": _gif, "raster:webp": _webp, "font:ttf": _font, "font:otf": _font, "font:ttc": _ttc, "font:woff": _woff, "font:woff2": _woff2, "media:mp4": _mp4}
+def _boxes(b: bytes, a: int, z: int):
+    while a + 8 <= z:
+        size, kind, head = int.from_bytes(b[a : a + 4], "big"), b[a + 4 : a + 8], 8
+        if size == 1:
+            size, head = int.from_bytes(b[a + 8 : a + 16], "big"), 16
+        size = size or z - a
+        if size < head or a + size > z:
+            return
+        yield kind, a + head, a + size
+        a += size
+
+
+def _avif(b: bytes) -> dict:
+    """Valid if whole boxes fill the file and the brand, the items and their data are there; the size from the largest image extent."""
+    top = list(_boxes(b, 0, len(b)))
+    whole = bool(top) and top[-1][2] == len(b)
+    out = {"valid": whole and top[0][0] == b"ftyp" and {b"meta", b"mdat"} <= {k for k, _, _ in top} or whole and {b"ftyp", b"moov"} <= {k for k, _, _ in top}, "animated": b[8:12] == b"avis"}
+    sizes = []
+    for kind, a, z in top:
+        if kind == b"meta":
+            for k2, a2, z2 in _boxes(b, a + 4, z):
+                if k2 == b"iprp":
+                    sizes += [struct.unpack_from(">II", b, a4 + 4) for k3, a3, z3 in _boxes(b, a2, z2) if k3 == b"ipco" for k4, a4, _ in _boxes(b, a3, z3) if k4 == b"ispe"]
+    if sizes:
+        out["width"], out["height"] = max(sizes)
+    return out
+
+
+def _jxl(b: bytes) -> dict:
+    """Size of a JPEG XL image from its codestream header."""
+    at = 0
+    if b[:2] != b"\xff\x0a":
+        found = next((a for k, a, _ in _boxes(b, 0, len(b)) if k == b"jxlc"), None)
+        part = next((a + 4 for k, a, _ in _boxes(b, 0, len(b)) if k == b"jxlp"), None)
+        at = found if found is not None else part
+        if at is None or b[at : at + 2] != b"\xff\x0a":
+            return {"valid": False}
+    if len(b) < at + 12:
+        return {"valid": False}
+    bits, pos = int.from_bytes(b[at + 2 : at + 14], "little"), 0
+
+    def take(n: int) -> int:
+        nonlocal pos
+        value = bits >> pos & (1 << n) - 1
+        pos += n
+        return value
+
+    lengths = (9, 13, 18, 30)  # fixed values: widths of a size by its two leading bits
+    small = take(1)
+    height = (take(5) + 1) * 8 if small else take(lengths[take(2)]) + 1
+    ratio = take(3)
+    scale = ((1, 1), (1, 1), (12, 10), (4, 3), (3, 2), (16, 9), (5, 4), (2, 1))[ratio]  # fixed values: aspect ratios; the first is none
+    width = height * scale[0] // scale[1] if ratio else (take(5) + 1) * 8 if small else take(lengths[take(2)]) + 1
+    return {"valid": True, "width": width, "height": height}
+
+
+def _ogg(b: bytes) -> dict:
+    """Tracks and duration of an Ogg stream: the codec from each first packet, the time from the last position."""
+    at, streams, ok = 0, {}, True
+    while at + 27 <= len(b):
+        if b[at : at + 4] != b"OggS":
+            ok = False
+            break
+        granule, serial = struct.unpack_from("<qI", b, at + 6)
+        n = b[at + 26]
+        body = at + 27 + n
+        size = sum(b[at + 27 : at + 27 + n])
+        packet = b[body : body + size]
+        if body + size > len(b):
+            ok = False
+            break
+        if serial not in streams:
+            if packet[1:7] == b"vorbis" and len(packet) >= 16:
+                streams[serial] = ["audio", "vorbis", int.from_bytes(packet[12:16], "little"), 0]
+            elif packet[:8] == b"OpusHead" and len(packet) >= 12:
+                streams[serial] = ["audio", "opus", 48_000, int.from_bytes(packet[10:12], "little")]
+            elif packet[1:7] == b"theora":
+                streams[serial] = ["video", "theora", 0, 0]
+            else:
+                streams[serial] = ["other", None, 0, 0]
+            streams[serial].append(0)
+        if granule > 0:
+            streams[serial][4] = granule
+        at = body + size
+    times = [max(0, last - skip) * 1000 // rate for _, _, rate, skip, last in streams.values() if rate]
+    return {"valid": ok and bool(streams), "duration_ms": max(times, default=None), "tracks": [s[0] for s in streams.values()], "codecs": [s[1] for s in streams.values() if s[1]]}
+
+
+def _ebml_number(b: bytes, at: int, keep: bool) -> tuple[int, int]:
+    """A variable-length number and what follows it; ``keep`` leaves the length marker in (identifiers)."""
+    first = b[at]
+    n = 9 - first.bit_length() if first else 9
+    if n > 8 or at + n > len(b):
+        raise IndexError
+    value = int.from_bytes(b[at : at + n], "big")
+    return (value if keep else value & (1 << 7 * n) - 1), at + n
+
+
+def _webm(b: bytes) -> dict:
+    """Tracks, codecs and duration of a Matroska segment."""
+    out = {"valid": False, "duration_ms": None, "tracks": [], "codecs": []}
+    scale, length = 1_000_000, None
+
+    def walk(a: int, z: int, depth: int) -> None:
+        nonlocal scale, length
+        while a < z:
+            kind, a = _ebml_number(b, a, True)
+            head = a
+            size, a = _ebml_number(b, a, False)
+            open_ended = size == (1 << 7 * (a - head)) - 1
+            end = z if open_ended else min(a + size, z)
+            if kind == 0x18538067:  # segment
+                out["valid"] = True
+            if kind in (0x18538067, 0x1549A966, 0x1654AE6B, 0xAE) and depth < 4:  # segment, info, tracks, one track
+                walk(a, end, depth + 1)
+            elif kind == 0x2AD7B1:
+                scale = int.from_bytes(b[a:end], "big")
+            elif kind == 0x4489:
+                length = struct.unpack(">d" if end - a == 8 else ">f", b[a:end])[0]
+            elif kind == 0x83:
+                out["tracks"].append({1: "video", 2: "audio"}.get(b[a], "other"))
+            elif kind == 0x86:
+                out["codecs"].append(b[a:end].decode("ascii", "replace"))
+            elif kind == 0x1F43B675:  # media data follow
+                return
+            a = end
+
+    walk(0, len(b), 0)
+    if length is not None:
+        out["duration_ms"] = int(length * scale / 1_000_000)
+    return out
+
+
+# Bit rates (kbit/s) and sample rates of MPEG audio headers, and sample rates of ADTS.
+_MP3_RATES = {
+    (1, 1): (0, 32, 64, 96, 128, 160, 192, 224, 256, 288, 320, 352, 384, 416, 448),
+    (1, 2): (0, 32, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320, 384),
+    (1, 3): (0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320),
+    (2, 1): (0, 32, 48, 56, 64, 80, 96, 112, 128, 144, 160, 176, 192, 224, 256),
+    (2, 2): (0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160),
+    (2, 3): (0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160),
+}
+_MP3_SAMPLES = (44_100, 48_000, 32_000)
+_ADTS_SAMPLES = (96_000, 88_200, 64_000, 48_000, 44_100, 32_000, 24_000, 22_050, 16_000, 12_000, 11_025, 8_000, 7_350)
+
+
+def _mp3(b: bytes) -> dict:
+    """Frames of MPEG audio behind an ID3 tag; the duration from all their samples."""
+    at = 10 + sum((b[6 + i] & 0x7F) << 7 * (3 - i) for i in range(4)) if b[:3] == b"ID3" and len(b) >= 10 else 0
+    frames, ms = 0, 0.0
+    while at + 4 <= len(b):
+        if b[at] != 0xFF or b[at + 1] & 0xE0 != 0xE0:
+            break
+        version, layer, rate, sample = b[at + 1] >> 3 & 3, 4 - (b[at + 1] >> 1 & 3), b[at + 2] >> 4, b[at + 2] >> 2 & 3
+        if version == 1 or layer == 4 or rate in (0, 15) or sample == 3:
+            break
+        half = 1 if version == 3 else 2
+        hertz = _MP3_SAMPLES[sample] // (half if version else 4)
+        kbits, pad = _MP3_RATES[half, layer][rate], b[at + 2] >> 1 & 1
+        count = 384 if layer == 1 else 1152 if layer == 2 or half == 1 else 576
+        at += (12 * kbits * 1000 // hertz + pad) * 4 if layer == 1 else count // 8 * kbits * 1000 // hertz + pad
+        frames += 1
+        ms += count * 1000 / hertz
+    return {"valid": frames > 0, "duration_ms": int(ms) if frames else None, "tracks": ["audio"] if frames else [], "codecs": ["mp3"] if frames else []}
+
+
+def _aac(b: bytes) -> dict:
+    """ADTS frames; the duration from all their samples."""
+    at, blocks, hertz, ok = 0, 0, 0, True
+    while at + 7 <= len(b):
+        size, rate = (b[at + 3] & 3) << 11 | b[at + 4] << 3 | b[at + 5] >> 5, b[at + 2] >> 2 & 15
+        if b[at] != 0xFF or b[at + 1] & 0xF6 != 0xF0 or size < 7 or rate >= len(_ADTS_SAMPLES) or at + size > len(b):
+            ok = False
+            break
+        hertz = _ADTS_SAMPLES[rate]
+        blocks += (b[at + 6] & 3) + 1
+        at += size
+    return {"valid": ok and blocks > 0, "duration_ms": blocks * 1024 * 1000 // hertz if hertz else None, "tracks": ["audio"] if blocks else [], "codecs": ["aac"] if blocks else []}
+
+
+def font_names(b: bytes, at: int = 0) -> dict[str, str]:
+    """Family, style and full name of a font from its name table, English ones first."""
+    n = int.from_bytes(b[at + 4 : at + 6], "big")
+    table = next((struct.unpack_from(">II", b, at + 12 + 16 * i + 8) for i in range(n) if b[at + 12 + 16 * i : at + 16 + 16 * i] == b"name"), None)
+    if table is None:
+        return {}
+    start, wanted, found = table[0], {1: "family", 2: "style", 4: "full"}, {}
+    count, strings = struct.unpack_from(">HH", b, start + 2)
+    for i in range(count):
+        platform, _, language, name, length, offset = struct.unpack_from(">6H", b, start + 6 + 12 * i)
+        if name in wanted and platform in (0, 1, 3):
+            raw = b[start + strings + offset : start + strings + offset + length]
+            rank = (0 if platform == 3 and language == 0x409 else 1 if platform == 3 else 2, i)
+            text = raw.decode("mac-roman" if platform == 1 else "utf-16-be", "replace")
+            found[wanted[name]] = min(found.get(wanted[name], (rank, text)), (rank, text))
+    return {k: v[1] for k, v in found.items()}
+
+
+_INSPECT = {"raster:jpeg": _jpeg, "raster:png": _png, "raster:gif": _gif, "raster:webp": _webp, "font:ttf": _font, "font:otf": _font, "font:ttc": _ttc, "font:woff": _woff, "font:woff2": _woff2, "media:mp4": _mp4, "media:ogg": _ogg, "media:webm": _webm, "media:mp3": _mp3, "media:aac": _aac, "raster:avif": _avif, "raster:jxl": _jxl}
 
 
 def inspect(data: bytes, declared: str | None) -> dict:

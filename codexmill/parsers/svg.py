@@ -15,8 +15,8 @@ XLINK = "{http://www.w3.org/1999/xlink}"
 XHTML = "{http://www.w3.org/1999/xhtml}"
 XML_BASE = "{http://www.w3.org/XML/1998/namespace}base"
 XML_ID = "{http://www.w3.org/XML/1998/namespace}id"
-HREF_ELEMENTS = frozenset("a animate animateMotion animateTransform discard feImage image linearGradient mpath pattern radialGradient script set textPath use".split())
-IRI_ATTRIBUTES = frozenset("clip-path color-profile cursor fill filter marker marker-end marker-mid marker-start mask stroke".split())
+HREF_ELEMENTS = frozenset(("a", "animate", "animateMotion", "animateTransform", "discard", "feImage", "image", "linearGradient", "mpath", "pattern", "radialGradient", "script", "set", "textPath", "use"))
+IRI_ATTRIBUTES = frozenset(("clip-path", "color-profile", "cursor", "fill", "filter", "marker", "marker-end", "marker-mid", "marker-start", "mask", "stroke"))
 ROLES = {"a": "hyperlink", "image": "image", "feImage": "image", "script": "script"}
 
 

@@ -11,22 +11,20 @@ from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
 # Element and attribute vocabularies.
-BLOCKS = frozenset("address article aside blockquote br caption dd div dl dt figcaption figure footer h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table tbody td tfoot th thead tr ul".split())
-SUPPRESSED = frozenset("head script style template".split())
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+BLOCKS = frozenset(("address", "article", "aside", "blockquote", "br", "caption", "dd", "div", "dl", "dt", "figcaption", "figure", "footer", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "li", "main", "nav", "ol", "p", "pre", "section", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"))
+SUPPRESSED = frozenset(("head", "script", "style", "template"))
+VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
 CLOSES_P = BLOCKS - {"br", "caption", "dd", "dt", "li", "tbody", "td", "tfoot", "th", "thead", "tr"}
-BODY_ROLES = frozenset("p li blockquote dt dd td th text".split())
-SECTION_SEMANTICS = frozenset(
-    "chapter cover division part volume frontmatter bodymatter backmatter appendix bibliography glossary index endnotes footnotes preamble abstract acknowledgments afterword colophon conclusion copyright-page credits dedication epigraph epilogue errata foreword introduction preface prologue titlepage".split()
+BODY_ROLES = frozenset(("p", "li", "blockquote", "dt", "dd", "td", "th", "text"))
+SECTION_SEMANTICS = frozenset(("chapter", "cover", "division", "part", "volume", "frontmatter", "bodymatter", "backmatter", "appendix", "bibliography", "glossary", "index", "endnotes", "footnotes", "preamble", "abstract", "acknowledgments", "afterword", "colophon", "conclusion", "copyright-page", "credits", "dedication", "epigraph", "epilogue", "errata", "foreword", "introduction", "preface", "prologue", "titlepage")
 )
 SECTION_ROLES = frozenset(
-    f"doc-{x}" for x in "chapter cover part appendix bibliography glossary index endnotes abstract acknowledgments afterword colophon conclusion credits dedication epigraph epilogue errata foreword introduction preface prologue".split()
+    f"doc-{x}" for x in ("chapter", "cover", "part", "appendix", "bibliography", "glossary", "index", "endnotes", "abstract", "acknowledgments", "afterword", "colophon", "conclusion", "credits", "dedication", "epigraph", "epilogue", "errata", "foreword", "introduction", "preface", "prologue")
 )
-SCRIPT_TYPES = frozenset(
-    "text/javascript application/javascript application/x-javascript text/ecmascript application/ecmascript application/x-ecmascript text/x-javascript text/x-ecmascript text/livescript text/jscript text/javascript1.0 text/javascript1.1 text/javascript1.2 text/javascript1.3 text/javascript1.4 text/javascript1.5".split()
+SCRIPT_TYPES = frozenset(("text/javascript", "application/javascript", "application/x-javascript", "text/ecmascript", "application/ecmascript", "application/x-ecmascript", "text/x-javascript", "text/x-ecmascript", "text/livescript", "text/jscript", "text/javascript1.0", "text/javascript1.1", "text/javascript1.2", "text/javascript1.3", "text/javascript1.4", "text/javascript1.5")
 )
-ANIMATIONS = frozenset("animate animatecolor animatemotion animatetransform discard set".split())
-HINTS = frozenset("dns-prefetch preconnect preload prefetch modulepreload prerender".split())
+ANIMATIONS = frozenset(("animate", "animatecolor", "animatemotion", "animatetransform", "discard", "set"))
+HINTS = frozenset(("dns-prefetch", "preconnect", "preload", "prefetch", "modulepreload", "prerender"))
 NAV_KINDS = {"toc": "toc", "page-list": "page-list", "landmarks": "landmark"}
 #: element: (attribute, link role); what depends on other attributes is decided in ``_links``
 LINK_RULES = {

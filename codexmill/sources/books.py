@@ -71,7 +71,7 @@ BOOK = f"""pub_id string, status string, failure_stage string, failure string, p
   scripts:array<struct<ord:int,element_ord:int,kind:string,attribute:string,type:string,has_text:boolean>>,
   accessibility:array<struct<ord:int,kind:string,element:string,value:string,fragment:string>>,
   smil:array<struct<node_id:int,parent_id:int,kind:string,epub_types:array<string>,text_ref:string,audio_src:string,clip_begin:bigint,clip_end:bigint>>,
-  inspection:struct<kind:string,state:string,issue:string,valid:boolean,width:int,height:int,animated:boolean,faces:int,glyphs:int,cues:int,duration_ms:bigint>>>"""
+  inspection:struct<kind:string,state:string,issue:string,valid:boolean,width:int,height:int,animated:boolean,faces:int,glyphs:int,cues:int,duration_ms:bigint,tracks:array<string>,codecs:array<string>,family:string,style:string>>>"""
 
 
 def discover(spark: SparkSession, directory: str, suffix: str = "epub") -> DataFrame:
@@ -162,7 +162,7 @@ def analyse_resource(path: str, data: bytes, media_type: str | None, limits: Lim
     except (xmlparts.FormatError, RecursionError) as e:
         out |= {"content_state": "unavailable", "content_issue": f"malformed: {e}"[:200]}
     seen = inspection.inspect(data, {"image/svg+xml": "svg"}.get(essence))
-    return out | {"inspection": {k: seen.get(k) for k in ("kind", "state", "issue", "valid", "width", "height", "animated", "faces", "glyphs", "cues", "duration_ms")}}
+    return out | {"inspection": {k: seen.get(k) for k in ("kind", "state", "issue", "valid", "width", "height", "animated", "faces", "glyphs", "cues", "duration_ms", "tracks", "codecs", "family", "style")}}
 
 
 def _navigation(entries: dict, path: str | None, parse: Callable[[bytes], list[dict]], limits: Limits) -> tuple[list[dict], str]:
@@ -331,6 +331,23 @@ def export(entries: DataFrame) -> DataFrame:
     return entries.select("pub_id", "path", "bytes").groupBy("pub_id").applyInPandas(run, "pub_id string, content binary")
 
 
+def write_archives(archives: DataFrame, directory: str) -> None:
+    """Sink of exported archives (pub_id, content): one file a book, ``directory``/``pub_id``.epub, in any file system of the cluster; written where the task runs, under its own name last."""
+
+    def run(rows: Iterator) -> None:
+        import pyarrow.fs as pafs
+
+        fs, root = pafs.FileSystem.from_uri(directory) if "://" in directory else (pafs.LocalFileSystem(), directory)
+        fs.create_dir(root)
+        for r in rows:
+            part = f"{root}/.{r.pub_id}.part"
+            with fs.open_output_stream(part) as out:
+                out.write(bytes(r.content))
+            fs.move(part, f"{root}/{r.pub_id}.epub")
+
+    archives.select("pub_id", "content").foreachPartition(run)
+
+
 def publication_entries(entries: DataFrame) -> DataFrame:
     """Entries that are resources of the publication."""
     return entries.where(~is_control_path(F.col("path")))

@@ -48,11 +48,11 @@ def test_requirements(selector, source, need):
 
 
 def test_prefixed_properties():
-    sheet = "@media x { p { -epub-writing-mode: vertical-rl; color: red } } q{-epub-text-combine:horizontal !important}/* -epub-hyphens: x */ r{-epub-hyphens:all; text-transform: -epub-fullwidth lowercase}"
+    sheet = "@media print { h2 { -epub-word-break: keep-all; margin: 0 } } td{-epub-text-combine-horizontal:all !important}/* -epub-line-break: x */ li{-epub-hyphens:all; text-transform: uppercase -epub-fullwidth}"
     out = css.rewrite_stylesheet(sheet)
-    assert "-epub-writing-mode: vertical-rl;writing-mode: vertical-rl; color" in out
-    assert "-epub-text-combine:horizontal !important;text-combine-upright: all !important}" in out
-    assert "text-transform: -epub-fullwidth lowercase;text-transform: full-width lowercase}" in out
+    assert "-epub-word-break: keep-all;word-break: keep-all; margin" in out
+    assert "-epub-text-combine-horizontal:all !important;text-combine-upright: all !important}" in out
+    assert "text-transform: uppercase -epub-fullwidth;text-transform: uppercase full-width}" in out
     assert ";hyphens" not in out
     assert css.rewrite_stylesheet(out) == out
     assert css.rewrite_declarations("color: red") == "color: red"

@@ -111,12 +111,12 @@ def test_inspection():
     font = b"\x00\x01\x00\x00\x00\x01" + b"\x00" * 6 + b"maxp\x00\x00\x00\x00" + struct.pack(">II", 28, 6) + b"\x00\x01\x00\x00\x00\x2a"
     assert inspection.inspect(font, None)["glyphs"] == 42
     assert inspection.webvtt("WEBVTT\n\n1\n00:01.000 --> 00:02.000\nhi\n\nNOTE x\n\n00:00:03.000 --> 00:00:04.000 align:start\nyo") == {"valid": True, "cues": 2}
-    assert not inspection.webvtt("WEBVTT\n\n00:02.000 --> 00:01.000\nhi")["valid"]
+    assert not inspection.webvtt("WEBVTT\n\n01:07.250 --> 01:05.500\nlate")["valid"]
     moov = struct.pack(">I4s", 8 + 28, b"moov") + struct.pack(">I4sIIIII", 28, b"mvhd", 0, 0, 0, 1000, 2500)
     assert inspection.inspect(struct.pack(">I4s4sI4s", 20, b"ftyp", b"isom", 0, b"mp42") + moov, None)["duration_ms"] == 2500
     assert inspection.inspect(b"\x00\x00\x00\x14ftypavif\x00\x00\x00\x00avif", None)["kind"] == "raster:avif"
     assert inspection.inspect(b"", None) == {"kind": None, "state": "not_applicable"}
-    assert inspection.inspect(b"OggS", None)["state"] == "partial"
+    assert not inspection.inspect(b"OggS", None)["valid"]
 
 
 @pytest.mark.parametrize("text", ["epubcfi(/6/4[chap^]1]!/4/2:3[ab,c;s=a])", "epubcfi(/6/2!/4,/2/1:0,/4/1:5)", "epubcfi(/6/14!/4/2~2.5@50:75)", "epubcfi(/6/2!/4/1:0[^^x])"])
