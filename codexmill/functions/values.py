@@ -301,11 +301,11 @@ PROTECTED_ANNOTATION_PATHS = ("annotations.json", "container.xml", "encryption.x
 
 def related_role(semantic: Column) -> Column:
     """The document role that a structural semantic stands for, null where none is defined."""
-    return F.when(semantic == "page-list", "doc-pagelist").when(semantic.isin(ROLE_SEMANTICS), F.concat(F.lit("doc-"), semantic))
+    return F.when(semantic == "page-list", "doc-pagelist").when(semantic.isin(*ROLE_SEMANTICS), F.concat(F.lit("doc-"), semantic))
 
 
 def is_deprecated_semantic(semantic: Column) -> Column:
-    return semantic.isin(DEPRECATED_SEMANTICS)
+    return semantic.isin(*DEPRECATED_SEMANTICS)
 
 
 def is_protected_annotation_path(path: Column) -> Column:
