@@ -55,13 +55,18 @@ def encoding(folder: str, vocabulary: str):
     return build(vocabulary, split_pattern(folder), vocabulary_bytes(folder, vocabulary))
 
 
+def _encoder(name: str, pattern: str, digest: str, ranks: Broadcast):
+    """The tokenizer of a worker, built once from what the job sent."""
+    if digest not in _BUILT:
+        if hashlib.sha256(ranks.value).hexdigest() != digest:
+            raise ValueError("the vocabulary arrived damaged")
+        _BUILT[digest] = build(name, pattern, ranks.value)
+    return _BUILT[digest]
+
+
 def _count(name: str, pattern: str, digest: str, ranks: Broadcast) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if digest not in _BUILT:  # once a worker
-            if hashlib.sha256(ranks.value).hexdigest() != digest:
-                raise ValueError("the vocabulary arrived damaged")
-            _BUILT[digest] = build(name, pattern, ranks.value)
-        encode = _BUILT[digest].encode_ordinary
+        encode = _encoder(name, pattern, digest, ranks).encode_ordinary
         for pdf in frames:
             yield pdf.assign(n_tokens=[len(encode(t)) if t else 0 for t in pdf.text]).drop(columns="text")
 
