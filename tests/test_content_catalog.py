@@ -9,7 +9,7 @@ def test_extract(spark):
     got = {r.doc_id: (r.n_stream, r.n_links, r.executable) for r in content.stream_summary(facts, "doc_id").collect()}
     assert got == {1: (16, 1, False), 2: (0, 0, False), 4: (12, 0, True)}
     assert ("b", "two") in {(r.element, r.text) for r in content.span_texts(facts, "doc_id").collect()}
-    assert content.executable_states(facts).first().asDict() == {"detected": 1, "absent": 2}
+    assert content.executable_states(facts).first().asDict() == {"detected": 1, "absent": 2, "unknown": 0}
     assert content.extract(rows.limit(0), "doc_id", "text").count() == 0
 
 
