@@ -38,6 +38,9 @@ LABELS = {
 }
 
 SAMPLE_PER_LANGUAGE = 400
+#: Characters of the sample that one language may have in expectation, and the longest text that is taken for it; both bound
+#: what the fit brings to the driver.
+SAMPLE_CHARS, SAMPLE_LONGEST = 8 << 20, 1 << 20
 BITS = 16
 PASSAGE_CHARS = 100
 #: Cost of a change of language between sentences, in nats of tempered likelihood.
@@ -159,11 +162,11 @@ def _table(counts: np.ndarray) -> np.ndarray:
 
 def fit_on_sample(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> np.ndarray:
     """Fits on a bounded sample of ``labelled`` (key, code, text): about ``per_language`` texts a language, by hash of the key."""
-    known = labelled.where(F.col("code").isNotNull() & (F.length("text") > 0))
-    sizes = {r["code"]: r["count"] for r in known.groupBy("code").count().collect()}  # at most one row a language
+    known = labelled.where(F.col("code").isNotNull() & F.length("text").between(1, SAMPLE_LONGEST))
+    sizes = {r["code"]: (r["n"], r["chars"]) for r in known.groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars")).collect()}  # at most one row a language
     if not sizes:
         return np.zeros((1 << BITS, len(LANGUAGES)), np.float32)
-    share = F.create_map(*(F.lit(x) for c, n in sizes.items() for x in (c, min(1.0, per_language / n))))
+    share = F.create_map(*(F.lit(x) for c, (n, chars) in sizes.items() for x in (c, min(1.0, per_language / n, SAMPLE_CHARS / chars))))
     unit = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / float(1 << 30)
     rows = known.where(unit < share[F.col("code")]).select("code", lowered(F.col("text")).alias("text")).collect()
     return fit(sorted((r["code"], r["text"]) for r in rows))

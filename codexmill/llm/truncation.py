@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from codexmill.session import Scratch
 
 TRAIN_TEXTS = 12000
+#: Characters of the sample in expectation, and the longest text that is taken for it; both bound what the fit brings to the driver.
+TRAIN_CHARS, TRAIN_LONGEST = 48 << 20, 1 << 20
 BITS = 18
 EPOCHS = 6
 #: Records are reported as cut from this probability on.
@@ -276,12 +278,11 @@ def fit_on_sample(signs: DataFrame, rows: DataFrame, n_texts: int = TRAIN_TEXTS)
     below = signs.where(~F.col("at_limit"))
     ways = below.groupBy("source").agg(F.avg((~F.col("ended") & ~F.col("marked") & (F.col("line_count") < 3)).cast("int")).alias("bare"), F.avg(F.col("marked").cast("int")).alias("marked"))
     styles = {r["source"]: (r["bare"] >= BARE_STYLE, r["marked"] >= MARK_STYLE) for r in ways.collect()}  # one row a source
-    intact = below.where(F.col("ended") | (F.col("line_count") >= 3) | F.col("label"))
-    sizes = {r["source"]: r["count"] for r in intact.groupBy(F.coalesce("source", F.lit("")).alias("source")).count().collect()}  # one row a source
+    intact = below.where((F.col("ended") | (F.col("line_count") >= 3) | F.col("label")) & (F.col("n") <= TRAIN_LONGEST))
+    sizes = {r["source"]: (r["k"], r["chars"]) for r in intact.groupBy(F.coalesce("source", F.lit("")).alias("source")).agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("chars")).collect()}  # one row a source
     if not sizes:
         return np.zeros(1 << BITS)
-    per = n_texts / len(sizes)
-    share = F.create_map(*(F.lit(v) for s, n in sizes.items() for v in (s, min(1.0, per / n))))
+    share = F.create_map(*(F.lit(v) for s, (k, chars) in sizes.items() for v in (s, min(1.0, n_texts / len(sizes) / k, TRAIN_CHARS / len(sizes) / chars))))
     unit = F.pmod(F.xxhash64("key", F.lit(SEED)), F.lit(1 << 30)) / float(1 << 30)
     taken = intact.where(unit < share[F.coalesce("source", F.lit(""))]).select("key", "line_count")
     sample = rows.select("key", "source", "text").join(taken, "key").collect()
