@@ -31,7 +31,7 @@ from codexmill.session import Scratch
 
 TRAIN_TEXTS = 12000
 #: Characters of the sample in expectation, and the longest text that is taken for it; both bound what the fit brings to the driver.
-TRAIN_CHARS, TRAIN_LONGEST = 48 << 20, 1 << 20
+TRAIN_CHARS, TRAIN_LONGEST = 128 << 20, 1 << 20
 BITS = 18
 EPOCHS = 6
 #: Records are reported as cut from this probability on.
