@@ -209,15 +209,17 @@ def passages(rows: DataFrame, table: np.ndarray) -> DataFrame:
     return source.mapInArrow(_score_batches(table), f"tab string, row_key bigint, pub_id string, feed string, label string, {_PASSAGE}")
 
 
-def fuse(found: DataFrame) -> DataFrame:
+def fuse(found: DataFrame, scratch: Scratch) -> DataFrame:
     """Language and confidence of each passage, from its text, its label and its place in the corpus.
 
-    Adds ``lang`` and ``confidence``. The priors are counted once over all passages and joined back per book, feed and label.
+    Adds ``lang`` and ``confidence``. All passages are counted once, per book, feed and label; the broader priors are sums of
+    those counts, and all are joined back.
     """
     k = len(LANGUAGES)
     best = F.array_position("ll", F.array_max("ll").cast("float")).cast("int") - 1
     p = found.withColumn("guess", best).withColumn("code", F.coalesce(label_code(F.col("label")), F.lit("")))
-    tally = lambda *by: p.groupBy(*by).agg(*(F.count_if(F.col("guess") == i).cast("double").alias(f"n{i}") for i in range(k)))
+    counted = scratch.cut(p.groupBy("pub_id", "feed", "code").agg(*(F.count_if(F.col("guess") == i).cast("double").alias(f"n{i}") for i in range(k))))
+    tally = lambda *by: counted.groupBy(*by).agg(*(F.sum(f"n{i}").alias(f"n{i}") for i in range(k)))
     vector = lambda *c: F.array(*(F.col(f"{c[0]}{i}") for i in range(k)))
     add = lambda a, b, w: F.zip_with(a, b, lambda x, y: x + w * y)
 
@@ -226,6 +228,7 @@ def fuse(found: DataFrame) -> DataFrame:
         return F.transform(v, lambda x: x / total)
 
     counts = tally().first()  # the corpus prior: one number a language
+    counts = [n or 0.0 for n in counts]
     world = F.array(*(F.lit((n + 1.0) / (sum(counts) + k)) for n in counts))
     feeds = tally("feed").select(F.col("feed").alias("f_feed"), share(add(vector("n"), world, SMOOTHING)).alias("of_feed"))
     books = tally("pub_id", "feed").select(F.col("pub_id").alias("b_pub"), F.col("feed").alias("b_feed"), vector("n").alias("n_book"))
@@ -246,8 +249,9 @@ def fuse(found: DataFrame) -> DataFrame:
 
 def merged(fused: DataFrame) -> DataFrame:
     """Neighbouring passages of one language as one: tab, row_key, code, lang, first, chars, confidence."""
-    w = Window.partitionBy("tab", "row_key").orderBy("i")
-    once = fused.groupBy("tab", "row_key", "i").agg(F.min(F.struct("first", "chars", "lang", "code", "confidence")).alias("p")).select("tab", "row_key", "i", "p.*")
+    # one order serves both: of copies of a passage the least one stays, and what stays is compared with the one before
+    w = Window.partitionBy("tab", "row_key").orderBy("i", "first", "chars", "lang", "code", "confidence")
+    once = fused.withColumn("before", F.lag("i").over(w)).where(F.col("before").isNull() | (F.col("before") != F.col("i")))
     turn = once.withColumn("turn", F.when(F.lag("lang").over(w).eqNullSafe(F.col("lang")), 0).otherwise(1)).withColumn("run", F.sum("turn").over(w))
     return (
         turn.groupBy("tab", "row_key", "run", "lang")
@@ -259,7 +263,7 @@ def merged(fused: DataFrame) -> DataFrame:
 def detect(rows: DataFrame, labelled: DataFrame, name: str = "languages") -> DataFrame:
     """Merged passages of ``rows``, the grams being fitted on a sample of ``labelled``."""
     scratch = Scratch(rows.sparkSession, name)
-    return merged(fuse(scratch.cut(passages(rows, fit_on_sample(labelled)))))
+    return merged(fuse(scratch.cut(passages(rows, fit_on_sample(labelled))), scratch))
 
 
 def text_languages(merged_: DataFrame) -> DataFrame:
