@@ -356,6 +356,42 @@ def q_u02_j29_reference_slots(s, d):
     return I.numbered(rows, "pub_id", ["producer", "key", "i"], "slot", I.Scratch(s, "slots")).select("pub_id", "slot", "role", "declared")
 
 
+def _present(s: SparkSession, d: str) -> DataFrame:
+    """Files that the texts of ``documents`` were read from, as entries of their books."""
+    p = table(s, d, "publications").select("pub_id", V.parent_dir(F.col("package_path")).alias("home"))
+    t = table(s, d, "documents").where(F.col("res_href").isNotNull()).select("pub_id", "res_href", "n_chars").join(p, "pub_id")
+    path = F.when(F.col("home") == "", F.col("res_href")).otherwise(F.concat("home", F.lit("/"), "res_href"))
+    return t.select("pub_id", path.alias("path"), F.col("n_chars").alias("size_bytes"))
+
+
+def q_j05_presence(s, d):
+    r = I.resources(table(s, d, "publications"), R._typed(s, d), _present(s, d))
+    return r.select("pub_id", "resource_ord", "address_kind", "address", "n_declarations", "presence")
+
+
+def q_w01_missing_resources(s, d):
+    """Broken references where the container's files are known: what is declared and not there is broken as well."""
+    t, m, n = R._edges(s, d)
+    r = I.resources(table(s, d, "publications"), t, _present(s, d))
+    return _count(I.broken_references(m, n, r), "kind", "role", "reason")
+
+
+def q_k09_k10_selected_files(s, d):
+    """The selected navigation document and cover of each book, and whether its file is there."""
+    t = R._typed(s, d)
+    chosen = I.selections(t).where(F.col("state") == "selected").select("role", "decl_key").join(t.select("decl_key", "pub_id", "address"), "decl_key")
+    have = _present(s, d).select("pub_id", F.col("path").alias("address"), F.lit(True).alias("present")).distinct()
+    return chosen.join(have, ["pub_id", "address"], "left").select("role", "decl_key", "address", F.coalesce("present", F.lit(False)).alias("present"))
+
+
+def q_t05_first_labels(s, d):
+    """The first three texts of each source by their identifier, and how many more there are."""
+    t = table(s, d, "documents").where(F.col("source").isNotNull())
+    first = t.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    placed = I.numbered(t.select("source", "doc_id"), "source", ["doc_id"], "place", I.Scratch(s, "samples")).where(F.col("place") < 3)
+    return placed.join(first, "source").select("source", "doc_id", F.greatest(F.col("n") - 3, F.lit(0)).alias("more"))
+
+
 def p5_descendant_pairs(s, d):
     return hierarchy.descendants(problems._hierarchy(s, d))
 
@@ -375,6 +411,12 @@ _CHANGED = """gone as (select decl_key, bool_or(removed_at is not null) as gone
 _FILES = "fx as (select distinct pub_id, path from (select pub_id, address as path from t where address_kind = 'local' union all select pub_id, unnest(['mimetype', 'META-INF/container.xml', package_path]) from publications) where path is not null)"
 
 
+_HAVE = """have as (select distinct d.pub_id, case when contains(package_path, '/') then regexp_replace(package_path, '/[^/]*$', '') || '/' else '' end || res_href as path from documents d join publications p using (pub_id) where res_href is not null), all_seen as (select pub_id, address_kind, address, min(place) as place, count(decl) as n_declarations from (
+  select pub_id, 0 as place, 'local' as address_kind, package_path as address, null as decl from publications where package_path is not null
+  union all select pub_id, 1000000000 + manifest_ord, address_kind, address, decl_key from t where address is not null
+  union all select pub_id, 2000000000, 'local', path, null from have) group by all)"""
+
+
 def _in(x: str, values: tuple | list) -> str:
     return f"{x} in ({', '.join(repr(v) for v in values)})"
 
@@ -445,5 +487,9 @@ ORACLE = {
     "q_r12_remote_documents": f"{_T} select distinct pub_id, address, essence from t where address_kind = 'remote' and essence in ('application/xhtml+xml', 'text/css', 'image/svg+xml', 'application/smil+xml')",
     "q_r15_declared_types": f"{_T} select distinct pub_id, address, essence from t where address is not null and essence is not null",
     "q_u02_j29_reference_slots": f"{R._ALL}, u as (select pub_id, 0 as producer, decl_key as key, case role when 'fallback' then 0 else 1 end as i, role, idref as declared from m union all select pub_id, 2, nav_key, 0, role, declared from n) select pub_id, cast(row_number() over (partition by pub_id order by producer, key, i) - 1 as bigint) as slot, role, declared from u",
+    "q_j05_presence": f"{R._ALL}, {_HAVE} select pub_id, cast(row_number() over (partition by pub_id order by place, address_kind, address) - 1 as bigint) as resource_ord, address_kind, address, n_declarations, case when address_kind <> 'local' then 'not-applicable' when (pub_id, address) in (select (pub_id, path) from have) then 'present' else 'missing' end as presence from all_seen",
+    "q_w01_missing_resources": f"{R._ALL}, {_HAVE}, gone as (select distinct pub_id, address from all_seen where address_kind = 'local' and (pub_id, address) not in (select (pub_id, path) from have)), w as (select 'manifest' as kind, role, target_state as reason from m where target_state in ('invalid', 'missing', 'ambiguous') union all select 'href', role, case when target_kind in ('missing-local', 'invalid') then target_kind when g.pub_id is not null then 'missing-resource' end from n left join gone g on g.pub_id = n.pub_id and g.address = n.target_address) select kind, role, reason, count(*) as n from w where reason is not null group by all",
+    "q_k09_k10_selected_files": f"{_T}, r as (select unnest(['nav', 'cover']) as role, unnest(['nav', 'cover-image']) as property), c as (select t.pub_id, r.role, min(decl_key) as decl from t join r on list_contains(item_properties, property) group by all having count(*) = 1), {_HAVE.split(', all_seen')[0]} select c.role, t.decl_key, t.address, t.address is not null and (t.pub_id, t.address) in (select (pub_id, path) from have) as present from c join t on t.decl_key = c.decl",
+    "q_t05_first_labels": "select source, doc_id, greatest(n - 3, 0) as more from (select source, doc_id, row_number() over (partition by source order by doc_id) as k, count(*) over (partition by source) as n from documents where source is not null) where k <= 3",
     "p5_descendant_pairs": oracle._P5_WALK + "select tree, path[i] as ancestor, node_key, cast(len(path) - i as bigint) as distance from (select tree, node_key, path, unnest(range(1, len(path))) as i from judged where cycle_state <> 'on')",
 }
