@@ -85,24 +85,30 @@ def _block_keys(profiles: DataFrame) -> DataFrame:
     return profiles.select("pid", "class", F.explode(F.array_distinct(keys)).alias("k")).select("pid", F.concat_ws("\u0001", "class", "k.key").alias("key"), "k.whole")
 
 
-_called = F.udf(called, T.MapType(T.StringType(), T.StringType()), useArrow=False)
+def _pairs(names: list[str]) -> list[tuple[str, str]]:
+    """Each given name of a block with what it is called there."""
+    return sorted(called([n for n in names if n]).items()) + ([("", "")] if "" in names else [])
+
+
+_called = F.udf(_pairs, T.ArrayType(T.StructType([T.StructField("t", T.StringType()), T.StructField("g", T.StringType())])), useArrow=False)
 
 
 def _moves(met: DataFrame) -> DataFrame:
     """(entity, hub): entities that are called as a smaller one in some block. ``met``: key, entity, givens, middles."""
-    terms = met.select("key", "entity", F.explode("givens").alias("t"))
-    # blocks of several entities, with one name each for the given names of a family
-    told = terms.groupBy("key").agg(F.array_remove(F.collect_set("t"), "").alias("names"), F.min("entity").alias("lo"), F.max("entity").alias("hi")).where(F.col("lo") != F.col("hi"))
-    person = ~F.col("key").startswith("house\u0001")
-    # names of the table need no comparison with each other
+    terms = met.select("entity", "key", F.explode("givens").alias("t"), "middles")
+    # blocks of several entities, each with the given names of one family
+    told = terms.groupBy("key").agg(F.collect_set("t").alias("all"), F.min("entity").alias("lo"), F.max("entity").alias("hi")).where(F.col("lo") != F.col("hi"))
+    told = told.select("key", "all", F.array_remove("all", "").alias("names"))
+    person, names = ~F.col("key").startswith("house\u0001"), F.col("names")
+    # names of the table need no comparison with each other: only initials are looked up, a bare house is its only form
     other = person & (F.size("names") > 1) & F.exists("names", lambda g: (F.length(g) > 1) & ~g.isin(*GIVEN_FORMS))
-    told = told.select("key", "names", F.when(other, _called(F.when(other, F.col("names")).otherwise(F.array().cast("array<string>")))).alias("called"))
-    each = met.select("entity", "key", F.explode("givens").alias("t"), "middles").join(told, "key")
-    t, names = F.col("t"), F.col("names")
-    begun = F.filter(names, lambda g: (F.length(g) > 1) & g.startswith(t))
-    plain = F.when((F.length(t) == 1) & (F.size(begun) == 1), begun[0]).otherwise(t)
-    g = F.when(t == "", F.when(~person & (F.size(names) == 1), names[0]).otherwise("")).when(person, F.coalesce(F.try_element_at("called", t), plain)).otherwise(t)
-    fit = each.select("entity", "key", g.alias("g"), F.explode(F.when(F.size("middles") > 0, F.col("middles")).otherwise(F.array(F.lit("")))).alias("m"))
+    begun = lambda t: F.filter(names, lambda g: (F.length(g) > 1) & g.startswith(t))
+    alone = lambda t: F.when((F.length(t) == 1) & person, F.when(F.size(begun(t)) == 1, begun(t)[0])).when((t == "") & ~person & (F.size(names) == 1), names[0])
+    plain = F.transform("all", lambda t: F.struct(t.alias("t"), F.coalesce(alone(t), t).alias("g")))
+    compared = F.when(other, _called(F.when(other, F.col("all")).otherwise(F.array().cast("array<string>")))).otherwise(plain)
+    # one row a name of a block, so that no row of a large family carries all its names along
+    meant = told.select("key", F.explode(compared).alias("x")).select("key", "x.t", "x.g")
+    fit = terms.join(meant, ["key", "t"]).select("entity", "key", "g", F.explode(F.when(F.size("middles") > 0, F.col("middles")).otherwise(F.array(F.lit("")))).alias("m"))
     groups = fit.groupBy("key", "g", "m").agg(F.min("entity").alias("lo"), F.max("entity").alias("hi"))
     # with one middle initial at most, all of a name may be one; with several, each only with its like
     name = Window.partitionBy("key", "g")  # of middle initials, already counted
