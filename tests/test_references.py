@@ -126,6 +126,29 @@ def test_fragment_selectors(spark, analysed):
     assert got == {("EPUB/text/one.xhtml", "a"): ("one", 1), ("EPUB/text/one.xhtml", "#zz"): ("broken", 0), ("EPUB/none", "a"): ("unavailable", 0), (None, None): ("unavailable", 0)}
 
 
+def test_empty_tables_and_books_without_content(spark):
+    """No books, an unreadable one, and one without links: every view is there and empty, or has what there is."""
+    bare = {"mimetype": b"", "META-INF/container.xml": xmlparts.rootfiles_to_xml([{"full_path": "p.opf", "media_type": None}]).encode(), "p.opf": b'<package xmlns="http://www.idpf.org/2007/opf" version="3.0"><metadata/><manifest/><spine/></package>'}
+    for rows in ([], [("bad", b"no archive"), ("bare", archive(bare))]):
+        tables = books.book_tables(books.analyse(spark.createDataFrame(rows, "pub_id string, content binary")))
+        typed = inventory.typed_declarations(references.book_declarations(tables), tables["publications"])
+        found = references.all_references(tables, typed)
+        assert found.count() == 0
+        assert references.broken(found).count() == references.closure(found, "declaration").count() == references.overlay_nodes(tables["smil"], found).count() == 0
+        assert references.occurrences(tables["media"], found).count() == references.producer_coverage(tables).count() == 0
+        assert inventory.numbered(found.select("pub_id", "role"), "pub_id", ["role"], "n", Scratch(spark, "none")).count() == 0
+        assert tables["publications"].count() == len(rows)
+
+
+def test_nulls_in_any_column(analysed, spark):
+    """References with nulls reach nothing, break nothing and have no slots of facts."""
+    _, found = analysed
+    nothing = spark.createDataFrame([tuple(None if f.name != "shared" else False for f in found.schema)], found.schema)
+    assert references.broken(nothing).count() == 0
+    assert references.closure(nothing, "resource").count() == 0
+    assert references.fragment_universe(nothing, spark.createDataFrame([], "pub_id string, path string, content_state string, content_issue string")).count() == 0
+
+
 def test_limits_are_told():
     data = archive(book())
     assert books.analyse_book("b", data, books.Limits(entries=3))["failure"].endswith("limit")
