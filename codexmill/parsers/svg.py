@@ -6,7 +6,7 @@ import re
 import xml.etree.ElementTree as ET
 
 from codexmill.parsers.css import functional_iris, parse_css
-from codexmill.parsers.xhtml import ANIMATIONS, executable_type, parse_xhtml
+from codexmill.parsers.xhtml import ANIMATIONS, EVENT_HANDLERS, executable_type, parse_xhtml
 from codexmill.parsers.xmlparts import FormatError, decode_xml
 
 # Namespaces, elements that may carry an address, attributes scanned for functional addresses.
@@ -53,7 +53,7 @@ def parse_svg(data: bytes) -> dict:
             if key in IRI_ATTRIBUTES or key == "style":
                 for iri in functional_iris(value):
                     link(key, "svg" if key != "style" else "css", iri)
-            if re.fullmatch(r"on[a-z]+", key):
+            if key in EVENT_HANDLERS:
                 out["activities"].add("event-attribute")
                 out["scripts"].append({"ord": len(out["scripts"]), "kind": "event-handler", "attribute": key, "has_text": bool(value)})
         if name == "script":

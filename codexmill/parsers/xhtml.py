@@ -23,6 +23,132 @@ SECTION_ROLES = frozenset(
 )
 SCRIPT_TYPES = frozenset(("text/javascript", "application/javascript", "application/x-javascript", "text/ecmascript", "application/ecmascript", "application/x-ecmascript", "text/x-javascript", "text/x-ecmascript", "text/livescript", "text/jscript", "text/javascript1.0", "text/javascript1.1", "text/javascript1.2", "text/javascript1.3", "text/javascript1.4", "text/javascript1.5")
 )
+# Attributes whose text runs as a script.
+EVENT_HANDLERS = frozenset(
+    (
+        "onabort",
+        "onactivate",
+        "onafterprint",
+        "onanimationcancel",
+        "onanimationend",
+        "onanimationiteration",
+        "onanimationstart",
+        "onauxclick",
+        "onbeforeinput",
+        "onbeforematch",
+        "onbeforeprint",
+        "onbeforetoggle",
+        "onbeforeunload",
+        "onbegin",
+        "onblur",
+        "oncancel",
+        "oncanplay",
+        "oncanplaythrough",
+        "onchange",
+        "onclick",
+        "onclose",
+        "oncommand",
+        "oncontentvisibilityautostatechange",
+        "oncontextlost",
+        "oncontextmenu",
+        "oncontextrestored",
+        "oncopy",
+        "oncuechange",
+        "oncut",
+        "ondblclick",
+        "ondrag",
+        "ondragend",
+        "ondragenter",
+        "ondragleave",
+        "ondragover",
+        "ondragstart",
+        "ondrop",
+        "ondurationchange",
+        "onemptied",
+        "onend",
+        "onended",
+        "onerror",
+        "onfocus",
+        "onfocusin",
+        "onfocusout",
+        "onformdata",
+        "onfullscreenchange",
+        "onfullscreenerror",
+        "ongotpointercapture",
+        "onhashchange",
+        "oninput",
+        "oninvalid",
+        "onkeydown",
+        "onkeypress",
+        "onkeyup",
+        "onlanguagechange",
+        "onload",
+        "onloadeddata",
+        "onloadedmetadata",
+        "onloadstart",
+        "onlostpointercapture",
+        "onmessage",
+        "onmessageerror",
+        "onmousedown",
+        "onmouseenter",
+        "onmouseleave",
+        "onmousemove",
+        "onmouseout",
+        "onmouseover",
+        "onmouseup",
+        "onoffline",
+        "ononline",
+        "onpagehide",
+        "onpagereveal",
+        "onpageshow",
+        "onpageswap",
+        "onpaste",
+        "onpause",
+        "onplay",
+        "onplaying",
+        "onpointercancel",
+        "onpointerdown",
+        "onpointerenter",
+        "onpointerleave",
+        "onpointermove",
+        "onpointerout",
+        "onpointerover",
+        "onpointerrawupdate",
+        "onpointerup",
+        "onpopstate",
+        "onprogress",
+        "onratechange",
+        "onrejectionhandled",
+        "onrepeat",
+        "onreset",
+        "onresize",
+        "onscroll",
+        "onscrollend",
+        "onsecuritypolicyviolation",
+        "onseeked",
+        "onseeking",
+        "onselect",
+        "onselectionchange",
+        "onselectstart",
+        "onslotchange",
+        "onstalled",
+        "onstorage",
+        "onsubmit",
+        "onsuspend",
+        "ontimeupdate",
+        "ontoggle",
+        "ontransitioncancel",
+        "ontransitionend",
+        "ontransitionrun",
+        "ontransitionstart",
+        "onunhandledrejection",
+        "onunload",
+        "onvolumechange",
+        "onwaiting",
+        "onwheel",
+        "onzoom",
+    )
+)
 ANIMATIONS = frozenset(("animate", "animatecolor", "animatemotion", "animatetransform", "discard", "set"))
 HINTS = frozenset(("dns-prefetch", "preconnect", "preload", "prefetch", "modulepreload", "prerender"))
 NAV_KINDS = {"toc": "toc", "page-list": "page-list", "landmarks": "landmark"}
@@ -332,7 +458,7 @@ class Scanner(HTMLParser):
             kind = "data-block" if not runs else "external" if "src" in a or "href" in a or "xlink:href" in a else "inline"
             me.script = {"ord": len(out), "kind": kind, "attribute": None, "type": a.get("type"), "has_text": False}
             out.append(me.script)
-        out += [{"ord": len(out) + i, "kind": "event-handler", "attribute": k, "type": None, "has_text": bool(a[k])} for i, k in enumerate(k for k in a if re.fullmatch(r"on[a-z]+", k))]
+        out += [{"ord": len(out) + i, "kind": "event-handler", "attribute": k, "type": None, "has_text": bool(a[k])} for i, k in enumerate(k for k in a if k in EVENT_HANDLERS)]
 
     def _accessibility(self, tag: str, a: dict, fragment: str | None) -> None:
         out = self.facts.accessibility
