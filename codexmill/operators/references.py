@@ -211,3 +211,57 @@ def fragment_selectors(selectors: DataFrame, fragments: DataFrame, contents: Dat
     j = s.join(f, (F.col("pub_id") == F.col("f_pub")) & (F.col("path") == F.col("f_path")) & (F.col("wanted") == F.col("f_id")), "left").join(c, (F.col("pub_id") == F.col("c_pub")) & (F.col("path") == F.col("c_path")), "left")
     state = F.when(F.col("n") > 1, "ambiguous").when(F.col("n") == 1, "one").when(F.col("content_state") == "complete", "broken").otherwise("unavailable")
     return j.select(*selectors.columns, state.alias("state"), F.coalesce("n", F.lit(0).cast("bigint")).alias("n_elements"))
+
+
+def incoming(references: DataFrame) -> DataFrame:
+    """References by what they reach: (pub_id, address, n_incoming, n_from_others); an id reference reaches the file of its declaration."""
+    r = references.where(~F.col("shared") & F.col("target_address").isNotNull() & F.col("target_kind").isin("resource", "fragment", "id-declaration"))
+    other = ~F.col("source_address").eqNullSafe(F.col("target_address"))
+    return r.groupBy("pub_id", F.col("target_address").alias("address")).agg(F.count(F.lit(1)).alias("n_incoming"), F.count_if(other).alias("n_from_others"))
+
+
+def removal_impact(references: DataFrame, typed: DataFrame, order: DataFrame, publications: DataFrame) -> DataFrame:
+    """What the removal of each local resource touches: declarations, occurrences, fallbacks, overlays, navigation and content references. The package document cannot be removed: ``refused``.
+
+    ``order`` (pub_id, idref). Ambiguous ids count for every declaration that they may mean.
+    """
+    own = typed.where(F.col("address_kind") == "local").select("pub_id", "address", "decl_key", "manifest_id")
+    at = own.where(F.col("manifest_id").isNotNull()).select("pub_id", "address", F.col("manifest_id").alias("norm")).distinct()
+    by_id = lambda df, c: df.withColumn("norm", V.manifest_id(F.col(c))).join(at, ["pub_id", "norm"])
+    local = references.where(~F.col("shared") & F.col("target_kind").isin("resource", "fragment")).select("pub_id", F.col("target_address").alias("address"), "role")
+    ids = by_id(references.where(F.col("producer") == 0).select("pub_id", "declared", "role"), "declared")
+    parts = {
+        "declarations": own,
+        "occurrences": by_id(order.select("pub_id", "idref"), "idref"),
+        "fallbacks": ids.where(F.col("role") == "fallback"),
+        "overlays": ids.where(F.col("role") == "media-overlay"),
+        "navigation": local.where(is_navigation(F.col("role"))),
+        "content": local.where(~is_navigation(F.col("role"))),
+    }
+    long = reduce(DataFrame.unionByName, [df.groupBy("pub_id", "address").agg(F.count(F.lit(1)).alias("n")).withColumn("what", F.lit(k)) for k, df in parts.items()])
+    wide = long.groupBy("pub_id", "address").agg(*(F.sum(F.when(F.col("what") == k, F.col("n")).otherwise(0)).alias(k) for k in parts))
+    package = publications.select("pub_id", F.col("package_path").alias("address"), F.lit(True).alias("refused"))
+    return wide.join(package, ["pub_id", "address"], "left").withColumn("refused", F.coalesce("refused", F.lit(False)))
+
+
+def book_summary(tables: dict[str, DataFrame], typed: DataFrame, references: DataFrame) -> DataFrame:
+    """One record a parsed book: its resources, declarations, occurrences, references, broken ones, searchable documents and the facts of its content, those of foreign objects included."""
+    own = references.where(~F.col("shared"))
+    res = tables["resources"]
+    counts = {
+        "resources": res,
+        "searchable": res.where(F.length("text") > 0),
+        "declarations": typed,
+        "occurrences": tables["itemrefs"],
+        "references": own,
+        "broken_references": broken(references),
+        "media": tables["media"],
+        "forms": tables["forms"],
+        "scripts": tables["scripts"],
+        "foreign_objects": tables["svg_foreign"],
+        "executable": res.where(F.col("executable")),
+    }
+    long = reduce(DataFrame.unionByName, [df.groupBy("pub_id").agg(F.count(F.lit(1)).alias("n")).withColumn("what", F.lit(k)) for k, df in counts.items()])
+    wide = long.groupBy("pub_id").agg(*(F.sum(F.when(F.col("what") == k, F.col("n")).otherwise(0)).alias(k) for k in counts))
+    books = tables["publications"].select("pub_id", "status")
+    return books.join(wide, "pub_id", "left").select("pub_id", "status", *(F.coalesce(k, F.lit(0).cast("bigint")).alias(k) for k in counts))

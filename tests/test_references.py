@@ -110,6 +110,20 @@ def test_facts_and_their_slots(analysed):
     assert {r.state for r in references.producer_coverage(tables).collect()} == {"complete"}
 
 
+def test_impact_and_summary(analysed):
+    tables, found = analysed
+    typed = inventory.typed_declarations(references.book_declarations(tables), tables["publications"])
+    into = {r.address: (r.n_incoming, r.n_from_others) for r in references.incoming(found).collect()}
+    assert into["EPUB/text/one.xhtml"] == (5, 4)  # guide, navigation, NCX, overlay; one from itself
+    hit = {r.address: r for r in references.removal_impact(found, typed, tables["itemrefs"], tables["publications"]).collect()}
+    one = hit["EPUB/text/one.xhtml"]
+    assert (one.declarations, one.occurrences, one.navigation, one.content, one.refused) == (1, 1, 2, 3, False)
+    assert (hit["EPUB/o.smil"].overlays, hit["EPUB/img/i.png"].content, hit["EPUB/img/i.png"].declarations) == (1, 2, 0)
+    total = references.book_summary(tables, typed, found).first()
+    own = found.where("not shared").count()
+    assert (total.references, total.broken_references, total.occurrences, total.scripts, total.executable) == (own, references.broken(found).count(), 2, 1, 1)
+
+
 def test_tables_carry_all_facts(analysed):
     tables, _ = analysed
     assert {(r.name, r.value) for r in tables["viewports"].collect()} == {("width", "600"), ("height", "800")}
