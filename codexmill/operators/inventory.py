@@ -17,8 +17,8 @@ from codexmill.session import Scratch
 
 def first_copy(rows: DataFrame, key: str, by: str = "loaded_at") -> DataFrame:
     """One row a key: the copy that arrived first; of equal arrivals the smallest in the order of the columns."""
-    rest = [c for c in rows.columns if c not in (key, by)]
-    return rows.groupBy(key).agg(F.min(F.struct(by, *rest)).alias("r")).select(key, "r.*")
+    first = Window.partitionBy(key).orderBy(by, *(c for c in rows.columns if c not in (key, by)))  # the few copies of a row
+    return rows.withColumn("_copy", F.row_number().over(first)).where(F.col("_copy") == 1).drop("_copy")
 
 
 def typed_declarations(declarations: DataFrame, publications: DataFrame) -> DataFrame:
